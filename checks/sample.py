@@ -30,8 +30,8 @@ ORACLE = {
     "orders": "orders",
     "region": "region",
     "plus_ms": "start_time + to_milliseconds(total_elapsed_time_ms)",
-    "ms": "epoch_ms(start_time)",
-    "end_ms": "epoch_ms(end_time)",
+    "ms": "epoch_us(start_time) // 1000",
+    "end_ms": "epoch_us(end_time) // 1000",
 }
 SPARK = {
     **ORACLE,
