@@ -238,34 +238,32 @@ def filter_values(spark, d):
 # Statements ----------------------------------------------------------------------------------------------------------
 
 
+def _normalized(spark: SparkSession, d: str) -> DataFrame:
+    return statements.with_normalized(sample.base_events(spark, d), "query_text")
+
+
 @query
 def normalize_statements(spark, d):
-    return sample.base_events(spark, d).select(
-        "connection_id", "query_id", statements.normalize(F.col("query_text")).alias("normalized_sql")
-    )
+    return _normalized(spark, d).select("connection_id", "query_id", "normalized_sql")
 
 
 @query
 def fingerprints(spark, d):
-    normalized = statements.normalize(F.col("query_text"))
-    return sample.base_events(spark, d).select(
-        "connection_id", "query_id", statements.fingerprint_of(normalized).alias("fingerprint")
-    )
+    stamped = statements.fingerprint_of(F.col("normalized_sql")).alias("fingerprint")
+    return _normalized(spark, d).select("connection_id", "query_id", stamped)
 
 
 @query
 def shape_keys(spark, d):
-    key = statements.shape_key(statements.normalize(F.col("query_text")))
-    return sample.base_events(spark, d).select(
-        "connection_id", "query_id", key.alias("shape_key"), statements.fingerprint_of(key).alias("fingerprint")
-    )
+    keyed = _normalized(spark, d).withColumn("shape_key", statements.shape_key(F.col("normalized_sql")))
+    stamped = statements.fingerprint_of(F.col("shape_key")).alias("fingerprint")
+    return keyed.select("connection_id", "query_id", "shape_key", stamped)
 
 
 @query
 def statement_flags(spark, d):
-    return sample.base_events(spark, d).select(
-        "connection_id", "query_id", statements.flags(statements.normalize(F.col("query_text"))).alias("antipatterns")
-    )
+    found = statements.flags(F.col("normalized_sql")).alias("antipatterns")
+    return _normalized(spark, d).select("connection_id", "query_id", found)
 
 
 @query
@@ -280,8 +278,9 @@ def document_statements(spark, d):
     """Free text of any length and alphabet through the statement path."""
     sample.tune(spark)
     text = F.col("text")
-    normalized = statements.normalize(text)
-    return spark.read.parquet(f"{d}/documents.parquet").select(
+    normalized = F.col("normalized_sql")
+    documents = statements.with_normalized(spark.read.parquet(f"{d}/documents.parquet"), "text")
+    return documents.select(
         "doc_id",
         statements.fingerprint_of(normalized).alias("fingerprint"),
         F.length(normalized).cast("long").alias("normalized_length"),
@@ -435,7 +434,7 @@ def stream_upsert(spark, d):
         _history_stream(spark, _history_table(spark, d)), root, scratch_dir(spark, "upsert-progress"), now=NOW
     )
     stream.awaitTermination()
-    return tables.read_events(spark, f"{root}/events").drop("start_date")
+    return tables.read_events(spark, f"{root}/events").drop(*tables.LAYOUT)
 
 
 @query

@@ -2,38 +2,46 @@
 
 Everything is a column expression over the whole text. The regexes use possessive quantifiers throughout, so they run in
 linear time and constant stack on statements of any length.
+
+Functions that take a normalized statement use it several times. Give them a column that holds it (``with_normalized``)
+rather than the expression, or every use normalizes the text again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.functions.text import BLANK_CLASS, PREVIEW_SPACE, char_class
+from runledger.functions.text import BLANK_CLASS, BLANKS, PREVIEW_SPACE, char_class
 from runledger.schema import STATEMENT_FLAGS
 
 PREVIEW_LEN = 2000
 
-# Lexical pieces of a statement.
+# Lexical pieces of a statement. ASCII has alternatives of its own, first, because regexes test those fastest. A word is
+# read in pieces: each starts with a letter and takes the ASCII letters and digits that follow.
 _BLANK = f"[{BLANK_CLASS}]"
 _LINE_COMMENT = r"--[^\n]*+"
 _BLOCK_COMMENT = r"/\*(?s:.*?)(?:\*/|\z)"
 _STRING = r"'[^']*+(?:''[^']*+)*+'?"
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"?'
-_WORD = r"[\p{IsAlphabetic}\p{N}_&&[^0-9]][\p{IsAlphabetic}\p{N}_]*+"
+_WORD = r"[A-Za-z_][A-Za-z0-9_]*+"
+_OTHER_WORD = r"[[^\x00-\x7F]&&[\p{IsAlphabetic}\p{N}]][A-Za-z0-9_]*+"
+_MARKS = r"[\x00-!#-&(-,.:-@\[-\^`{-\x7F]++"  # ASCII without quotes, digits, word characters, minus and slash
 _NUMBER = r"[0-9][0-9.]*+"
 
 # Everything up to the next literal, then the literal. \G ties each match to the end of the one before, so a quote inside
 # a comment or an identifier never starts a literal.
-_TO_LITERAL = rf"\G((?:{_LINE_COMMENT}|{_BLOCK_COMMENT}|{_QUOTED}|{_WORD}|[^'0-9])*+)(?:{_STRING}|{_NUMBER})"
+_TO_LITERAL = (
+    rf"\G((?:{_WORD}|{_MARKS}|{_LINE_COMMENT}|{_BLOCK_COMMENT}|[-/]|{_QUOTED}|{_OTHER_WORD}|[^\x00-\x7F])*+)"
+    rf"(?:{_STRING}|{_NUMBER})"
+)
 
-# The same for runs of white space and comments, once literals are gone.
+# The same for white space and comments, once literals are gone. A lone space between ordinary characters stays.
 _TO_GAP = (
-    rf'\G((?:{_QUOTED}|[^{BLANK_CLASS}"\-/]++|-(?!-)|/(?!\*))*+)'
-    rf"(?:{_BLANK}++|{_LINE_COMMENT}|{_BLOCK_COMMENT})++"
+    rf"\G((?:[!#-,.0-~]++| (?=[!-,.0-~])|{_QUOTED}|-(?!-)|/(?!\*)|[^\x21-\x7E{BLANK_CLASS}]++)*+)"
+    rf"(?: |{_BLANK}|{_LINE_COMMENT}|{_BLOCK_COMMENT})++"
 )
 
-_EDGES = rf"\A{_BLANK}++|{_BLANK}++\z"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -41,19 +49,27 @@ def _ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
-def _lower_outside_quotes(text: Column) -> Column:
-    pieces = F.regexp_extract_all(text, F.lit(rf'{_QUOTED}|[^"]++'), F.lit(0))
+def _spaced(sql: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(sql, _TO_LITERAL, "$1?"), _TO_GAP, "$1 ")
+
+
+def _finished(spaced: Column) -> Column:
+    pieces = F.regexp_extract_all(spaced, F.lit(rf'{_QUOTED}|[^"]++'), F.lit(0))
     lowered = F.transform(pieces, lambda piece: F.when(piece.startswith('"'), piece).otherwise(_ascii_lower(piece)))
-    return F.when(F.contains(text, F.lit('"')), F.array_join(lowered, "")).otherwise(_ascii_lower(text))
+    flat = F.when(F.contains(spaced, F.lit('"')), F.array_join(lowered, "")).otherwise(_ascii_lower(spaced))
+    return F.regexp_replace(F.btrim(flat, F.lit(BLANKS)), r"\?(?:, \?)++", "?")
 
 
 def normalize(sql: Column) -> Column:
     """Comments go, literals become ``?``, case and white space are flattened; quoted identifiers and digits that
     continue a name stay. Placeholder lists of any length become one placeholder."""
-    blanked = F.regexp_replace(sql, _TO_LITERAL, "$1?")
-    spaced = F.regexp_replace(blanked, _TO_GAP, "$1 ")
-    trimmed = F.regexp_replace(_lower_outside_quotes(spaced), _EDGES, "")
-    return F.regexp_replace(trimmed, r"\?(?:, \?)++", "?")
+    return _finished(_spaced(sql))
+
+
+def with_normalized(rows: DataFrame, text: str, name: str = "normalized_sql") -> DataFrame:
+    """Adds the normalized statement, computed once per row: Spark does not merge projections over a costly column that
+    is used more than once."""
+    return rows.withColumn(name, _spaced(F.col(text))).withColumn(name, _finished(F.col(name)))
 
 
 def is_select(normalized: Column) -> Column:
@@ -76,10 +92,6 @@ def fingerprint_of(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-def fingerprint(sql: Column) -> Column:
-    return fingerprint_of(shape_key(normalize(sql)))
-
-
 # Flags ---------------------------------------------------------------------------------------------------------------
 
 _STAR = r"(?:\bselect(?: all| distinct(?: on ?\([^()]*+\))?)?|,|\.|\bcolumns ?\() ?\*"

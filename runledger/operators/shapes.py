@@ -6,7 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions import pricing
-from runledger.functions.statements import cut, fingerprint_of, flags, is_cut, is_select, labelled, normalize, shape_key
+from runledger.functions.statements import (
+    cut,
+    fingerprint_of,
+    flags,
+    is_cut,
+    is_select,
+    labelled,
+    shape_key,
+    with_normalized,
+)
 from runledger.operators.reads import first_per_connection, select_events, tiers, with_share
 from runledger.plans.params import DEFAULT_LIST_LIMIT, EventFilter, capped
 from runledger.schema import KNOWN_FLAGS
@@ -16,10 +25,10 @@ SHAPE_KEY = ["connection_id", "fingerprint"]
 
 def fingerprinted(events: DataFrame) -> DataFrame:
     """Stamps rows that have no fingerprint yet. Map-only: text is normalized where it is read and never shuffled."""
-    stamped = fingerprint_of(shape_key(normalize(F.col("query_text"))))
+    stamped = fingerprint_of(shape_key(F.col("_normal")))
     if "fingerprint" in events.columns:
         stamped = F.coalesce("fingerprint", stamped)
-    return events.withColumn("fingerprint", stamped)
+    return with_normalized(events, "query_text", "_normal").withColumn("fingerprint", stamped).drop("_normal")
 
 
 def shape_figures(events: DataFrame, connections: DataFrame, flt: EventFilter) -> DataFrame:
@@ -128,13 +137,10 @@ def new_shapes(events: DataFrame, existing: DataFrame | None = None) -> DataFram
     first = rows.groupBy(*SHAPE_KEY).agg(
         F.min(F.struct("start_time", "query_id", "query_text")).alias("first")
     )
-    normalized = first.select(
-        *SHAPE_KEY,
-        F.col("first.start_time").alias("first_seen"),
-        F.col("first.query_text").alias("example_sql"),
-        normalize(F.col("first.query_text")).alias("normalized_sql"),
+    examples = first.select(
+        *SHAPE_KEY, F.col("first.start_time").alias("first_seen"), F.col("first.query_text").alias("example_sql")
     )
-    return normalized.select(
+    return with_normalized(examples, "example_sql").select(
         *SHAPE_KEY,
         "normalized_sql",
         "example_sql",
@@ -157,7 +163,8 @@ def pending_flags(shapes: DataFrame, limit: int) -> DataFrame:
 
 def backfill_flags(shapes: DataFrame, pending: DataFrame) -> DataFrame:
     """Stores the flags of ``pending``. A clean statement stores an empty array, so it is not examined again."""
-    examined = pending.select(*SHAPE_KEY, flags(normalize(F.col("example_sql"))).alias("_found"))
+    normalized = with_normalized(pending.select(*SHAPE_KEY, "example_sql"), "example_sql")
+    examined = normalized.select(*SHAPE_KEY, flags(F.col("normalized_sql")).alias("_found"))
     return (
         shapes.join(examined, SHAPE_KEY, "left")
         .withColumn("antipatterns", F.coalesce("_found", "antipatterns"))

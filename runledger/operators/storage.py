@@ -16,10 +16,14 @@ SAMPLE_KEY = ["connection_id", "database_name", "computed_at"]
 _MAX_LONG = 2**63 - 1
 
 
+def new_samples(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of ``batch`` whose (connection, database, time) is not stored yet."""
+    return batch.dropDuplicates(SAMPLE_KEY).join(existing.select(*SAMPLE_KEY), SAMPLE_KEY, "left_anti")
+
+
 def append_samples(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Insert if absent by (connection, database, time)."""
-    fresh = batch.dropDuplicates(SAMPLE_KEY).join(existing.select(*SAMPLE_KEY), SAMPLE_KEY, "left_anti")
-    return existing.unionByName(fresh)
+    """Insert if absent."""
+    return existing.unionByName(new_samples(existing, batch))
 
 
 def latest_samples(samples: DataFrame) -> DataFrame:

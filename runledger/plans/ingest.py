@@ -164,16 +164,14 @@ def store_batch(spark: SparkSession, drafts: DataFrame, root: str, now: Column)
 
 
 def backfill(spark: SparkSession, root: str, limit: int) -> None:
-    """Stamps a slice of stored events that have no fingerprint, registering their shapes. Only the days that hold them
-    are rewritten."""
-    stored = tables.read_events(spark, f"{root}/events")
-    slice_ = fingerprinted(
-        stored.join(pending_fingerprints(stored, limit).select(*EVENT_KEY), EVENT_KEY, "left_semi")
-    )
-    tables.register_into(spark, f"{root}/shapes", slice_)
-    touched = slice_.select("connection_id", "start_date").distinct()
-    days = stored.join(touched, ["connection_id", "start_date"], "left_semi")
-    tables.write_events(backfill_fingerprints(days, slice_), f"{root}/events")
+    """Stamps a slice of stored events that have no fingerprint, registering their shapes. Only the hours that hold
+    them are rewritten."""
+    path = f"{root}/events"
+    stored = tables.read_events(spark, path)
+    waiting = pending_fingerprints(stored, limit).select(*EVENT_KEY)
+    stamped = fingerprinted(stored.join(waiting, EVENT_KEY, "left_semi"))
+    tables.register_into(spark, f"{root}/shapes", stamped)
+    tables.write_events(backfill_fingerprints(tables.same_hours(spark, path, stamped), stamped), path)
 
 
 def ingest_pass(

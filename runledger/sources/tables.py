@@ -1,26 +1,28 @@
-"""Parquet tables. Events are laid out by connection and day, the two things every read bounds."""
+"""Parquet tables. Events are laid out by hour, which is what bounds both a read and a rewrite.
+
+An ingest pass re-reads the last minutes, so it rewrites the last hour or two and nothing older. Folders hold all
+connections, sorted, so that a small connection does not mean small files; parquet's statistics skip the others' rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
-from runledger.operators.merge import EVENT_KEY, one_per_key, upsert_events
+from runledger.operators.merge import one_per_key, upsert_events
 from runledger.operators.shapes import new_shapes
-from runledger.operators.storage import append_samples
+from runledger.operators.storage import new_samples
 from runledger.schema import EVENTS, SHAPES, STORAGE
 
-_DAY = "start_date"
-_LAYOUT = ["connection_id", _DAY]
+LAYOUT = ["start_date", "start_hour"]
 EVENT_FILES = StructType(
-    [field for field in EVENTS.fields if field.name != "connection_id"]
-    + [EVENTS["connection_id"], StructField(_DAY, DateType(), False)]
+    EVENTS.fields + [StructField("start_date", DateType(), False), StructField("start_hour", IntegerType(), False)]
 )
 
 
-def with_day(events: DataFrame) -> DataFrame:
-    return events.withColumn(_DAY, F.to_date("start_time"))
+def with_layout(events: DataFrame) -> DataFrame:
+    return events.withColumn("start_date", F.to_date("start_time")).withColumn("start_hour", F.hour("start_time"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,41 +32,39 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
-        return with_day(spark.createDataFrame([], EVENTS))
+        return with_layout(spark.createDataFrame([], EVENTS))
     return spark.read.schema(EVENT_FILES).parquet(path)
 
 
-def write_events(events: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Replaces only the (connection, day) folders present in ``events``.
-
-    A day of a busy connection is written by many tasks: rows are spread over the whole layout key and the id, so no
-    folder is one task's work, and AQE merges what turns out small.
-    """
+def write_events(events: DataFrame, path: str) -> None:
+    """Replaces only the hours present in ``events``. The rebalance splits a busy hour over many tasks and joins quiet
+    ones, so files come out near the advisory size either way."""
+    placed = with_layout(events.select(*EVENTS.names))
     (
-        with_day(events)
-        .repartition(*_LAYOUT, F.pmod(F.xxhash64("query_id"), F.lit(64)))
-        .sortWithinPartitions(*_LAYOUT, "start_time")
-        .write.mode(mode)
+        placed.hint("rebalance", *[F.col(name) for name in LAYOUT])
+        .sortWithinPartitions(*LAYOUT, "connection_id", "start_time")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*_LAYOUT)
+        .partitionBy(*LAYOUT)
         .parquet(path)
     )
 
 
-def upsert_into(spark: SparkSession, path: str, batch: DataFrame, batch_days: DataFrame | None = None) -> None:
-    """Merges a batch into the event table by rewriting the (connection, day) folders it touches, and no others.
+def same_hours(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """Stored events of the hours that ``rows`` fall in. The join is on the layout, so other folders are pruned when it
+    runs."""
+    hours = with_layout(rows).select(*LAYOUT).distinct()
+    return read_events(spark, path).join(hours, LAYOUT, "left_semi")
 
-    A key's start time never changes once stored, so its folder is fixed. Replaying a batch rewrites the same rows.
+
+def upsert_into(spark: SparkSession, path: str, batch: DataFrame) -> None:
+    """Merges a batch into the event table by rewriting the hours it touches.
+
+    A run's start time never changes, so a stored row is in the same hour as its re-read. Replaying a batch rewrites the
+    same rows.
     """
     new = one_per_key(batch.select(*EVENTS.names))
-    if not exists(spark, path):
-        write_events(new, path)
-        return
-    # A batch spans few days: its folder list is at most its row count, and the join key is the partition layout, so the
-    # scan below is pruned to the touched folders at run time.
-    touched = (with_day(new) if batch_days is None else batch_days).select(*_LAYOUT).distinct()
-    stored = read_events(spark, path).join(touched, _LAYOUT, "left_semi")
-    write_events(upsert_events(stored, new), path)
+    write_events(upsert_events(same_hours(spark, path, new), new) if exists(spark, path) else new, path)
 
 
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
@@ -84,13 +84,6 @@ def read_storage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORAGE).parquet(path)
 
 
-__all__ = [
-    "EVENT_KEY",
-    "append_samples",
-    "read_events",
-    "read_shapes",
-    "read_storage",
-    "register_into",
-    "upsert_into",
-    "write_events",
-]
+def append_into(spark: SparkSession, path: str, batch: DataFrame) -> None:
+    """Adds the measurements the table lacks."""
+    new_samples(read_storage(spark, path), batch).write.mode("append").parquet(path)
