@@ -18,7 +18,7 @@ from runledger.plans import ingest
 from runledger.plans.params import ListOptions, TimeRange, timestamp
 from runledger.session import scratch_dir
 from runledger.sources import history as source
-from runledger.sources import tables
+from runledger.sources.tables import LAYOUT, Tables
 from runledger.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,8 @@ MID = HALF.start
 # Kept small so that the limit bites on every connection.
 PAGE = 100
 SLICE = 1000
+# Columns the list oracles leave out.
+UNLISTED = ("fingerprint", *LAYOUT)
 POLL = timedelta(hours=1)
 VIEW_SHAPE = "select v.a from views v,pages p where v.id in(?)"
 WEEKS = TimeRange(datetime(2024, 1, 8), datetime(2024, 1, 29))
@@ -193,16 +195,16 @@ def purge_connection(spark, d):
 
 @query
 def event_detail(spark, d):
-    events, connections = sample.events(spark, d), sample.connections(spark, d)
-    listed = reads.slow_queries(events, connections, everything())
-    return reads.event_details(events, connections, listed).drop("fingerprint")
+    stored = sample.ledger(spark, d)
+    listed = reads.slow_queries(stored.events(), stored.connections(), everything())
+    return reads.event_details(stored.events(), stored.connections(), listed).drop(*UNLISTED)
 
 
 @query
 def shape_statement(spark, d):
-    table = sample.shapes(spark, d)
-    events, connections = sample.stamped_events(spark, d), sample.connections(spark, d)
-    return shapes.shape_statements(table, findings.all_findings(events, table, connections, everything()))
+    stored = sample.ledger(spark, d)
+    found = findings.all_findings(stored.events(), stored.shapes(), stored.connections(), everything())
+    return shapes.shape_statements(stored.shapes(), found)
 
 
 # Filters -------------------------------------------------------------------------------------------------------------
@@ -210,7 +212,7 @@ def shape_statement(spark, d):
 
 @query
 def search_events(spark, d):
-    found = reads.select_events(sample.events(spark, d), everything(search="FROM clicks_1"))
+    found = reads.select_events(sample.ledger(spark, d).events(), everything(search="FROM clicks_1"))
     return found.select("connection_id", "query_id", "query_text")
 
 
@@ -219,20 +221,20 @@ def filtered_events(spark, d):
     wanted = everything(
         WEEKS, include_internal=True, user_name="user_7", query_type="QUERY", min_duration_ms=1000
     )
-    found = reads.select_events(sample.events(spark, d), wanted)
+    found = reads.select_events(sample.ledger(spark, d).events(), wanted)
     return found.select("connection_id", "query_id", "start_time", "total_elapsed_time_ms")
 
 
 @query
 def shape_runs(spark, d):
     one = hashlib.sha256(VIEW_SHAPE.encode()).hexdigest()[:16]
-    found = reads.select_events(sample.stamped_events(spark, d), everything(fingerprint=one))
+    found = reads.select_events(sample.ledger(spark, d).events(), everything(fingerprint=one))
     return found.select("connection_id", "query_id", "fingerprint")
 
 
 @query
 def filter_values(spark, d):
-    return reads.filter_values(sample.events(spark, d), everything())
+    return reads.filter_values(sample.ledger(spark, d).events(), everything())
 
 
 # Statements ----------------------------------------------------------------------------------------------------------
@@ -295,7 +297,8 @@ def document_statements(spark, d):
 
 def _read(operator, span: TimeRange = MONTH, *more):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return operator(sample.events(spark, d), sample.connections(spark, d), everything(span), *more)
+        stored = sample.ledger(spark, d)
+        return operator(stored.events(), stored.connections(), everything(span), *more)
 
     return run
 
@@ -312,17 +315,18 @@ _named("cost_buckets", _read(reads.cost_buckets))
 _named("attribution_by_user", _read(reads.attribution, HALF, "user_name"))
 _named("attribution_by_instance_type", _read(reads.attribution, HALF, "instance_type"))
 _named("attribution_totals", _read(reads.attribution_totals, HALF))
-_named("slow_queries", lambda spark, d: _read(reads.slow_queries)(spark, d).drop("fingerprint"))
+_named("slow_queries", lambda spark, d: _read(reads.slow_queries)(spark, d).drop(*UNLISTED))
 _named(
     "slow_queries_oldest",
-    lambda spark, d: _read(reads.slow_queries, MONTH, ListOptions("started", "asc", 500))(spark, d).drop("fingerprint"),
+    lambda spark, d: _read(reads.slow_queries, MONTH, ListOptions("started", "asc", 500))(spark, d).drop(*UNLISTED),
 )
-_named("recent_failures", lambda spark, d: _read(reads.recent_failures)(spark, d).drop("fingerprint"))
+_named("recent_failures", lambda spark, d: _read(reads.recent_failures)(spark, d).drop(*UNLISTED))
 
 
 @query
 def event_costs(spark, d):
-    priced = reads.with_run_cost(sample.events(spark, d), sample.connections(spark, d))
+    stored = sample.ledger(spark, d)
+    priced = reads.with_run_cost(stored.events(), stored.connections())
     return priced.select("connection_id", "query_id", "instance_type", "estimated_cost_usd")
 
 
@@ -343,9 +347,8 @@ def chart_digest_cost(spark, d):
 
 def _shaped(operator):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return operator(
-            sample.stamped_events(spark, d), sample.shapes(spark, d), sample.connections(spark, d), everything()
-        )
+        stored = sample.ledger(spark, d)
+        return operator(stored.events(), stored.shapes(), stored.connections(), everything())
 
     return run
 
@@ -361,17 +364,19 @@ _named("insights_by_shape", _shaped(findings.insights_by_shape))
 
 @query
 def storage_latest(spark, d):
-    return storage.latest_samples(sample.storage(spark, d))
+    return storage.latest_samples(sample.ledger(spark, d).storage())
 
 
 @query
 def storage_by_database(spark, d):
-    return storage.storage_by_database(sample.storage(spark, d), sample.connections(spark, d))
+    stored = sample.ledger(spark, d)
+    return storage.storage_by_database(stored.storage(), stored.connections())
 
 
 @query
 def storage_summary(spark, d):
-    return storage.storage_summary(sample.storage(spark, d), sample.connections(spark, d))
+    stored = sample.ledger(spark, d)
+    return storage.storage_summary(stored.storage(), stored.connections())
 
 
 # Ingest bookkeeping --------------------------------------------------------------------------------------------------
@@ -429,12 +434,16 @@ def _history_stream(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def stream_upsert(spark, d):
-    root = scratch_dir(spark, "ledger")
+    stored = Tables(spark, scratch_dir(spark, "ledger"), slot_hours=24)
     stream = live.stream_upsert(
-        _history_stream(spark, _history_table(spark, d)), root, scratch_dir(spark, "upsert-progress"), now=NOW
+        _history_stream(spark, _history_table(spark, d)),
+        stored,
+        scratch_dir(spark, "quarantine"),
+        scratch_dir(spark, "upsert-progress"),
+        now=NOW,
     )
     stream.awaitTermination()
-    return tables.read_events(spark, f"{root}/events").drop(*tables.LAYOUT)
+    return stored.events().drop(*LAYOUT)
 
 
 @query

@@ -15,9 +15,10 @@ from pyspark.sql.types import TimestampNTZType
 
 from runledger.operators.shapes import fingerprinted, new_shapes
 from runledger.plans.params import EventFilter, TimeRange, timestamp
-from runledger.session import tune
-from runledger.sources.history import internal_traffic, storage_scan
 from runledger.schema import EVENTS, HISTORY
+from runledger.session import scratch_dir, tune
+from runledger.sources.history import internal_traffic, storage_scan
+from runledger.sources.tables import Tables
 
 NOW = datetime(2024, 1, 31)
 MONTH = TimeRange(datetime(2024, 1, 1), NOW)
@@ -200,6 +201,22 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, CONNECTIONS_SQL, "events", "region")
 
 
+_LEDGERS: dict[tuple[str, str], Tables] = {}
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> Tables:
+    """The stored tables all of this leads to, written once per session: what reads find after ingest has run."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LEDGERS:
+        tables = Tables(spark, scratch_dir(tune(spark), "ledger"), slot_hours=24)
+        tables.replace_slots(stamped_events(spark, sf_dir))
+        tables.register_shapes(tables.events())
+        tables.append_storage(storage(spark, sf_dir))
+        tables.record_connections(connections(spark, sf_dir), 0)
+        _LEDGERS[key] = tables
+    return _LEDGERS[key]
+
+
 def everything(span: TimeRange = MONTH, **options) -> EventFilter:
     """All connections, own traffic hidden as in every read by default."""
     return EventFilter(span, **options)

@@ -2,14 +2,13 @@
 
 A run's billable time is additive once it is split by size, so one aggregate with a sum per size prices any group:
 the per-run minimum is applied before summing and no second grouping by size is needed.
+
+Expressions are SQL text over the event columns and over the rate columns that :func:`rates` adds to a connection.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from runledger.functions.text import BLANKS
@@ -22,18 +21,23 @@ HOURLY_USD = {
     "tier3": (0.77, 3.10, 6.19, 15.48, 30.96),
 }
 STORAGE_USD_PER_GB_MONTH = {"tier1": 0.04, "tier2": 0.043, "tier3": 0.044}
-BYTES_PER_GB = 1_000_000_000.0
+BYTES_PER_GB = 1_000_000_000
 MINIMUM_SIZE = "pulse"
 MINIMUM_MS = 1000
 DEFAULT_TIER = "tier1"
-
 UNKNOWN = "unknown"
 
-_MS_PER_HOUR = 3_600_000.0
+_MS_PER_HOUR = 3_600_000
 
+# Execution time is billed; elapsed time, which includes queueing, stands in only where it is missing.
+BILLED_MS = "coalesce(execution_time_ms, total_elapsed_time_ms)"
+# One run's billed time, with a missing duration as zero and a negative one clamped.
+SPENT_MS = f"greatest(coalesce({BILLED_MS}, 0), 0)"
 
-def cleaned(text: Column) -> Column:
-    return F.lower(F.btrim(text, F.lit(BLANKS)))
+
+def cleaned(column: str) -> str:
+    """Names compare without surrounding white space and case."""
+    return f"lower(btrim({column}, '{BLANKS}'))"
 
 
 def parse_tier(raw: str) -> str:
@@ -44,105 +48,79 @@ def parse_tier(raw: str) -> str:
     return tier
 
 
-def stored_tier(tier: Column) -> Column:
+def stored_tier(column: str) -> Column:
     """For stored rows, where an unknown tier falls back to the first."""
-    known = cleaned(tier)
-    return F.when(known.isin(*HOURLY_USD), known).otherwise(F.lit(DEFAULT_TIER))
-
-
-def rate_table(spark: SparkSession) -> DataFrame:
-    """Fifteen rows: tier, size and hourly rate."""
-    rows = [(tier, size, rate) for tier, rates in HOURLY_USD.items() for size, rate in zip(SIZES, rates)]
-    return spark.createDataFrame(rows, "tier string, size string, hourly_usd double")
+    known = ", ".join(f"'{tier}'" for tier in HOURLY_USD)
+    return F.expr(f"case when {cleaned(column)} in ({known}) then {cleaned(column)} else '{DEFAULT_TIER}' end")
 
 
-def storage_rate(tier: Column) -> Column:
-    known = stored_tier(tier)
-    rates = iter(STORAGE_USD_PER_GB_MONTH.items())
-    name, rate = next(rates)
-    chosen = F.when(known == name, F.lit(rate))
-    for name, rate in rates:
-        chosen = chosen.when(known == name, F.lit(rate))
-    return chosen
+def rates(tier: str) -> list[Column]:
+    """The rates of a known tier as columns: ``rate_<size>`` by the hour and ``rate_storage`` by the gigabyte-month."""
 
+    def by_tier(values: dict[str, float]) -> str:
+        return f"case {tier} " + " ".join(f"when '{name}' then {usd}D" for name, usd in values.items()) + " end"
 
-def size_rate(tier: Column, size: str) -> Column:
-    """The hourly rate of one size at a tier that may differ from row to row."""
-    known, position = stored_tier(tier), SIZES.index(size)
-    rates = iter(HOURLY_USD.items())
-    name, values = next(rates)
-    chosen = F.when(known == name, F.lit(values[position]))
-    for name, values in rates:
-        chosen = chosen.when(known == name, F.lit(values[position]))
-    return chosen
+    hourly = [
+        F.expr(by_tier({name: usd[position] for name, usd in HOURLY_USD.items()})).alias(f"rate_{size}")
+        for position, size in enumerate(SIZES)
+    ]
+    return [*hourly, F.expr(by_tier(STORAGE_USD_PER_GB_MONTH)).alias("rate_storage")]
 
 
-def billed_ms() -> Column:
-    """Execution time is billed; elapsed time, which includes queueing, stands in only where it is missing."""
-    return F.coalesce("execution_time_ms", "total_elapsed_time_ms")
+RATE_COLUMNS = (*[f"rate_{size}" for size in SIZES], "rate_storage")
 
 
-def _spent_ms() -> Column:
-    """Billed time of one run, with a missing duration as zero and a negative one clamped."""
-    return F.greatest(F.coalesce(billed_ms(), F.lit(0)), F.lit(0))
+def hourly_rate(size: str) -> str:
+    """The rate of the size a column names; null when the size is not known."""
+    return f"case {cleaned(size)} " + " ".join(f"when '{name}' then rate_{name}" for name in SIZES) + " end"
 
 
 def runtime_sums() -> dict[str, Column]:
     """The additive triple behind a group's price. A run with no duration counts as a short run of 0 ms."""
-    short = F.coalesce(billed_ms(), F.lit(0)) < MINIMUM_MS
+    short = f"coalesce({BILLED_MS}, 0) < {MINIMUM_MS}"
     return {
-        "total_ms": F.sum(_spent_ms()),
-        "sub_second_count": F.count_if(short),
-        "sub_second_ms": F.sum(F.when(short, _spent_ms()).otherwise(F.lit(0))),
+        "total_ms": F.expr(f"sum({SPENT_MS})"),
+        "sub_second_count": F.expr(f"count_if({short})"),
+        "sub_second_ms": F.expr(f"sum(case when {short} then {SPENT_MS} else 0 end)"),
     }
 
 
-def group_cost(size: Column, rate: Column) -> Column:
+def group_cost(size: str) -> Column:
     """Price of a group of one size from its triple. The minimum applies per run; an unknown size costs nothing."""
-    over_minimum = F.greatest(
-        F.greatest(F.col("total_ms"), F.lit(0)) - F.greatest(F.col("sub_second_ms"), F.lit(0)), F.lit(0)
+    raised = (
+        "greatest(greatest(total_ms, 0) - greatest(sub_second_ms, 0), 0)"
+        f" + greatest(sub_second_count, 0) * {MINIMUM_MS}"
     )
-    raised = over_minimum + F.greatest(F.col("sub_second_count"), F.lit(0)) * MINIMUM_MS
-    billable = F.when(cleaned(size) == MINIMUM_SIZE, raised).otherwise(F.greatest(F.col("total_ms"), F.lit(0)))
-    return F.coalesce(billable / F.lit(_MS_PER_HOUR) * rate, F.lit(0.0))
+    billable = f"case when {cleaned(size)} = '{MINIMUM_SIZE}' then {raised} else greatest(total_ms, 0) end"
+    return F.expr(f"coalesce({billable} * {hourly_rate(size)} / {_MS_PER_HOUR}, 0D)")
 
 
-def run_cost(size: Column, duration_ms: Column, rate: Column) -> Column:
+def run_cost() -> Column:
     """Price of one run: null for an unknown size, and for a missing duration unless the size has a minimum."""
-    spent = F.greatest(duration_ms, F.lit(0))
-    floored = F.greatest(F.coalesce(duration_ms, F.lit(0)), F.lit(MINIMUM_MS))
-    billable = F.when(cleaned(size) == MINIMUM_SIZE, floored).when(duration_ms.isNotNull(), spent)
-    return billable / F.lit(_MS_PER_HOUR) * rate
+    floored = f"greatest(coalesce({BILLED_MS}, 0), {MINIMUM_MS})"
+    billable = (
+        f"case when {cleaned('instance_type')} = '{MINIMUM_SIZE}' then {floored}"
+        f" when {BILLED_MS} is not null then greatest({BILLED_MS}, 0) end"
+    )
+    return F.expr(f"{billable} * {hourly_rate('instance_type')} / {_MS_PER_HOUR}")
 
 
-def billable_sums(when: Column | None = None, prefix: str = "billable") -> dict[str, Column]:
-    """Billable milliseconds summed per known size, optionally only over the rows that meet a condition."""
-    size = cleaned(F.col("instance_type"))
+def billable_sums(when: str = "true", prefix: str = "billable") -> dict[str, Column]:
+    """Billable milliseconds summed per known size, over the rows that meet a condition."""
     sums = {}
     for name in SIZES:
-        spent = F.greatest(_spent_ms(), F.lit(MINIMUM_MS)) if name == MINIMUM_SIZE else _spent_ms()
-        counted = size == name if when is None else (size == name) & when
-        sums[f"{prefix}_{name}"] = F.sum(F.when(counted, spent).otherwise(F.lit(0)))
+        spent = f"greatest({SPENT_MS}, {MINIMUM_MS})" if name == MINIMUM_SIZE else SPENT_MS
+        counted = f"{cleaned('instance_type')} = '{name}' and ({when})"
+        sums[f"{prefix}_{name}"] = F.expr(f"sum(case when {counted} then {spent} else 0 end)")
     return sums
 
 
-def billable_cost(tier: Column, prefix: str = "billable") -> Column:
-    """Price of a group from its :func:`billable_sums`."""
-    return reduce(
-        add,
-        [F.coalesce(F.col(f"{prefix}_{name}"), F.lit(0)) / F.lit(_MS_PER_HOUR) * size_rate(tier, name) for name in SIZES],
-    )
+def billable_cost(prefix: str = "billable") -> Column:
+    """Price of a group from its :func:`billable_sums`, zero for no group."""
+    parts = " + ".join(f"coalesce({prefix}_{name}, 0) * rate_{name}" for name in SIZES)
+    return F.expr(f"({parts}) / {_MS_PER_HOUR}")
 
 
-def storage_cost(byte_count: Column, tier: Column) -> Column:
+def storage_cost(byte_count: str) -> Column:
     """Monthly run rate of holding some bytes."""
-    return F.greatest(byte_count, F.lit(0)) / F.lit(BYTES_PER_GB) * storage_rate(tier)
-
-
-def with_rates(rows: DataFrame, tier: str = "region_tier", size: str = "instance_type") -> DataFrame:
-    """Adds ``hourly_usd``, null for an unknown size. The rate table has fifteen rows, so it is broadcast."""
-    rates = rate_table(rows.sparkSession).select(
-        F.col("tier").alias("_tier"), F.col("size").alias("_size"), "hourly_usd"
-    )
-    match = (stored_tier(F.col(tier)) == F.col("_tier")) & (cleaned(F.col(size)) == F.col("_size"))
-    return rows.join(F.broadcast(rates), match, "left").drop("_tier", "_size")
+    return F.expr(f"greatest({byte_count}, 0) / {BYTES_PER_GB} * rate_storage")

@@ -1,39 +1,36 @@
 """Exact interpolated quantiles of integer measures without gathering a group anywhere.
 
-A first pass counts runs per (group, value bin). Bins are exact up to 2,047 and about a thousandth of the value wide above
-that, so a group has at most some 112,000 of them however many rows it holds, and partial aggregation shrinks them
-before the shuffle. The bins' running counts tell which one or two bins hold each wanted rank; a second narrow pass looks
-only at rows in those bins. Nothing is sampled or approximated.
+Runs are counted per (group, value bin). Bins are exact up to 2,047 and about a thousandth of the value wide above that,
+so a group has at most some 112,000 of them however many rows it holds. The bins' running counts tell which one or two
+bins hold each wanted rank, and only the values of those bins are ranked one by one. Nothing is sampled or approximated.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _FINE_BITS = 11  # values below 2 ** 11 have a bin of their own
 
 
-def value_bin(value: Column) -> Column:
+def value_bin(value: str) -> Column:
     """A bin number that grows with the value."""
-    size = F.abs(value)
-    bits = F.when(size >= 1 << _FINE_BITS, F.floor(F.log2(size))).otherwise(F.lit(_FINE_BITS - 1))
-    shift = F.greatest(bits - (_FINE_BITS - 1), F.lit(0)).cast("int")
-    number = shift.cast("long") * (1 << _FINE_BITS) + F.call_function("shiftright", size, shift)
-    return F.when(value < 0, -number).otherwise(number)
+    size = f"abs({value})"
+    shift = f"cast(case when {size} >= {1 << _FINE_BITS} then floor(log2({size})) - {_FINE_BITS - 1} else 0 end as int)"
+    number = f"cast({shift} as bigint) * {1 << _FINE_BITS} + shiftright({size}, {shift})"
+    return F.expr(f"case when {value} < 0 then -({number}) else {number} end")
+
 
+def _ranks(quantiles: dict[str, float], measured: str) -> str:
+    """The wanted ranks, counted from zero, as an array."""
+    at = [f"{function}(({measured} - 1) * {share}D)" for share in quantiles.values() for function in ("floor", "ceil")]
+    return f"array_distinct(array({', '.join(at)}))"
 
-def _positions(measured: Column, quantiles: dict[str, float]) -> dict[str, tuple[Column, Column, Column]]:
-    """Per quantile: rank below, rank above (from zero) and the distance from the lower one."""
-    found = {}
-    for name, share in quantiles.items():
-        at = (measured - 1) * F.lit(share)
-        low = F.floor(at).cast("long")
-        found[name] = (low, F.ceil(at).cast("long"), at - low)
-    return found
+
+def _interpolated(share: float) -> Column:
+    at = f"((_measured - 1) * {share}D)"
+    below, above = f"_at[floor({at})]", f"_at[ceil({at})]"
+    return F.expr(f"case when _measured > 0 then {below} + ({above} - {below}) * ({at} - floor({at})) end")
 
 
 def summarize(
@@ -47,60 +44,62 @@ def summarize(
 ) -> DataFrame:
     """One row per group: the additive ``sums`` and the exact ``quantiles`` of ``value``, null where nothing is measured.
 
-    ``few_groups`` states that the caller bounds the number of groups (chart buckets of one connection); only then is
-    the list of wanted bins, at most four per group, broadcast. Otherwise the join is left to run-time statistics.
+    ``few_groups`` states that the caller bounds the number of groups (the chart of one connection). The list of wanted
+    bins is then at most some 250 rows; it is broadcast and the rows are read a second time, so that nothing but bin
+    counts is shuffled. With any number of groups the rows are read once and their distinct values per group, counted on
+    the map side first, are shuffled and joined to the wanted bins.
+
     ``weight`` names a column that says how many runs a row stands for; without it every row is one run.
     """
-    runs = F.lit(1) if weight is None else F.col(weight)
-    binned = rows.withColumn("_bin", value_bin(F.col(value))).withColumn("_runs", runs.cast("long"))
-    bins = binned.groupBy(*keys, "_bin").agg(
-        F.sum(F.when(F.col(value).isNotNull(), F.col("_runs")).otherwise(F.lit(0))).alias("_n"),
-        *[total.alias(name) for name, total in sums.items()],
-    )
-    totals = bins.groupBy(*keys).agg(
-        F.sum("_n").alias("_measured"), *[F.sum(name).alias(name) for name in sums]
-    )
+    runs = "1L" if weight is None else weight
+    totals = [total.alias(name) for name, total in sums.items()]
+    again = [F.sum(name).alias(name) for name in sums]
+    counted = F.expr(f"sum(case when {value} is not null then {runs} else 0L end)").alias("_n")
+
+    binned = rows.withColumn("_bin", value_bin(value))
+    if few_groups:
+        bins = binned.groupBy(*keys, "_bin").agg(counted, *totals)
+        values = binned.select(*keys, "_bin", value, F.expr(runs).alias("_n"))
+    else:
+        cells = binned.groupBy(*keys, "_bin", value).agg(counted, *totals)
+        bins = cells.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"), *again)
+        values = cells.select(*keys, "_bin", value, "_n")
+    groups = bins.groupBy(*keys).agg(F.sum("_n").alias("_measured"), *again)
 
-    group = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    positions = _positions(F.sum("_n").over(group), quantiles)
-    ranks = F.array_distinct(F.array(*[rank for low, high, _ in positions.values() for rank in (low, high)]))
+    by_bin = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wanted = (
-        bins.where(F.col("_bin").isNotNull())
-        .select(*keys, F.col("_bin"), (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), ranks.alias("_all"))
-        .withColumn("_ranks", F.filter("_all", lambda r: (r >= F.col("_before")) & (r < F.col("_upto"))))
-        .where(F.size("_ranks") > 0)
-        .select(*[F.col(key).alias(f"_k_{key}") for key in keys], F.col("_bin").alias("_k_bin"), "_before", "_ranks")
+        bins.where("_bin is not null")
+        .select(
+            *[F.col(key).alias(f"_key_{key}") for key in keys],
+            F.col("_bin").alias("_key_bin"),
+            (F.sum("_n").over(by_bin) - F.col("_n")).alias("_before"),
+            F.col("_n").alias("_inside"),
+            F.sum("_n").over(Window.partitionBy(*keys)).alias("_measured"),
+        )
+        .withColumn(
+            "_ranks",
+            F.expr(f"filter({_ranks(quantiles, '_measured')}, r -> r >= _before and r < _before + _inside)"),
+        )
+        .where("size(_ranks) > 0")
+        .drop("_inside", "_measured")
     )
-    same_bin = reduce(
-        and_, [F.col(key) == F.col(f"_k_{key}") for key in keys] + [F.col("_bin") == F.col("_k_bin")]
+    same_bin = " and ".join([f"{key} = _key_{key}" for key in keys] + ["_bin = _key_bin"])
+    by_value = (
+        Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    within = (
-        binned.select(*keys, "_bin", value, "_runs")
-        .join(F.broadcast(wanted) if few_groups else wanted, same_bin)
+    ranked = (
+        values.join(F.broadcast(wanted) if few_groups else wanted, F.expr(same_bin))
         .groupBy(*keys, "_bin", "_before", "_ranks", value)
-        .agg(F.sum("_runs").alias("_n"))
-    )
-    one_bin = Window.partitionBy(*keys, "_bin").orderBy(value)
-    seen = F.col("_before") + F.sum("_n").over(one_bin.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    picked = (
-        within.select(*keys, F.col(value).alias("_value"), "_n", "_ranks", seen.alias("_seen"))
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_seen", F.col("_before") + F.sum("_n").over(by_value))
         .select(
             *keys,
-            "_value",
-            F.explode(
-                F.filter("_ranks", lambda r: (r >= F.col("_seen") - F.col("_n")) & (r < F.col("_seen")))
-            ).alias("_rank"),
+            F.col(value).alias("_value"),
+            F.expr("explode(filter(_ranks, r -> r >= _seen - _n and r < _seen))").alias("_rank"),
         )
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at"))
+        .agg(F.expr("map_from_entries(collect_list(struct(_rank, _value)))").alias("_at"))
     )
-
-    def interpolate(low: Column, high: Column, part: Column) -> Column:
-        below, above = F.col("_at")[low], F.col("_at")[high]
-        return F.when(F.col("_measured") > 0, below + (above - below) * part)
-
-    final = _positions(F.col("_measured"), quantiles)
-    return totals.join(picked, keys, "left").select(
-        *keys, *sums, *[interpolate(*final[name]).alias(name) for name in quantiles]
+    return groups.join(ranked, keys, "left").select(
+        *keys, *sums, *[_interpolated(share).alias(name) for name, share in quantiles.items()]
     )

@@ -32,11 +32,12 @@ def select_events(events: DataFrame, flt: EventFilter) -> DataFrame:
 
 
 def tiers(connections: DataFrame, flt: EventFilter | None = None) -> DataFrame:
-    """Connection ids with their tier."""
+    """Connection ids with the rates of their tier."""
     wanted = connections
     if flt is not None and flt.connection_id is not None:
         wanted = connections.where(F.col("id") == flt.connection_id)
-    return wanted.select(F.col("id").alias("connection_id"), pricing.stored_tier(F.col("region_tier")).alias("tier"))
+    known = wanted.select(F.col("id").alias("connection_id"), pricing.stored_tier("region_tier").alias("tier"))
+    return known.select("connection_id", *pricing.rates("tier"))
 
 
 def _one_connection(flt: EventFilter) -> bool:
@@ -58,7 +59,7 @@ def summary(events: DataFrame, connections: DataFrame, flt: EventFilter) -> Data
         F.coalesce("query_count", F.lit(0)).alias("query_count"),
         F.coalesce("failure_count", F.lit(0)).alias("failure_count"),
         *_PERCENTILES,
-        pricing.billable_cost(F.col("tier")).alias("estimated_cost_usd"),
+        pricing.billable_cost().alias("estimated_cost_usd"),
     )
 
 
@@ -70,15 +71,14 @@ def summary_by_instance_type(events: DataFrame, connections: DataFrame, flt: Eve
         .groupBy("connection_id", size)
         .agg(F.count(F.lit(1)).alias("query_count"), *_aliased(pricing.runtime_sums()))
     )
-    priced = pricing.with_rates(groups.join(tiers(connections, flt), "connection_id"), tier="tier")
-    return priced.select(
+    return groups.join(tiers(connections, flt), "connection_id").select(
         "connection_id",
         "instance_type",
         "query_count",
         "total_ms",
         "sub_second_count",
         "sub_second_ms",
-        pricing.group_cost(F.col("instance_type"), F.col("hourly_usd")).alias("estimated_cost_usd"),
+        pricing.group_cost("instance_type").alias("estimated_cost_usd"),
     ).orderBy("connection_id", F.desc("query_count"), "instance_type")
 
 
@@ -106,7 +106,7 @@ def latency_buckets(events: DataFrame, connections: DataFrame, flt: EventFilter)
             F.coalesce("query_count", F.lit(0)).alias("query_count"),
             F.coalesce("failure_count", F.lit(0)).alias("failure_count"),
             *_PERCENTILES,
-            pricing.billable_cost(F.col("tier")).alias("estimated_cost_usd"),
+            pricing.billable_cost().alias("estimated_cost_usd"),
         )
         .orderBy("connection_id", "bucket_start")
     )
@@ -126,7 +126,7 @@ def cost_buckets(events: DataFrame, connections: DataFrame, flt: EventFilter) ->
             "connection_id",
             "bucket_start",
             F.coalesce("query_count", F.lit(0)).alias("query_count"),
-            pricing.billable_cost(F.col("tier")).alias("estimated_cost_usd"),
+            pricing.billable_cost().alias("estimated_cost_usd"),
         )
         .orderBy("connection_id", "bucket_start")
     )
@@ -136,18 +136,16 @@ def _spenders(events: DataFrame, connections: DataFrame, flt: EventFilter, key:
     """One row per key seen in the period or the one before, both priced. One scan and one shuffle serve both."""
     if key not in ATTRIBUTION_KEYS:
         raise ValueError("key must be user_name or instance_type")
-    now = flt.range.covers(F.col("start_time"))
+    now = flt.range.covers("start_time")
     groups = (
         select_events(events, flt.over(flt.range.with_previous()))
         .groupBy("connection_id", F.coalesce(key, F.lit(pricing.UNKNOWN)).alias("key"))
         .agg(
-            F.count_if(now).alias("query_count"),
-            F.count_if(now & F.col("error_type").isNotNull()).alias("failure_count"),
-            F.sum(F.when(now, F.greatest(F.coalesce(pricing.billed_ms(), F.lit(0)), F.lit(0))).otherwise(F.lit(0))).alias(
-                "total_ms"
-            ),
+            F.expr(f"count_if({now})").alias("query_count"),
+            F.expr(f"count_if({now} and error_type is not null)").alias("failure_count"),
+            F.expr(f"sum(case when {now} then {pricing.SPENT_MS} else 0 end)").alias("total_ms"),
             *_aliased(pricing.billable_sums(now, "current")),
-            *_aliased(pricing.billable_sums(~now, "previous")),
+            *_aliased(pricing.billable_sums(f"not ({now})", "previous")),
         )
     )
     return groups.join(tiers(connections, flt), "connection_id").select(
@@ -156,8 +154,8 @@ def _spenders(events: DataFrame, connections: DataFrame, flt: EventFilter, key:
         "query_count",
         "failure_count",
         "total_ms",
-        pricing.billable_cost(F.col("tier"), "current").alias("estimated_cost_usd"),
-        pricing.billable_cost(F.col("tier"), "previous").alias("previous_cost_usd"),
+        pricing.billable_cost("current").alias("estimated_cost_usd"),
+        pricing.billable_cost("previous").alias("previous_cost_usd"),
     )
 
 
@@ -211,9 +209,8 @@ def attribution_totals(events: DataFrame, connections: DataFrame, flt: EventFilt
 
 def with_run_cost(events: DataFrame, connections: DataFrame) -> DataFrame:
     """Adds what each run cost, null where it cannot be priced."""
-    rated = pricing.with_rates(events.join(tiers(connections), "connection_id"), tier="tier")
-    cost = pricing.run_cost(F.col("instance_type"), pricing.billed_ms(), F.col("hourly_usd"))
-    return rated.withColumn("estimated_cost_usd", cost).drop("tier", "hourly_usd")
+    priced = events.join(tiers(connections), "connection_id").withColumn("estimated_cost_usd", pricing.run_cost())
+    return priced.drop(*pricing.RATE_COLUMNS)
 
 
 def first_per_connection(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:

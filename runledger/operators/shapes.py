@@ -58,7 +58,7 @@ def shape_figures(events: DataFrame, connections: DataFrame, flt: EventFilter) -
         "max_ms",
         "bytes_spilled",
         "last_seen",
-        pricing.billable_cost(F.col("tier")).alias("estimated_cost_usd"),
+        pricing.billable_cost().alias("estimated_cost_usd"),
     )
     return with_share(priced)
 

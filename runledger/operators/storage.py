@@ -48,7 +48,7 @@ def storage_by_database(samples: DataFrame, connections: DataFrame) -> DataFrame
             "database_name",
             *STORAGE_BYTES,
             "total_bytes",
-            storage_cost(F.col("total_bytes"), F.col("tier")).alias("estimated_monthly_cost_usd"),
+            storage_cost("total_bytes").alias("estimated_monthly_cost_usd"),
             "computed_at",
         )
         .orderBy("connection_id", F.desc("total_bytes"), "database_name")

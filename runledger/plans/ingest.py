@@ -9,14 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.timebins import age_seconds
 from runledger.operators.merge import EVENT_KEY, backfill_fingerprints, pending_fingerprints
 from runledger.operators.shapes import fingerprinted
-from runledger.sources import tables
-from runledger.sources.history import history_page, is_readable, page_counts, readable_rows, to_events
+from runledger.sources.history import history_page, is_readable, readable_rows, to_events
+from runledger.sources.tables import Tables
 
 
 @dataclass(frozen=True)
@@ -156,57 +156,41 @@ def mark_storage_attempt(connections: DataFrame, due: DataFrame, now: Column) ->
     )
 
 
-def store_batch(spark: SparkSession, drafts: DataFrame, root: str, now: Column) -> None:
+def store_batch(tables: Tables, drafts: DataFrame, now: Column) -> None:
     """Shapes first, then events, so a stored fingerprint always has its shape. Safe to repeat with the same rows."""
     events = fingerprinted(to_events(drafts, now))
-    tables.register_into(spark, f"{root}/shapes", events)
-    tables.upsert_into(spark, f"{root}/events", events)
+    tables.register_shapes(events)
+    tables.upsert_events(events)
 
 
-def backfill(spark: SparkSession, root: str, limit: int) -> None:
-    """Stamps a slice of stored events that have no fingerprint, registering their shapes. Only the hours that hold
-    them are rewritten."""
-    path = f"{root}/events"
-    stored = tables.read_events(spark, path)
+def backfill(tables: Tables, limit: int) -> None:
+    """Stamps a slice of stored events that have no fingerprint, registering their shapes. Only the slots that hold them
+    are rewritten."""
+    stored = tables.events()
     waiting = pending_fingerprints(stored, limit).select(*EVENT_KEY)
     stamped = fingerprinted(stored.join(waiting, EVENT_KEY, "left_semi"))
-    tables.register_into(spark, f"{root}/shapes", stamped)
-    tables.write_events(backfill_fingerprints(tables.same_hours(spark, path, stamped), stamped), path)
+    tables.register_shapes(stamped)
+    tables.replace_slots(backfill_fingerprints(tables.slots_of(stamped), stamped))
 
 
 def ingest_pass(
-    spark: SparkSession,
+    tables: Tables,
     history: DataFrame,
-    connections: DataFrame,
-    root: str,
+    pass_number: int,
     staging: str,
     now: Column,
     settings: IngestSettings = IngestSettings(),
-) -> DataFrame:
-    """Fetches, stores and accounts for one page per enabled connection; returns the updated connections.
+) -> None:
+    """Fetches, stores and accounts for one page per enabled connection.
 
     The page is written to ``staging`` (a shared folder) once, because it feeds the counts, the shapes and the events and
-    a live source may answer differently the second time.
+    a live source may answer differently the second time. The accounts are written last: a pass that fails half way is
+    read again from the old watermark, which the keyed merges make harmless.
     """
+    connections = tables.connections()
     plan = fetch_plan(connections, settings.overlap)
     history_page(history, plan, settings.batch_limit).write.mode("overwrite").parquet(staging)
-    page = spark.read.schema(history.schema).parquet(staging)
-    store_batch(spark, readable_rows(page), root, now)
-    return apply_sync_state(connections, sync_outcome(plan, batch_stats(page), settings.batch_limit), now)
-
-
-__all__ = [
-    "IngestSettings",
-    "advance_watermark",
-    "apply_sync_state",
-    "backfill",
-    "batch_stats",
-    "fetch_plan",
-    "ingest_pass",
-    "mark_storage_attempt",
-    "newest_starts",
-    "page_counts",
-    "storage_due",
-    "store_batch",
-    "sync_outcome",
-]
+    page = tables.spark.read.schema(history.schema).parquet(staging)
+    store_batch(tables, readable_rows(page), now)
+    outcome = sync_outcome(plan, batch_stats(page), settings.batch_limit)
+    tables.record_connections(apply_sync_state(connections, outcome, now), pass_number)

@@ -1,7 +1,8 @@
-"""Parquet tables. Events are laid out by hour, which is what bounds both a read and a rewrite.
+"""The stored tables, as parquet under one root folder.
 
-An ingest pass re-reads the last minutes, so it rewrites the last hour or two and nothing older. Folders hold all
-connections, sorted, so that a small connection does not mean small files; parquet's statistics skip the others' rows.
+Events are laid out by time slot, which is what bounds both a read and a rewrite: an ingest pass re-reads the last
+minutes, so it rewrites the last slot or two and nothing older. Slots hold all connections, sorted, so that a small
+connection does not mean small files; parquet's statistics skip the rows of the others.
 """
 
 from __future__ import annotations
@@ -13,77 +14,96 @@ from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 from runledger.operators.merge import one_per_key, upsert_events
 from runledger.operators.shapes import new_shapes
 from runledger.operators.storage import new_samples
-from runledger.schema import EVENTS, SHAPES, STORAGE
+from runledger.schema import CONNECTIONS, EVENTS, SHAPES, STORAGE
 
-LAYOUT = ["start_date", "start_hour"]
-EVENT_FILES = StructType(
-    EVENTS.fields + [StructField("start_date", DateType(), False), StructField("start_hour", IntegerType(), False)]
+LAYOUT = ["start_date", "start_slot"]
+_FILES = StructType(
+    EVENTS.fields + [StructField("start_date", DateType(), False), StructField("start_slot", IntegerType(), False)]
 )
 
 
-def with_layout(events: DataFrame) -> DataFrame:
-    return events.withColumn("start_date", F.to_date("start_time")).withColumn("start_hour", F.hour("start_time"))
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    if not exists(spark, path):
-        return with_layout(spark.createDataFrame([], EVENTS))
-    return spark.read.schema(EVENT_FILES).parquet(path)
-
-
-def write_events(events: DataFrame, path: str) -> None:
-    """Replaces only the hours present in ``events``. The rebalance splits a busy hour over many tasks and joins quiet
-    ones, so files come out near the advisory size either way."""
-    placed = with_layout(events.select(*EVENTS.names))
-    (
-        placed.hint("rebalance", *[F.col(name) for name in LAYOUT])
-        .sortWithinPartitions(*LAYOUT, "connection_id", "start_time")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*LAYOUT)
-        .parquet(path)
-    )
-
-
-def same_hours(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """Stored events of the hours that ``rows`` fall in. The join is on the layout, so other folders are pruned when it
-    runs."""
-    hours = with_layout(rows).select(*LAYOUT).distinct()
-    return read_events(spark, path).join(hours, LAYOUT, "left_semi")
-
-
-def upsert_into(spark: SparkSession, path: str, batch: DataFrame) -> None:
-    """Merges a batch into the event table by rewriting the hours it touches.
-
-    A run's start time never changes, so a stored row is in the same hour as its re-read. Replaying a batch rewrites the
-    same rows.
-    """
-    new = one_per_key(batch.select(*EVENTS.names))
-    write_events(upsert_events(same_hours(spark, path, new), new) if exists(spark, path) else new, path)
-
-
-def read_shapes(spark: SparkSession, path: str) -> DataFrame:
-    if not exists(spark, path):
-        return spark.createDataFrame([], SHAPES)
-    return spark.read.schema(SHAPES).parquet(path)
-
-
-def register_into(spark: SparkSession, path: str, events: DataFrame) -> None:
-    """Adds the shapes of ``events`` the table lacks. Only additions are written."""
-    new_shapes(events, read_shapes(spark, path)).write.mode("append").parquet(path)
-
-
-def read_storage(spark: SparkSession, path: str) -> DataFrame:
-    if not exists(spark, path):
-        return spark.createDataFrame([], STORAGE)
-    return spark.read.schema(STORAGE).parquet(path)
-
-
-def append_into(spark: SparkSession, path: str, batch: DataFrame) -> None:
-    """Adds the measurements the table lacks."""
-    new_samples(read_storage(spark, path), batch).write.mode("append").parquet(path)
+class Tables:
+    """``slot_hours`` is fixed when the event table is created: 1 for a busy history, up to 24 for a quiet one."""
+
+    def __init__(self, spark: SparkSession, root: str, slot_hours: int = 1) -> None:
+        if slot_hours not in (1, 2, 3, 4, 6, 8, 12, 24):
+            raise ValueError("slot_hours must divide a day")
+        self.spark = spark
+        self.slot_hours = slot_hours
+        self._events, self._shapes, self._storage, self._connections = (
+            f"{root}/{name}" for name in ("events", "shapes", "storage", "connections")
+        )
+
+    def _read(self, path: str, schema: StructType) -> DataFrame:
+        if not exists(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def events(self) -> DataFrame:
+        """With the layout columns, which event filters use to skip folders."""
+        return self._read(self._events, _FILES)
+
+    def shapes(self) -> DataFrame:
+        return self._read(self._shapes, SHAPES)
+
+    def storage(self) -> DataFrame:
+        return self._read(self._storage, STORAGE)
+
+    def connections(self) -> DataFrame:
+        """As left by the latest pass."""
+        if not exists(self.spark, self._connections):
+            return self.spark.createDataFrame([], CONNECTIONS)
+        passes = self.spark.read.schema(StructType(CONNECTIONS.fields + [StructField("pass", IntegerType())])).parquet(
+            self._connections
+        )
+        latest = passes.agg(F.max("pass")).first()[0]
+        return passes.where(F.col("pass") == latest).drop("pass")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        slot = F.hour("start_time") - F.hour("start_time") % self.slot_hours
+        return rows.withColumn("start_date", F.to_date("start_time")).withColumn("start_slot", slot)
+
+    def replace_slots(self, events: DataFrame) -> None:
+        """Replaces the slots present in ``events`` and no others. The rebalance splits a busy slot over many tasks and
+        joins quiet ones, so files come out near the advisory size either way."""
+        (
+            self.placed(events.select(*EVENTS.names))
+            .hint("rebalance", *[F.col(name) for name in LAYOUT])
+            .sortWithinPartitions(*LAYOUT, "connection_id", "start_time")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*LAYOUT)
+            .parquet(self._events)
+        )
+
+    def slots_of(self, rows: DataFrame) -> DataFrame:
+        """Stored events of the slots that ``rows`` fall in. The join is on the layout, so other folders are pruned when
+        it runs."""
+        return self.events().join(self.placed(rows).select(*LAYOUT).distinct(), LAYOUT, "left_semi")
+
+    def upsert_events(self, batch: DataFrame) -> None:
+        """Merges a batch by rewriting the slots it touches.
+
+        A run's start time never changes, so a stored row is in the same slot as its re-read. Replaying a batch rewrites
+        the same rows.
+        """
+        new = one_per_key(batch.select(*EVENTS.names))
+        self.replace_slots(upsert_events(self.slots_of(new), new) if exists(self.spark, self._events) else new)
+
+    def register_shapes(self, events: DataFrame) -> None:
+        """Adds the shapes of ``events`` the table lacks. Only additions are written."""
+        new_shapes(events, self.shapes()).write.mode("append").parquet(self._shapes)
+
+    def append_storage(self, batch: DataFrame) -> None:
+        """Adds the measurements the table lacks."""
+        new_samples(self.storage(), batch).write.mode("append").parquet(self._storage)
+
+    def record_connections(self, connections: DataFrame, pass_number: int) -> None:
+        """Stores the state after a pass next to the earlier ones, so that it can be built from them and a failed write
+        loses nothing. Repeating a pass replaces its own state."""
+        connections.select(*CONNECTIONS.names).write.mode("overwrite").parquet(f"{self._connections}/pass={pass_number}")

@@ -12,29 +12,30 @@ from runledger.operators.quantiles import summarize
 from runledger.plans.ingest import store_batch
 from runledger.plans.params import timestamp
 from runledger.sources.history import is_readable, readable_rows, unreadable_rows
+from runledger.sources.tables import Tables
 
 LATE_BY = "15 minutes"
 
 
 def stream_upsert(
     history: DataFrame,
-    root: str,
+    tables: Tables,
+    quarantine: str,
     checkpoint: str,
     now: datetime | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Ingests a stream of history rows into the tables under ``root``.
+    """Ingests a stream of history rows into the tables.
 
     Every fetched row is stored however late it is; keyed merges make a repeated micro-batch harmless. Unreadable rows
-    go to ``root/quarantine``, one folder per batch so that a repeat replaces it. With ``every`` the stream polls at
+    go to ``quarantine``, one folder per batch so that a repeat replaces it. With ``every`` the stream polls at
     that interval, without it drains what is there and stops.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         at = F.current_timestamp() if now is None else timestamp(now)
-        unreadable_rows(batch).write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
-        store_batch(spark, readable_rows(batch), root, at)
+        unreadable_rows(batch).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+        store_batch(tables, readable_rows(batch), at)
 
     writer = history.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
