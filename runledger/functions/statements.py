@@ -99,7 +99,7 @@ _CLAUSES = r"where|group by|having|order by|limit|offset|union|intersect|except|
 _COMMA_JOIN = rf"\bcross join\b|\bfrom\b(?:(?!\b(?:{_CLAUSES})\b)[^,])*+,"
 _INNERMOST = r"\(([^()]*+)\)"
 _SET_OPERATION = r"\b(?:union|intersect|except)\b"
-_BOUND = r"\blimit\b(?! ?\? ?(?:%|percent\b))|\boffset\b|\bfetch (?:first|next)\b"
+_BOUND = r"\blimit\b|\boffset\b|\bfetch (?:first|next)\b"
 
 
 def _by_level(normalized: Column) -> Column:

@@ -45,61 +45,67 @@ def summarize(
     """One row per group: the additive ``sums`` and the exact ``quantiles`` of ``value``, null where nothing is measured.
 
     ``few_groups`` states that the caller bounds the number of groups (the chart of one connection). The list of wanted
-    bins is then at most some 250 rows; it is broadcast and the rows are read a second time, so that nothing but bin
-    counts is shuffled. With any number of groups the rows are read once and their distinct values per group, counted on
-    the map side first, are shuffled and joined to the wanted bins.
+    bins is then at most some 250 rows; it is broadcast, so that nothing but bin counts is shuffled. With any number of
+    groups the distinct values per group, counted on the map side first, are shuffled and joined to the wanted bins.
 
     ``weight`` names a column that says how many runs a row stands for; without it every row is one run.
     """
     runs = "1L" if weight is None else weight
-    totals = [total.alias(name) for name, total in sums.items()]
-    again = [F.sum(name).alias(name) for name in sums]
-    counted = F.expr(f"sum(case when {value} is not null then {runs} else 0L end)").alias("_n")
-
     binned = rows.withColumn("_bin", value_bin(value))
-    if few_groups:
-        bins = binned.groupBy(*keys, "_bin").agg(counted, *totals)
-        values = binned.select(*keys, "_bin", value, F.expr(runs).alias("_n"))
-    else:
-        cells = binned.groupBy(*keys, "_bin", value).agg(counted, *totals)
-        bins = cells.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"), *again)
-        values = cells.select(*keys, "_bin", value, "_n")
-    groups = bins.groupBy(*keys).agg(F.sum("_n").alias("_measured"), *again)
+    bins = binned.groupBy(*keys, "_bin").agg(
+        F.expr(f"sum(case when {value} is not null then {runs} else 0L end)").alias("_n"),
+        *[total.alias(name) for name, total in sums.items()],
+    )
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = bins.select(
+        *keys,
+        "_bin",
+        F.row_number().over(group.orderBy("_bin")).alias("_place"),
+        (upto - F.col("_n")).alias("_before"),
+        "_n",
+        F.sum("_n").over(group).alias("_measured"),
+        *[F.sum(name).over(group).alias(name) for name in sums],
+    )
+    ranks = F.expr(f"filter({_ranks(quantiles, '_measured')}, r -> r >= _before and r < _before + _n)")
+    totals = ["_measured", *sums]
 
-    by_bin = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Both uses of ``placed`` keep the same columns, so Spark computes its shuffle once.
     wanted = (
-        bins.where("_bin is not null")
+        placed.withColumn("_ranks", ranks)
+        .where("_bin is not null and size(_ranks) > 0")
         .select(
-            *[F.col(key).alias(f"_key_{key}") for key in keys],
-            F.col("_bin").alias("_key_bin"),
-            (F.sum("_n").over(by_bin) - F.col("_n")).alias("_before"),
-            F.col("_n").alias("_inside"),
-            F.sum("_n").over(Window.partitionBy(*keys)).alias("_measured"),
-        )
-        .withColumn(
-            "_ranks",
-            F.expr(f"filter({_ranks(quantiles, '_measured')}, r -> r >= _before and r < _before + _inside)"),
+            *[F.col(key).alias(f"_key_{key}") for key in keys], F.col("_bin").alias("_key_bin"), "_before", "_ranks", *totals
         )
-        .where("size(_ranks) > 0")
-        .drop("_inside", "_measured")
     )
+    if few_groups:
+        wanted, values = F.broadcast(wanted), binned.select(*keys, "_bin", value, F.expr(runs).alias("_runs"))
+    else:
+        values = binned.groupBy(*keys, "_bin", value).agg(F.expr(f"sum({runs})").alias("_runs"))
     same_bin = " and ".join([f"{key} = _key_{key}" for key in keys] + ["_bin = _key_bin"])
     by_value = (
         Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = (
-        values.join(F.broadcast(wanted) if few_groups else wanted, F.expr(same_bin))
-        .groupBy(*keys, "_bin", "_before", "_ranks", value)
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_seen", F.col("_before") + F.sum("_n").over(by_value))
+        values.join(wanted, F.expr(same_bin))
+        .groupBy(*keys, "_bin", value)
+        .agg(F.sum("_runs").alias("_runs"), *[F.first(name).alias(name) for name in ("_before", "_ranks", *totals)])
+        .withColumn("_seen", F.col("_before") + F.sum("_runs").over(by_value))
         .select(
             *keys,
+            *totals,
+            F.expr("explode(filter(_ranks, r -> r >= _seen - _runs and r < _seen))").alias("_rank"),
             F.col(value).alias("_value"),
-            F.expr("explode(filter(_ranks, r -> r >= _seen - _n and r < _seen))").alias("_rank"),
         )
-        .groupBy(*keys)
-        .agg(F.expr("map_from_entries(collect_list(struct(_rank, _value)))").alias("_at"))
     )
-    return groups.join(ranked, keys, "left").select(
-        *keys, *sums, *[_interpolated(share).alias(name) for name, share in quantiles.items()]
+    # one row per group that does not depend on there being any value
+    bare = placed.where("_place = 1").select(
+        *keys, *totals, F.lit(None).cast("long").alias("_rank"), F.lit(None).cast("long").alias("_value")
+    )
+    at = "map_from_entries(collect_list(struct(_rank, _value)) filter (where _rank is not null))"
+    return (
+        bare.unionByName(ranked)
+        .groupBy(*keys)
+        .agg(F.expr(at).alias("_at"), *[F.max(name).alias(name) for name in totals])
+        .select(*keys, *sums, *[_interpolated(share).alias(name) for name, share in quantiles.items()])
     )

@@ -24,11 +24,15 @@ SHAPE_KEY = ["connection_id", "fingerprint"]
 
 
 def fingerprinted(events: DataFrame) -> DataFrame:
-    """Stamps rows that have no fingerprint yet. Map-only: text is normalized where it is read and never shuffled."""
+    """Stamps rows that have no fingerprint yet and leaves the others' text alone. Map-only: text is normalized where it is
+    read and never shuffled."""
+    fresh = F.col("query_text")
     stamped = fingerprint_of(shape_key(F.col("_normal")))
     if "fingerprint" in events.columns:
+        fresh = F.when(F.col("fingerprint").isNull(), fresh)
         stamped = F.coalesce("fingerprint", stamped)
-    return with_normalized(events, "query_text", "_normal").withColumn("fingerprint", stamped).drop("_normal")
+    normal = with_normalized(events.withColumn("_text", fresh), "_text", "_normal")
+    return normal.withColumn("fingerprint", stamped).drop("_text", "_normal")
 
 
 def shape_figures(events: DataFrame, connections: DataFrame, flt: EventFilter) -> DataFrame:
