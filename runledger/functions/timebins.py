@@ -24,6 +24,7 @@ def bucket_grid(keys: DataFrame, span: TimeRange) -> DataFrame:
 
 def interval_ms(interval: Column) -> Column:
     """A day-time interval as whole milliseconds."""
+    interval = interval.cast("interval day to second")
     seconds = (
         F.extract(F.lit("DAY"), interval) * 86400
         + F.extract(F.lit("HOUR"), interval) * 3600

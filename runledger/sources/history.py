@@ -17,6 +17,10 @@ UUID_PATTERN = rf"^(?:{_HEX}{{32}}|(?:urn:uuid:)?{_HYPHENATED}|\{{{_HYPHENATED}\
 MIN_MS, MAX_MS = -8_334_601_228_800_000, 8_210_266_876_799_999
 
 
+# History columns that a draft holds in another form.
+_RESHAPED = ("query_id", "query_text", "query_type", "start_ms", "end_ms")
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """History exported as parquet. Any Spark reader that yields the ``HISTORY`` columns serves as well."""
     return spark.read.schema(HISTORY).parquet(path)
@@ -24,12 +28,9 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 def with_epoch_ms(rows: DataFrame, times: dict[str, str], intervals: dict[str, str]) -> DataFrame:
     """Turns timestamp and interval columns into millisecond columns; both arguments map source to target names."""
-    for source, target in times.items():
-        rows = rows.withColumn(target, F.unix_millis(source)).drop(source)
-    for source, target in intervals.items():
-        measured = interval_ms(F.col(source))
-        rows = rows.drop(source).withColumn(target, measured) if source != target else rows.withColumn(target, measured)
-    return rows
+    converted = {name: F.unix_millis(name).alias(target) for name, target in times.items()}
+    converted |= {name: interval_ms(F.col(name)).alias(target) for name, target in intervals.items()}
+    return rows.select(*[converted.get(name, F.col(name)) for name in rows.columns])
 
 
 def history_page(history: DataFrame, plan: DataFrame, limit: int) -> DataFrame:
@@ -69,7 +70,7 @@ def readable_rows(page: DataFrame) -> DataFrame:
         "query_type",
         _event_time(F.col("start_ms")).alias("start_time"),
         _event_time(F.col("end_ms")).alias("end_time"),
-        *[name for name in page.columns if name not in ("connection_id", "query_id", "query_text", "query_type", "start_ms", "end_ms")],
+        *[name for name in page.columns if name not in ("connection_id", *_RESHAPED)],
     )
 
 

@@ -82,9 +82,10 @@ class Tables:
         )
 
     def slots_of(self, rows: DataFrame) -> DataFrame:
-        """Stored events of the slots that ``rows`` fall in. The join is on the layout, so other folders are pruned when
-        it runs."""
-        return self.events().join(self.placed(rows).select(*LAYOUT).distinct(), LAYOUT, "left_semi")
+        """Stored events of the slots that ``rows`` fall in. There are at most 24 slots a day, so their list is broadcast
+        whatever ``rows`` holds; being the layout, it prunes the other folders when the scan starts."""
+        slots = self.placed(rows).select(*LAYOUT).distinct()
+        return self.events().join(F.broadcast(slots), LAYOUT, "left_semi")
 
     def upsert_events(self, batch: DataFrame) -> None:
         """Merges a batch by rewriting the slots it touches.
