@@ -16,7 +16,7 @@ from runledger.functions import statements
 from runledger.operators import charts, findings, health, merge, reads, shapes, storage
 from runledger.plans import ingest
 from runledger.plans.params import ListOptions, TimeRange, timestamp
-from runledger.session import scratch_dir
+from runledger.session import scratch_dir, spread
 from runledger.sources import history as source
 from runledger.sources.tables import LAYOUT, Tables
 from runledger.streaming import live
@@ -281,7 +281,7 @@ def document_statements(spark, d):
     sample.tune(spark)
     text = F.col("text")
     normalized = F.col("normalized_sql")
-    documents = statements.with_normalized(spark.read.parquet(f"{d}/documents.parquet"), "text")
+    documents = statements.with_normalized(spread(spark.read.parquet(f"{d}/documents.parquet")), "text")
     return documents.select(
         "doc_id",
         statements.fingerprint_of(normalized).alias("fingerprint"),
@@ -438,7 +438,7 @@ def stream_upsert(spark, d):
     stream = live.stream_upsert(
         _history_stream(spark, _history_table(spark, d)),
         stored,
-        scratch_dir(spark, "quarantine"),
+        scratch_dir(spark, "work"),
         scratch_dir(spark, "upsert-progress"),
         now=NOW,
     )

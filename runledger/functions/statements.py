@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from runledger.functions.text import BLANK_CLASS, BLANKS, PREVIEW_SPACE, char_class
 from runledger.schema import STATEMENT_FLAGS
 
+# How much of a statement a list shows, and the note under a copied one that was cut.
 PREVIEW_LEN = 2000
+CUT_NOTE = f"-- This query was cut at {PREVIEW_LEN} characters and is not complete."
 
 # Lexical pieces of a statement. ASCII has alternatives of its own, first, because regexes test those fastest. A word is
 # read in pieces: each starts with a letter and takes the ASCII letters and digits that follow.
@@ -193,5 +195,4 @@ def cut(sql: Column) -> Column:
 
 def labelled(sql: Column, was_cut: Column) -> Column:
     """A list form that says so when it is not the whole statement."""
-    note = f"\n-- This query was cut at {PREVIEW_LEN} characters and is not complete."
-    return F.when(was_cut, F.concat(sql, F.lit(note))).otherwise(sql)
+    return F.when(was_cut, F.concat(sql, F.lit("\n" + CUT_NOTE))).otherwise(sql)

@@ -32,12 +32,13 @@ def select_events(events: DataFrame, flt: EventFilter) -> DataFrame:
 
 
 def tiers(connections: DataFrame, flt: EventFilter | None = None) -> DataFrame:
-    """Connection ids with the rates of their tier."""
-    wanted = connections
-    if flt is not None and flt.connection_id is not None:
-        wanted = connections.where(F.col("id") == flt.connection_id)
+    """Connection ids with the rates of their tier. Of one connection that is one row, so it is broadcast; of all of them
+    it is left to statistics, and beyond the broadcast threshold to a join that AQE splits where one id dominates."""
+    one = flt is not None and flt.connection_id is not None
+    wanted = connections.where(F.col("id") == flt.connection_id) if one else connections
     known = wanted.select(F.col("id").alias("connection_id"), pricing.stored_tier("region_tier").alias("tier"))
-    return known.select("connection_id", *pricing.rates("tier"))
+    rated = known.select("connection_id", *pricing.rates("tier"))
+    return F.broadcast(rated) if one else rated
 
 
 def _one_connection(flt: EventFilter) -> bool:
@@ -159,14 +160,16 @@ def _spenders(events: DataFrame, connections: DataFrame, flt: EventFilter, key:
     )
 
 
-def with_share(rows: DataFrame, cost: str = "estimated_cost_usd") -> DataFrame:
+def with_share(rows: DataFrame, flt: EventFilter) -> DataFrame:
     """Adds ``cost_share`` of the connection's total, 0 when there is none.
 
-    The total comes from a partial aggregate and an equality join, so no connection's rows meet in one task.
+    The total comes from a partial aggregate and an equality join, so no connection's rows need to meet in one task. Of
+    one connection it is one row and broadcast.
     """
-    total = rows.groupBy("connection_id").agg(F.sum(cost).alias("_total"))
-    share = F.when(F.col("_total") > 0, F.col(cost) / F.col("_total")).otherwise(F.lit(0.0))
-    return rows.join(total, "connection_id").withColumn("cost_share", share).drop("_total")
+    total = rows.groupBy("connection_id").agg(F.sum("estimated_cost_usd").alias("_total"))
+    share = F.expr("case when _total > 0 then estimated_cost_usd / _total else 0D end")
+    joined = rows.join(F.broadcast(total) if _one_connection(flt) else total, "connection_id")
+    return joined.withColumn("cost_share", share).drop("_total")
 
 
 def attribution(events: DataFrame, connections: DataFrame, flt: EventFilter, key: str) -> DataFrame:
@@ -175,7 +178,7 @@ def attribution(events: DataFrame, connections: DataFrame, flt: EventFilter, key
     previous = F.col("previous_cost_usd")
     change = (F.col("estimated_cost_usd") - previous) / previous * 100
     return (
-        with_share(active)
+        with_share(active, flt)
         .withColumn("change_pct", F.when(previous >= CHANGE_FLOOR_USD, change))
         .select(
             "connection_id",

@@ -64,7 +64,7 @@ def shape_figures(events: DataFrame, connections: DataFrame, flt: EventFilter) -
         "last_seen",
         pricing.billable_cost().alias("estimated_cost_usd"),
     )
-    return with_share(priced)
+    return with_share(priced, flt)
 
 
 def known_flags(stored: Column) -> Column:
@@ -132,15 +132,13 @@ def shape_statements(shapes: DataFrame, wanted: DataFrame) -> DataFrame:
 def new_shapes(events: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """A row for every shape of ``events`` that ``existing`` lacks, from its earliest event.
 
-    Known shapes drop out before any text is grouped. The earliest event is a partial aggregate, so a shape that makes up
-    most of the history sends one row per task, and analysis runs once per shape.
+    The earliest event is a partial aggregate, so a shape that makes up most of the history sends one row per task, and
+    both the comparison with the table and the analysis see one row per shape.
     """
     rows = fingerprinted(events).select(*SHAPE_KEY, "start_time", "query_id", "query_text")
+    first = rows.groupBy(*SHAPE_KEY).agg(F.min(F.struct("start_time", "query_id", "query_text")).alias("first"))
     if existing is not None:
-        rows = rows.join(existing.select(*SHAPE_KEY), SHAPE_KEY, "left_anti")
-    first = rows.groupBy(*SHAPE_KEY).agg(
-        F.min(F.struct("start_time", "query_id", "query_text")).alias("first")
-    )
+        first = first.join(existing.select(*SHAPE_KEY), SHAPE_KEY, "left_anti")
     examples = first.select(
         *SHAPE_KEY, F.col("first.start_time").alias("first_seen"), F.col("first.query_text").alias("example_sql")
     )

@@ -156,9 +156,16 @@ def mark_storage_attempt(connections: DataFrame, due: DataFrame, now: Column) ->
     )
 
 
-def store_batch(tables: Tables, drafts: DataFrame, now: Column) -> None:
+def staged(rows: DataFrame, path: str) -> DataFrame:
+    """The rows, read back from a shared folder: computed once for everything that follows, and safe from lost executors.
+    The folder is overwritten by the next batch."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def store_batch(tables: Tables, drafts: DataFrame, staging: str, now: Column) -> None:
     """Shapes first, then events, so a stored fingerprint always has its shape. Safe to repeat with the same rows."""
-    events = fingerprinted(to_events(drafts, now))
+    events = staged(fingerprinted(to_events(drafts, now)), f"{staging}/events")
     tables.register_shapes(events)
     tables.upsert_events(events)
 
@@ -183,14 +190,13 @@ def ingest_pass(
 ) -> None:
     """Fetches, stores and accounts for one page per enabled connection.
 
-    The page is written to ``staging`` (a shared folder) once, because it feeds the counts, the shapes and the events and
-    a live source may answer differently the second time. The accounts are written last: a pass that fails half way is
-    read again from the old watermark, which the keyed merges make harmless.
+    The page is staged because it feeds the counts as well as the tables, and a live source may answer differently the
+    second time. The accounts are written last: a pass that fails half way is read again from the old watermark, which
+    the keyed merges make harmless.
     """
     connections = tables.connections()
     plan = fetch_plan(connections, settings.overlap)
-    history_page(history, plan, settings.batch_limit).write.mode("overwrite").parquet(staging)
-    page = tables.spark.read.schema(history.schema).parquet(staging)
-    store_batch(tables, readable_rows(page), now)
+    page = staged(history_page(history, plan, settings.batch_limit), f"{staging}/page")
+    store_batch(tables, readable_rows(page), staging, now)
     outcome = sync_outcome(plan, batch_stats(page), settings.batch_limit)
     tables.record_connections(apply_sync_state(connections, outcome, now), pass_number)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings, so they can be applied to a session somebody else started.
 SETTINGS = {
@@ -46,3 +46,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows out when their source has fewer splits than there are cores, as with one file of a single row group.
+
+    Meant before costly work on each row. A table of many files keeps its splits and is not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -20,7 +20,7 @@ LATE_BY = "15 minutes"
 def stream_upsert(
     history: DataFrame,
     tables: Tables,
-    quarantine: str,
+    work: str,
     checkpoint: str,
     now: datetime | None = None,
     every: str | None = None,
@@ -28,14 +28,14 @@ def stream_upsert(
     """Ingests a stream of history rows into the tables.
 
     Every fetched row is stored however late it is; keyed merges make a repeated micro-batch harmless. Unreadable rows
-    go to ``quarantine``, one folder per batch so that a repeat replaces it. With ``every`` the stream polls at
+    go to ``work/quarantine``, one folder per batch so that a repeat replaces it. With ``every`` the stream polls at
     that interval, without it drains what is there and stops.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         at = F.current_timestamp() if now is None else timestamp(now)
-        unreadable_rows(batch).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
-        store_batch(tables, readable_rows(batch), at)
+        unreadable_rows(batch).write.mode("overwrite").parquet(f"{work}/quarantine/batch={batch_id}")
+        store_batch(tables, readable_rows(batch), f"{work}/staging", at)
 
     writer = history.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

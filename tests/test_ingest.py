@@ -359,11 +359,11 @@ def test_a_stream_ends_where_the_batch_ends(spark):
     batches = [history.where(F.col("execution_time_ms").isNull() | (F.col("execution_time_ms") < 30)), history.where("execution_time_ms >= 30")]
     for batch in batches:
         batch.coalesce(1).write.mode("append").parquet(folder)
-    tables, quarantine = Tables(spark, scratch_dir(spark, "tables"), 24), scratch_dir(spark, "quarantine")
+    tables, work = Tables(spark, scratch_dir(spark, "tables"), 24), scratch_dir(spark, "work")
     stream = live.stream_upsert(
         spark.readStream.schema(source.HISTORY).option("maxFilesPerTrigger", 1).parquet(folder),
         tables,
-        quarantine,
+        work,
         scratch_dir(spark, "progress"),
         now=NOW,
     )
@@ -372,7 +372,7 @@ def test_a_stream_ends_where_the_batch_ends(spark):
     assert len(found) == 30 and {row.execution_time_ms for row in found} == set(range(30, 60))
     assert len({row.query_text for row in found} & {f"select {n}" for n in range(30)}) == 30, "the first text stays"
     assert tables.shapes().count() == 1 and len({row.fingerprint for row in found}) == 1
-    assert spark.read.parquet(quarantine).count() == 1
+    assert spark.read.parquet(f"{work}/quarantine").count() == 1
     assert set(LAYOUT) < set(tables.events().columns)
 
 
