@@ -88,8 +88,8 @@ def summarize(
     )
     ranked = (
         values.join(wanted, F.expr(same_bin))
-        .groupBy(*keys, "_bin", value)
-        .agg(F.sum("_runs").alias("_runs"), *[F.first(name).alias(name) for name in ("_before", "_ranks", *totals)])
+        .groupBy(*keys, "_bin", "_before", "_ranks", value)
+        .agg(F.sum("_runs").alias("_runs"), *[F.first(name).alias(name) for name in totals])
         .withColumn("_seen", F.col("_before") + F.sum("_runs").over(by_value))
         .select(
             *keys,

@@ -166,10 +166,13 @@ def with_share(rows: DataFrame, flt: EventFilter) -> DataFrame:
     The total comes from a partial aggregate and an equality join, so no connection's rows need to meet in one task. Of
     one connection it is one row and broadcast.
     """
-    total = rows.groupBy("connection_id").agg(F.sum("estimated_cost_usd").alias("_total"))
-    share = F.expr("case when _total > 0 then estimated_cost_usd / _total else 0D end")
+    # The hash makes the total depend on every column, so that both uses of ``rows`` prune alike and share one shuffle.
+    total = rows.groupBy("connection_id").agg(
+        F.sum("estimated_cost_usd").alias("_total"), F.max(F.hash(*rows.columns)).alias("_all")
+    )
+    share = F.expr("case when _total > 0 and _all is not null then estimated_cost_usd / _total else 0D end")
     joined = rows.join(F.broadcast(total) if _one_connection(flt) else total, "connection_id")
-    return joined.withColumn("cost_share", share).drop("_total")
+    return joined.withColumn("cost_share", share).drop("_total", "_all")
 
 
 def attribution(events: DataFrame, connections: DataFrame, flt: EventFilter, key: str) -> DataFrame:

@@ -83,8 +83,9 @@ class Tables:
 
     def slots_of(self, rows: DataFrame) -> DataFrame:
         """Stored events of the slots that ``rows`` fall in. There are at most 24 slots a day, so their list is broadcast
-        whatever ``rows`` holds; being the layout, it prunes the other folders when the scan starts."""
-        slots = self.placed(rows).select(*LAYOUT).distinct()
+        whatever ``rows`` holds; being the layout, it prunes the other folders when the scan starts. Spark prunes by lists
+        that carry a comparison only, hence the one that is always true."""
+        slots = self.placed(rows.select("start_time")).where("start_date >= date'0001-01-01'").select(*LAYOUT).distinct()
         return self.events().join(F.broadcast(slots), LAYOUT, "left_semi")
 
     def upsert_events(self, batch: DataFrame) -> None:
@@ -93,8 +94,9 @@ class Tables:
         A run's start time never changes, so a stored row is in the same slot as its re-read. Replaying a batch rewrites
         the same rows.
         """
-        new = one_per_key(batch.select(*EVENTS.names))
-        self.replace_slots(upsert_events(self.slots_of(new), new) if exists(self.spark, self._events) else new)
+        new = batch.select(*EVENTS.names)
+        stored = exists(self.spark, self._events)
+        self.replace_slots(upsert_events(self.slots_of(new), new) if stored else one_per_key(new))
 
     def register_shapes(self, events: DataFrame) -> None:
         """Adds the shapes of ``events`` the table lacks. Only additions are written."""

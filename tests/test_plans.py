@@ -9,7 +9,7 @@ import pytest
 import rows
 from rows import DAY, NOW
 
-from runledger.operators import findings, merge, reads, shapes
+from runledger.operators import findings, reads, shapes
 from runledger.plans import ingest
 from runledger.plans.params import EventFilter, TimeRange, timestamp
 from runledger.session import scratch_dir
@@ -90,7 +90,7 @@ def test_history_pages_prune_before_the_shuffle(spark):
 
 
 def test_an_upsert_reads_only_touched_slots(spark, tables):
-    batch = merge.one_per_key(rows.events(spark, {"start_time": NOW}))
+    batch = rows.events(spark, {"start_time": NOW})
     text = plan(tables.slots_of(batch))
     assert re.search(r"PartitionFilters: \[.*dynamicpruning", text), text
     found = tables.slots_of(batch)
@@ -103,6 +103,15 @@ def test_attribution_scans_both_periods_once(tables):
     assert len([scan for scan in scans(text) if "/events" in scan]) == 1
 
 
+def test_shares_do_not_read_the_events_again(tables):
+    for flt in (EventFilter(DAY), EventFilter(DAY, connection_id="c")):
+        frame = shapes.shape_figures(tables.events(), tables.connections(), flt)
+        frame.write.format("noop").mode("overwrite").save()
+        frame.collect()
+        final = plan(frame).split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in final, final
+
+
 def test_fingerprinting_needs_no_shuffle(spark):
     events = rows.events(spark, {}).drop("fingerprint")
     text = plan(shapes.fingerprinted(events))
