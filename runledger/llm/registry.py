@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import packing, token_files
+from runledger.llm import mixing, packing, quality_rules, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_token_files": token_files.query,
+        "op2_quality_rules": quality_rules.query,
+        "op9_mixing": mixing.query,
         "op10_best_fit_packing": packing.query,
     }
 

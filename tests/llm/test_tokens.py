@@ -1,5 +1,6 @@
 """Token files and packing against plain encoding of each text."""
 
+import functools
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +17,8 @@ SF = "/root/testdata/sf0.001"
 ODD = ["", None, " ", "\n\n", "a", "a  b\n c", " x y", "x\x1cy \x1d", "é ́a", "<|endoftext|> it's 12 345", "日本 語　x", "a᠎b"]
 
 
-def plain(name, spaces_unused=None):
+@functools.cache
+def plain(name):
     tokenizer = Tokenizer.from_file(vocabulary(name))
     tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
@@ -26,11 +28,13 @@ def plain(name, spaces_unused=None):
 @given(st.text(alphabet=st.one_of(st.sampled_from(list(" \t\n\r\x0b\x0c\x1c\x85  　'sA1.é́")), st.characters(codec="utf-8")), max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_units_have_the_ids_of_the_text(name, spaces, text):
-    own = _ENCODERS.setdefault(name, (Encoder(name, spaces), plain(name)))
+    own = both(name, spaces)
     assert np.frombuffer(own[0].encode(text), "<u4").tolist() == own[1](text)
 
 
-_ENCODERS = {}
+@functools.cache
+def both(name, spaces):
+    return Encoder(name, spaces), plain(name)
 
 
 def rows_of(spark, texts, **more):
