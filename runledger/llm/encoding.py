@@ -16,8 +16,8 @@ from collections.abc import Iterator
 _ODD = re.compile("[\x1c-\x1f᠎]")
 _LED = re.compile(r"\s*\S+|\s+\Z")
 _BREAK = re.compile(r"(?<=\S)\s")
-# Units kept by a worker, and characters cut into units at a time.
-KEPT_UNITS = 250_000
+# Units in each of the two generations a worker keeps, and characters cut into units at a time.
+KEPT_UNITS = 400_000
 SLICE = 1 << 20
 
 
@@ -38,7 +38,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(name if os.path.sep in name else vocabulary(name))
         self.tokenizer.encode_special_tokens = True
         self.units = _LED.findall if spaces else str.split
+        self.lower = not spaces
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = dict(zip(",.", self.whole([",", "."]), strict=True))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -54,6 +57,28 @@ class Encoder:
             at = cut.start()
         yield text[at:]
 
+    def stem(self, unit: str) -> str:
+        """The unit without what is sure to be a word of its own, or not to matter."""
+        if unit[-1] in ",." and unit[-2:-1].isascii() and unit[-2:-1].isalpha():
+            unit = unit[:-1]
+        return unit.lower() if self.lower and unit.isascii() else unit
+
+    def learn(self, units: list[str]) -> None:
+        """Finds the ids of units not known yet; when there are too many, those not asked for since the last time go."""
+        if len(self.known) > KEPT_UNITS:
+            self.older, self.known = self.known, {}
+        known, older, unknown = self.known, self.older, []
+        for unit in set(units).difference(known):
+            if (ids := older.get(unit)) is None:
+                unknown.append((unit, self.stem(unit)))
+            else:
+                known[unit] = ids
+        new = list({stem for _, stem in unknown if stem not in known and stem not in older})
+        found = dict(zip(new, self.whole(new), strict=True))
+        for unit, stem in unknown:
+            ids = found.get(stem) or known.get(stem) or older.get(stem) or b""
+            known[unit] = ids + self.marks[unit[-1]] if len(stem) < len(unit) else ids
+
     def encode(self, text: str) -> bytes:
         if _ODD.search(text):
             return self.whole([text])[0]
@@ -63,10 +88,7 @@ class Encoder:
             try:
                 out.append(b"".join(map(self.known.__getitem__, units)))
             except KeyError:
-                if len(self.known) > KEPT_UNITS:
-                    self.known.clear()
-                new = list(set(units).difference(self.known))
-                self.known.update(zip(new, self.whole(new), strict=True))
+                self.learn(units)
                 out.append(b"".join(map(self.known.__getitem__, units)))
         return b"".join(out)
 

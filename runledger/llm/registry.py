@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import mixing, near_duplicates, packing, personal_data, quality_rules, token_files
+from runledger.llm import mixing, near_duplicates, packing, personal_data, quality_classifier, quality_rules, token_files, vector_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,9 @@ def queries() -> dict[str, Query]:
         "op1_token_files": token_files.query,
         "op2_quality_rules": quality_rules.query,
         "op4_personal_data": personal_data.query,
+        "op5_quality_classifier": quality_classifier.query,
         "op7_near_duplicates": near_duplicates.query,
+        "op8_vector_duplicates": vector_duplicates.query,
         "op9_mixing": mixing.query,
         "op10_best_fit_packing": packing.query,
     }
