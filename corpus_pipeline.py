@@ -1,4 +1,8 @@
-"""Prepares ``documents`` for training: five stages, each written and read again before the next."""
+"""Prepares ``documents`` for training: five stages, each written and read again before the next.
+
+Every stage works on all that the one before it kept and returns the columns of documents, but for the last, which returns
+where each piece of each document goes.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +10,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import packing
+from runledger.llm import mixing, near_duplicates, packing, personal_data, quality_rules
 from runledger.llm.common import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def reject(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.good_documents(docs)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_duplicates.distinct_documents(docs)
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kind."""
+    return personal_data.masked_documents(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every piece of every document left goes."""
+    """Where every piece of every document goes."""
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("best_fit_packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", reject),
+    ("near_duplicates", deduplicate),
+    ("personal_data", mask),
+    ("mixing", mix),
+    ("best_fit_packing", pack),
+]
 
-# Near duplicates and token ids are beyond SQL; tests/llm/test_pipeline.py compares with a brute-force version.
+# Similarity of sketched sets, token ids and trained span models are beyond SQL: the tests hold each stage against a
+# brute-force version.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import mixing, near_duplicates, packing, personal_data, quality_classifier, quality_rules, token_files, vector_duplicates
+from runledger.llm import (
+    context_trees,
+    mixing,
+    near_duplicates,
+    packing,
+    page_text,
+    personal_data,
+    quality_classifier,
+    quality_rules,
+    token_files,
+    vector_duplicates,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +26,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_files": token_files.query,
         "op2_quality_rules": quality_rules.query,
+        "op3_context_trees": context_trees.query,
         "op4_personal_data": personal_data.query,
         "op5_quality_classifier": quality_classifier.query,
+        "op6_page_text": page_text.query,
         "op7_near_duplicates": near_duplicates.query,
         "op8_vector_duplicates": vector_duplicates.query,
         "op9_mixing": mixing.query,
