@@ -37,7 +37,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Candidates beyond the base.
 _WORDY_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?(?:\(at\)|\[at\]|\{at\})[\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?(?:\(dot\)|\[dot\]|\{dot\}|\.)[\x20]?[A-Za-z0-9-]{1,63}){1,6}")
-_NATIONAL = re.compile(r"(?<![\w+.,/-])(?:\([0-9]{2,5}\)[\x20]?|00[1-9][0-9]{0,2}[\x20.-]|0?[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![\w/-]|[.][0-9])")
+_NATIONAL = re.compile(r"(?<![\w+.,/-])(?<![0-9][\x20])(?:\([0-9]{2,5}\)[\x20]?|00[1-9][0-9]{0,2}[\x20.-]|0?[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![\w/-]|[\x20.][0-9])")
+_GROUPED = re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){2}[\x20-][0-9]{2,4}(?![0-9])")
 _IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x20]{0,3}[=:][\x20]{0,3}[\"']?([^\s\"']{8,512})")
@@ -112,6 +113,7 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
         more += [("ip", *m.span()) for m in _IPV6.finditer(text)]
     more += [("iban", *m.span()) for m in _IBAN.finditer(text)]
     more += [("card", *m.span()) for m in _CARD.finditer(text) if 14 <= sum(c.isdigit() for c in m[0]) <= 19]
+    more += [("card", *m.span()) for m in _GROUPED.finditer(text)]
     more += [("phone", *m.span()) for m in _NATIONAL.finditer(text)]
     if more:
         taken = sorted((s[1], s[2]) for s in base)

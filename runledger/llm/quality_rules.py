@@ -209,3 +209,64 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         v["base_failed"].alias("base_failed"), v["kept"].alias("kept"),
         F.round(v["class_distance"], 6).alias("class_distance"), F.round(v["common_distance"], 6).alias("common_distance"),
     )
+
+
+def oracle_sql() -> str:
+    """The query in DuckDB's SQL."""
+    stripped, names = [], ["t"]
+    for k, pattern in enumerate(CLASSES):
+        stripped.append(f"regexp_replace({names[-1]}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS s{k}")
+        names.append(f"s{k}")
+    layers = "SELECT r, t FROM words"
+    for layer in stripped:
+        layers = f"SELECT *, {layer} FROM ({layers})"
+    lengths = [f"length({a}) - length({b})" for a, b in zip(names, names[1:], strict=False)] + [f"length({names[-1]})"]
+    common = ", ".join(f"('{lang}', {k}, '{w}')" for lang, ws in COMMON.items() for k, w in enumerate(ws))
+    counted = ", ".join(f"{x} AS c{k}" for k, x in enumerate(lengths))
+    return f"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '{SPACES}'), lambda x: x <> '') AS ws,
+         list_transform(list_filter(string_split_regex(coalesce(text, ''), '{SPACES}'), lambda x: x <> ''), lambda x: lower(x)) AS lower_words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM documents
+),
+windows AS (
+  SELECT r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS k
+  FROM words, unnest(range(1, len(ws) - {WINDOW - 2})) AS u(i)
+),
+repeated AS (
+  SELECT r, count(DISTINCT i + j) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM windows), range({WINDOW}) AS o(j)
+  WHERE c > 1 GROUP BY r
+),
+base AS (
+  SELECT w.r, doc_id, lang, t, lower_words, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM words w LEFT JOIN repeated USING (r)
+),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM base),
+classes AS (
+  SELECT r, bin, n / sum(n) OVER (PARTITION BY r) AS share
+  FROM (SELECT r, unnest([{", ".join(f"c{i}" for i in range(len(lengths)))}]) AS n, unnest(range({len(lengths)})) AS bin
+        FROM (SELECT r, t, {counted} FROM ({layers}) WHERE length(t) >= {MIN_CHARS_FOR_CLASSES}))
+),
+lists(lang, bin, w) AS (VALUES {common}),
+long_enough AS (SELECT r, lang, n_words, lower_words FROM judged WHERE n_words >= {MIN_WORDS_FOR_COMMON} AND lang IN (SELECT lang FROM lists)),
+heard AS (SELECT r, l.lang, l.bin, count(*) AS n FROM (SELECT r, lang, unnest(lower_words) AS w FROM long_enough) x JOIN lists l ON l.lang = x.lang AND l.w = x.w GROUP BY ALL),
+binned AS (
+  SELECT e.r, l.bin, coalesce(h.n, 0) AS n, e.n_words FROM long_enough e JOIN lists l USING (lang) LEFT JOIN heard h ON h.r = e.r AND h.bin = l.bin
+  UNION ALL
+  SELECT e.r, 1000, e.n_words - coalesce((SELECT sum(n) FROM heard h WHERE h.r = e.r), 0), e.n_words FROM long_enough e
+),
+shares AS (SELECT 'class' AS kind, r, bin, share FROM classes UNION ALL SELECT 'common', r, bin, n / n_words FROM binned),
+of_language AS (SELECT kind, lang, bin, avg(share) AS q FROM shares JOIN judged USING (r) WHERE NOT base_failed AND lang IN (SELECT lang FROM lists) GROUP BY ALL),
+distances AS (
+  SELECT kind, r, sqrt(greatest(0, sum(CASE WHEN share > 0 THEN share * log2(2 * share / (share + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (share + q)) ELSE 0 END) / 2)) AS d
+  FROM shares s JOIN judged USING (r) JOIN of_language o USING (kind, lang, bin) GROUP BY kind, r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(a.d <= {MOST_CLASS_DISTANCE}, true) AND coalesce(b.d <= {MOST_COMMON_DISTANCE}, true) AS kept,
+       round(a.d, 6) AS class_distance, round(b.d, 6) AS common_distance
+FROM judged j LEFT JOIN distances a ON a.r = j.r AND a.kind = 'class' LEFT JOIN distances b ON b.r = j.r AND b.kind = 'common'
+"""
