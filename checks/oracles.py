@@ -6,7 +6,7 @@ engine's, and prices come from the per-size triple: each a different route from
 
 from __future__ import annotations
 
-from checks.queries import PAGE, SLICE, VIEW_SHAPE
+from checks.queries import PAGE, VIEW_SHAPE
 from checks.sample import CONNECTIONS_SQL, EVENTS_SQL, HISTORY_SQL, STORAGE_SQL, oracle_text
 from runledger.functions.text import BLANK_CLASS, PREVIEW_SPACE, char_class
 
@@ -334,7 +334,7 @@ _SLOW = _listed("total_elapsed_time_ms is not null", "total_elapsed_time_ms desc
 _oracle("slow_queries", _BASE + [_PRICED, _SLOW], _LIST + ", false as is_cut from li")
 _oracle(
     "slow_queries_oldest",
-    _BASE + [_PRICED, _listed("total_elapsed_time_ms is not null", "start_time asc", 100)],
+    _BASE + [_PRICED, _listed("total_elapsed_time_ms is not null", "start_time asc", 500)],
     _LIST + ", false as is_cut from li",
 )
 _oracle(
@@ -441,23 +441,20 @@ _oracle(
 _oracle(
     "pending_flags",
     _SHAPES,
-    f"""select connection_id, fingerprint, example_sql, first_seen from sh where first_seen >= timestamp '2024-01-16'
-qualify row_number() over (partition by connection_id order by first_seen, fingerprint) <= {SLICE}""",
+    """select connection_id, fingerprint, example_sql, first_seen from sh where first_seen >= timestamp '2024-01-16'""",
 )
 _oracle(
     "flag_backfill",
     _SHAPES
     + [
-        f"""pf as (select connection_id, fingerprint from sh where first_seen >= timestamp '2024-01-16'
-     qualify row_number() over (partition by connection_id order by first_seen, fingerprint) <= {SLICE})"""
+        """pf as (select connection_id, fingerprint from sh where first_seen >= timestamp '2024-01-16')"""
     ],
     """select connection_id, fingerprint, case when first_seen < timestamp '2024-01-16' or
   (connection_id, fingerprint) in (select (connection_id, fingerprint) from pf) then array_to_string(flags, ',') end
   as antipatterns from sh""",
 )
-_PENDING = f"""
-pe as (select connection_id, query_id, query_text, start_time from ev
-  qualify row_number() over (partition by connection_id order by start_time desc, query_id) <= {SLICE})"""
+_PENDING = """
+pe as (select connection_id, query_id, query_text, start_time from ev)"""
 _oracle("pending_fingerprints", [_EVENTS, _PENDING], "select * from pe")
 _oracle(
     "fingerprint_backfill",
@@ -563,7 +560,7 @@ _MERGED_COLUMNS = [
     "error_type", "error_message", "user_name", "instance_type", "worker_id", "session_name", "bytes_uploaded",
     "bytes_downloaded", "bytes_spilled_to_disk", "user_agent", "is_internal", "fingerprint", "ingested_at",
 ]
-for _name in ("event_upsert", "event_fold"):
+for _name in ("event_upsert", "event_fold", "event_upsert_one_batch", "event_upsert_stored"):
     _oracle(
         _name,
         _DELIVERED,
@@ -669,10 +666,10 @@ _oracle(
 )
 _oracle(
     "stream_latency",
-    [_HISTORY],
-    f"""select connection_id, time_bucket(interval 6 hour, epoch_ms(start_ms)) as window_start,
+    [_HISTORY, _DRAFTS, f"ev as (select *, {_INTERNAL} as is_internal from dr)"],
+    f"""select connection_id, time_bucket(interval 6 hour, start_time) as window_start,
   {_money('quantile_cont(total_elapsed_time_ms, 0.5)', 'p50_ms')},
   {_money('quantile_cont(total_elapsed_time_ms, 0.95)', 'p95_ms')},
   count(*) as query_count, count(error_type) as failure_count
-from hi where {_READABLE} group by 1, 2""",
+from ev where not is_internal group by 1, 2""",
 )

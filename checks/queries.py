@@ -26,7 +26,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 MID = HALF.start
 # Kept small so that the limit bites on every connection.
 PAGE = 100
-SLICE = 1000
 # Columns the list oracles leave out.
 UNLISTED = ("fingerprint", *LAYOUT)
 POLL = timedelta(hours=1)
@@ -134,11 +133,30 @@ def event_upsert(spark, d):
     return merge.upsert_events(*_deliveries(spark, d))
 
 
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    first, again = _deliveries(spark, d)
+    return first.withColumn("seq", F.lit(1)).unionByName(again.withColumn("seq", F.lit(2)))
+
+
 @query
 def event_fold(spark, d):
-    first, again = _deliveries(spark, d)
-    reads_ = first.withColumn("seq", F.lit(1)).unionByName(again.withColumn("seq", F.lit(2)))
-    return merge.fold_deliveries(reads_, "seq")
+    return merge.fold_deliveries(_numbered(spark, d), "seq")
+
+
+@query
+def event_upsert_one_batch(spark, d):
+    """Both deliveries in one batch, in no order but their number."""
+    return merge.upsert_events(sample.events(spark, d).limit(0), _numbered(spark, d).repartition(7, "query_text"))
+
+
+@query
+def event_upsert_stored(spark, d):
+    """The deliveries through the stored tables, the second in one batch with a repeat of the first."""
+    stored = Tables(spark, scratch_dir(spark, "ledger"), slot_hours=24)
+    first, _ = _deliveries(spark, d)
+    stored.upsert_events(first)
+    stored.upsert_events(_numbered(spark, d))
+    return stored.events().drop(*LAYOUT)
 
 
 @query
@@ -159,13 +177,13 @@ def storage_append(spark, d):
 
 @query
 def pending_fingerprints(spark, d):
-    return merge.pending_fingerprints(sample.events(spark, d), SLICE)
+    return merge.pending_fingerprints(sample.events(spark, d))
 
 
 @query
 def fingerprint_backfill(spark, d):
     events = sample.events(spark, d)
-    assigned = shapes.fingerprinted(merge.pending_fingerprints(events, SLICE))
+    assigned = shapes.fingerprinted(merge.pending_fingerprints(events))
     return merge.backfill_fingerprints(events, assigned).select("connection_id", "query_id", "fingerprint")
 
 
@@ -176,13 +194,13 @@ def _half_examined(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pending_flags(spark, d):
-    return shapes.pending_flags(_half_examined(spark, d), SLICE)
+    return shapes.pending_flags(_half_examined(spark, d))
 
 
 @query
 def flag_backfill(spark, d):
     stored = _half_examined(spark, d)
-    return shapes.backfill_flags(stored, shapes.pending_flags(stored, SLICE)).select(
+    return shapes.backfill_flags(stored, shapes.pending_flags(stored)).select(
         "connection_id", "fingerprint", "antipatterns"
     )
 
@@ -287,8 +305,12 @@ def document_statements(spark, d):
         statements.fingerprint_of(normalized).alias("fingerprint"),
         F.length(normalized).cast("long").alias("normalized_length"),
         statements.fingerprint_of(statements.one_line(text)).alias("preview_hash"),
-        statements.cut(text).alias("listed"),
-        statements.labelled(statements.cut(text), statements.is_cut(text)).alias("copied"),
+        statements.cut(text, statements.PREVIEW_LEN).alias("listed"),
+        statements.labelled(
+            statements.cut(text, statements.PREVIEW_LEN),
+            statements.is_cut(text, statements.PREVIEW_LEN),
+            statements.PREVIEW_LEN,
+        ).alias("copied"),
     )
 
 
@@ -448,13 +470,10 @@ def stream_upsert(spark, d):
 
 @query
 def stream_latency(spark, d):
-    path = scratch_dir(spark, "live")
-    # one batch: rows arrive in no order here, and a later batch could drop some as too late
-    stream = live.stream_latency(
-        spark.readStream.schema(source.HISTORY).parquet(_history_table(spark, d)),
-        path,
-        scratch_dir(spark, "latency-progress"),
-        width="6 hours",
-    )
+    path, folder = scratch_dir(spark, "live"), _history_table(spark, d)
+    # A third of the runs is delivered once more, in files of their own.
+    again = sample.history(spark, d).where(F.pmod(F.xxhash64("query_id"), F.lit(3)) == 0)
+    again.repartition(3, "query_text").write.mode("append").parquet(folder)
+    stream = live.stream_latency(_history_stream(spark, folder), path, scratch_dir(spark, "latency-progress"))
     stream.awaitTermination()
-    return live.live_latency(spark, path)
+    return live.live_latency(spark, path, "6 hours")

@@ -44,7 +44,7 @@ def parse_tier(raw: str) -> str:
     """For input from a person, where a wrong tier is an error."""
     tier = raw.strip().lower()
     if tier not in HOURLY_USD:
-        raise ValueError("region must be one of tier1, tier2, or tier3")
+        raise ValueError(f"unknown tier {raw!r}; known are {', '.join(HOURLY_USD)}")
     return tier
 
 

@@ -17,7 +17,7 @@ from runledger.schema import STATEMENT_FLAGS
 
 # How much of a statement a list shows, and the note under a copied one that was cut.
 PREVIEW_LEN = 2000
-CUT_NOTE = f"-- This query was cut at {PREVIEW_LEN} characters and is not complete."
+CUT_NOTE = "-- This query was cut at {} characters and is not complete."
 
 # Lexical pieces of a statement. ASCII has alternatives of its own, first, because regexes test those fastest. A word is
 # read in pieces: each starts with a letter and takes the ASCII letters and digits that follow.
@@ -77,7 +77,11 @@ def with_normalized(rows: DataFrame, text: str, name: str = "normalized_sql") ->
 def is_select(normalized: Column) -> Column:
     """Whether the statement is a query of its own, as opposed to DDL, DML or text that only contains one."""
     writes = r"^\(*+with\b.* as (?:(?:not )?materialized )?\((?s:.*)\) (?:insert|update|delete|merge) "
-    return normalized.rlike(r"^\(*+(?:select|with|from|values)\b") & ~normalized.rlike(writes)
+    unquoted = F.regexp_replace(normalized, _QUOTED, "q")
+    count = lambda mark: F.length(unquoted) - F.length(F.replace(unquoted, F.lit(mark), F.lit("")))
+    # What no parser takes: parentheses that do not match up, and a select without a list.
+    broken = (count("(") != count(")")) | normalized.rlike(r"\bselect(?: all| distinct)? ?(?:from\b|where\b|group by\b|order by\b|[);]|$)")
+    return normalized.rlike(r"^\(*+(?:select|with|from|values)\b") & ~normalized.rlike(writes) & ~broken
 
 
 def shape_key(normalized: Column) -> Column:
@@ -124,8 +128,16 @@ def _by_level(normalized: Column) -> Column:
         )
         return F.when(F.contains(text, F.lit("(")), peeled).otherwise(state)
 
-    openings = F.length(unquoted) - F.length(F.replace(unquoted, F.lit("("), F.lit("")))
-    rounds = F.when(openings > 0, F.sequence(F.lit(1), openings)).otherwise(F.array().cast("array<int>"))
+    # As many rounds as the parentheses are deep, not as there are.
+    deep = F.regexp_replace(unquoted, r"[^()]++", "")
+    marks = F.filter(F.split(deep, ""), lambda mark: mark != "")
+
+    def walk(state: Column, mark: Column) -> Column:
+        now = F.greatest(F.lit(0), state["now"] + F.when(mark == "(", 1).otherwise(-1))
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    depth = F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), walk)["most"]
+    rounds = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(rounds, start, peel)
 
 
@@ -184,15 +196,17 @@ def one_line(sql: Column) -> Column:
     return F.btrim(F.regexp_replace(body, f"[{space}]++", " "), F.lit(" "))
 
 
-def is_cut(sql: Column) -> Column:
-    return F.length(sql) > PREVIEW_LEN
+def is_cut(sql: Column, length: int | None) -> Column:
+    return F.lit(False) if length is None else F.length(sql) > length
 
 
-def cut(sql: Column) -> Column:
-    """List form of a statement: at most ``PREVIEW_LEN`` characters, marked when shortened."""
-    return F.when(is_cut(sql), F.concat(F.substring(sql, 1, PREVIEW_LEN), F.lit("..."))).otherwise(sql)
+def cut(sql: Column, length: int | None) -> Column:
+    """List form of a statement: whole, or at most ``length`` characters and marked when shortened."""
+    if length is None:
+        return sql
+    return F.when(is_cut(sql, length), F.concat(F.substring(sql, 1, length), F.lit("..."))).otherwise(sql)
 
 
-def labelled(sql: Column, was_cut: Column) -> Column:
+def labelled(sql: Column, was_cut: Column, length: int | None) -> Column:
     """A list form that says so when it is not the whole statement."""
-    return F.when(was_cut, F.concat(sql, F.lit("\n" + CUT_NOTE))).otherwise(sql)
+    return sql if length is None else F.when(was_cut, F.concat(sql, F.lit("\n" + CUT_NOTE.format(length)))).otherwise(sql)

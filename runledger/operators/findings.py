@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.operators.reads import first_per_connection
-from runledger.operators.shapes import SHAPE_KEY, shape_figures, with_examples, with_flags
-from runledger.plans.params import DEFAULT_LIST_LIMIT, EventFilter, capped
+from runledger.operators.shapes import SHAPE_KEY, SHORT_LIST, shape_figures, with_examples, with_flags
+from runledger.plans.params import DEFAULT_LIST_LIMIT, EventFilter
 from runledger.schema import RUNTIME_FLAGS
 
 # The thresholds.
@@ -50,16 +50,17 @@ def insights(
     shapes: DataFrame,
     connections: DataFrame,
     flt: EventFilter,
-    limit: int = DEFAULT_LIST_LIMIT,
+    limit: int | None = DEFAULT_LIST_LIMIT,
+    preview: int | None = None,
 ) -> DataFrame:
     """The dearest findings with their statement."""
     found = all_findings(events, shapes, connections, flt)
-    few = flt.connection_id is not None
+    few = flt.connection_id is not None and limit is not None
     if few:
-        top = found.orderBy(*finding_order()).limit(capped(limit))
+        top = found.orderBy(*finding_order()).limit(limit)
     else:
-        top = first_per_connection(found, finding_order(), capped(limit))
-    return with_examples(top, shapes, few).orderBy("connection_id", *finding_order())
+        top = first_per_connection(found, finding_order(), limit)
+    return with_examples(top, shapes, few and limit <= SHORT_LIST, preview).orderBy("connection_id", *finding_order())
 
 
 def insight_totals(events: DataFrame, shapes: DataFrame, connections: DataFrame, flt: EventFilter) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.operators.reads import first_per_connection
@@ -39,13 +39,22 @@ LAST_KNOWN_WINS = (
 )
 
 
+# The order of deliveries, where a batch carries it.
+SEQ = "seq"
+
+
+def delivery_order(columns: list[str]) -> Column:
+    """What orders the reads of one run: the delivery number if there is one, else when it was ingested and then how far
+    the run had come (a run that has ended was read after one that had not), with the content to settle ties."""
+    reached = [F.col("ingested_at"), F.col("end_time"), F.col("total_elapsed_time_ms"), F.xxhash64(*EVENTS.names)]
+    numbered = [F.col(SEQ)] if SEQ in columns else []
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*numbered, *reached])])
+
+
 def one_per_key(batch: DataFrame) -> DataFrame:
-    """The reference store refuses a batch that repeats a key; here the later row wins, by start time and then by content,
-    so a replay of the batch picks the same one. Groups are re-reads of one run, hence tiny."""
-    latest = Window.partitionBy(*EVENT_KEY).orderBy(
-        F.desc("ingested_at"), F.desc("start_time"), F.desc(F.xxhash64(*EVENTS.names))
-    )
-    return batch.withColumn("_rank", F.row_number().over(latest)).where(F.col("_rank") == 1).drop("_rank")
+    """A batch with the reads of each run folded, in delivery order, by the same policies that merge it into the table."""
+    ordered = batch.withColumn("_order", delivery_order(batch.columns))
+    return fold_deliveries(ordered, "_order")
 
 
 def merged_column(name: str, old: Column, new: Column, matched: Column) -> Column:
@@ -57,8 +66,9 @@ def merged_column(name: str, old: Column, new: Column, matched: Column) -> Colum
 
 
 def upsert_events(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """``stored`` after ``batch``. Every batch row finds its stored row by key or becomes a new one."""
-    new = one_per_key(batch.select(*EVENTS.names))
+    """``stored`` after ``batch``. Every batch row finds its stored row by key or becomes a new one; a key may repeat in the
+    batch, whose column ``seq``, if it has one, tells the order of delivery."""
+    new = one_per_key(batch)
     joined = stored.select(*EVENTS.names).alias("s").join(
         new.alias("b"),
         reduce(and_, [F.col(f"s.{key}") == F.col(f"b.{key}") for key in EVENT_KEY]),
@@ -93,8 +103,8 @@ def fold_deliveries(deliveries: DataFrame, seq: str) -> DataFrame:
     return folded.select(*EVENTS.names)
 
 
-def pending_fingerprints(events: DataFrame, limit: int) -> DataFrame:
-    """Events without a fingerprint, newest first, a slice per connection."""
+def pending_fingerprints(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Events without a fingerprint: all, or the newest of each connection."""
     waiting = events.where(F.col("fingerprint").isNull()).select(*EVENT_KEY, "query_text", "start_time")
     return first_per_connection(waiting, [F.desc("start_time"), F.asc("query_id")], limit)
 

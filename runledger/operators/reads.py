@@ -12,7 +12,7 @@ from runledger.functions import pricing
 from runledger.functions.statements import cut, is_cut
 from runledger.functions.timebins import bin_start, bucket_grid
 from runledger.operators.quantiles import summarize
-from runledger.plans.params import EventFilter, ListOptions
+from runledger.plans.params import SORT_COLUMNS, EventFilter, ListOptions, SORT_COLUMNS
 
 ATTRIBUTION_KEYS = ("user_name", "instance_type")
 CHANGE_FLOOR_USD = 0.01
@@ -219,25 +219,43 @@ def with_run_cost(events: DataFrame, connections: DataFrame) -> DataFrame:
     return priced.drop(*pricing.RATE_COLUMNS)
 
 
-def first_per_connection(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    """The first rows of each connection. Spark prunes every map task to ``limit`` rows per connection before the
-    shuffle, so a connection that owns most of the data costs no more than the others."""
-    rank = F.row_number().over(Window.partitionBy("connection_id").orderBy(*order))
-    return rows.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+# Groups a connection's rows are ranked in before they are ranked together.
+SALTS = 64
+
+
+def first_per_connection(rows: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """The first rows of each connection; without a limit, all.
+
+    Ranked twice: within ``SALTS`` groups of a connection, then among the firsts of these, so that a connection that owns
+    most of the data is spread over many tasks and the last one sees ``SALTS * limit`` of its rows at most.
+    """
+    if limit is None:
+        return rows
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    for keys in (["connection_id", "_salt"], ["connection_id"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        salted = salted.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+    return salted.drop("_salt")
 
 
 def list_events(events: DataFrame, connections: DataFrame, flt: EventFilter, options: ListOptions) -> DataFrame:
     """The slow list or the failure list, priced, with long statements cut."""
     kept = F.col("error_type").isNotNull() if options.failures_only else F.col("total_elapsed_time_ms").isNotNull()
     rows = select_events(events, flt).where(kept)
-    if flt.connection_id is None:
-        top = first_per_connection(rows, options.order(), options.limit)
+    # Ranked without the statement texts, which are fetched for the rows that stay, from their slots only.
+    place = [name for name in ("start_date", "start_slot") if name in rows.columns]
+    keys = ["connection_id", "query_id", *place]
+    narrow = rows.select(*keys, *sorted({SORT_COLUMNS[options.sort]} - set(keys)))
+    if options.limit is None:
+        top = rows
+    elif flt.connection_id is None:
+        top = rows.join(first_per_connection(narrow, options.order(), options.limit).select(*keys), keys, "left_semi")
     else:
-        top = rows.orderBy(*options.order()).limit(options.limit)
+        top = rows.join(narrow.orderBy(*options.order()).limit(options.limit).select(*keys), keys, "left_semi")
     return (
         with_run_cost(top, connections)
-        .withColumn("is_cut", is_cut(F.col("query_text")))
-        .withColumn("query_text", cut(F.col("query_text")))
+        .withColumn("is_cut", is_cut(F.col("query_text"), options.preview))
+        .withColumn("query_text", cut(F.col("query_text"), options.preview))
         .orderBy("connection_id", *options.order())
     )
 

@@ -17,7 +17,7 @@ from runledger.functions.statements import (
     with_normalized,
 )
 from runledger.operators.reads import first_per_connection, select_events, tiers, with_share
-from runledger.plans.params import DEFAULT_LIST_LIMIT, EventFilter, capped
+from runledger.plans.params import DEFAULT_LIST_LIMIT, EventFilter
 from runledger.schema import KNOWN_FLAGS
 
 SHAPE_KEY = ["connection_id", "fingerprint"]
@@ -80,10 +80,14 @@ def with_flags(rows: DataFrame, shapes: DataFrame) -> DataFrame:
     return rows.join(stored, SHAPE_KEY, "left").withColumn("antipatterns", known_flags(F.col("antipatterns")))
 
 
-def with_examples(rows: DataFrame, shapes: DataFrame, few: bool) -> DataFrame:
+# A list up to this long may be sent to every task.
+SHORT_LIST = 10_000
+
+
+def with_examples(rows: DataFrame, shapes: DataFrame, few: bool, preview: int | None = None) -> DataFrame:
     """Adds the example statement in list form.
 
-    ``few`` states that ``rows`` is a capped list of one connection. The list is then sent to the shape table instead of
+    ``few`` states that ``rows`` is one connection's list of at most ``SHORT_LIST`` rows. The list is then sent to the shape table instead of
     the table's long text to the list.
     """
     texts = shapes.select(*SHAPE_KEY, "example_sql")
@@ -92,8 +96,8 @@ def with_examples(rows: DataFrame, shapes: DataFrame, few: bool) -> DataFrame:
     full = F.coalesce("example_sql", F.lit(""))
     return (
         rows.join(texts, SHAPE_KEY, "left")
-        .withColumn("is_cut", is_cut(full))
-        .withColumn("example_sql", cut(full))
+        .withColumn("is_cut", is_cut(full, preview))
+        .withColumn("example_sql", cut(full, preview))
     )
 
 
@@ -106,18 +110,19 @@ def top_shapes(
     shapes: DataFrame,
     connections: DataFrame,
     flt: EventFilter,
-    limit: int = DEFAULT_LIST_LIMIT,
+    limit: int | None = DEFAULT_LIST_LIMIT,
+    preview: int | None = None,
 ) -> DataFrame:
     """The dearest shapes. Shares are of everything, not of what the list shows."""
     figures = shape_figures(events, connections, flt)
-    few = flt.connection_id is not None
+    few = flt.connection_id is not None and limit is not None
     if few:
-        top = figures.orderBy(*shape_order()).limit(capped(limit))
+        top = figures.orderBy(*shape_order()).limit(limit)
     else:
-        top = first_per_connection(figures, shape_order(), capped(limit))
+        top = first_per_connection(figures, shape_order(), limit)
     return (
-        with_examples(with_flags(top, shapes), shapes, few)
-        .withColumn("copy_sql", labelled(F.col("example_sql"), F.col("is_cut")))
+        with_examples(with_flags(top, shapes), shapes, few and limit <= SHORT_LIST, preview)
+        .withColumn("copy_sql", labelled(F.col("example_sql"), F.col("is_cut"), preview))
         .orderBy("connection_id", *shape_order())
     )
 
@@ -157,8 +162,8 @@ def register_shapes(existing: DataFrame, events: DataFrame) -> DataFrame:
     return existing.unionByName(new_shapes(events, existing))
 
 
-def pending_flags(shapes: DataFrame, limit: int) -> DataFrame:
-    """Shapes not examined yet, oldest first, a slice per connection."""
+def pending_flags(shapes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Shapes not examined yet: all, or the oldest of each connection."""
     waiting = shapes.where(F.col("antipatterns").isNull()).select(*SHAPE_KEY, "example_sql", "first_seen")
     return first_per_connection(waiting, [F.asc("first_seen"), F.asc("fingerprint")], limit)
 

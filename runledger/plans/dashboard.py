@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.operators import charts, findings, health, reads, shapes, storage
-from runledger.plans.params import DEFAULT_LIST_LIMIT, EventFilter, ListOptions, TimeRange, timestamp
+from runledger.functions.statements import PREVIEW_LEN
+from runledger.plans.params import DEFAULT_LIST_LIMIT, MAX_LIST_LIMIT, EventFilter, ListOptions, TimeRange, timestamp
 
 
 class NotFound(LookupError):
@@ -16,7 +18,11 @@ class NotFound(LookupError):
 
 
 class Dashboard:
-    """Reads for one connection. Every method returns a lazy DataFrame; an unknown connection raises at once."""
+    """Reads for one connection. Every method returns a lazy DataFrame; an unknown connection raises at once.
+
+    Lists are for people: they hold at most ``max_list`` rows, and statements of at most ``preview`` characters, marked
+    where they are cut. None lifts either.
+    """
 
     def __init__(
         self,
@@ -25,10 +31,13 @@ class Dashboard:
         shapes: DataFrame,
         samples: DataFrame,
         connections: DataFrame,
+        max_list: int | None = MAX_LIST_LIMIT,
+        preview: int | None = PREVIEW_LEN,
     ) -> None:
         own = connections.where(F.col("id") == connection_id)
         if own.isEmpty():
             raise NotFound(f"no connection {connection_id}")
+        self.max_list, self.preview = max_list, preview
         self.connection_id = connection_id
         self._connections = own
         self._events = events
@@ -38,6 +47,12 @@ class Dashboard:
     def filter(self, span: TimeRange, **options) -> EventFilter:
         return EventFilter(span, connection_id=self.connection_id, **options)
 
+    def _capped(self, limit: int | None) -> int | None:
+        return min((n for n in (limit, self.max_list) if n is not None), default=None)
+
+    def _listed(self, options: ListOptions) -> ListOptions:
+        return replace(options, limit=self._capped(options.limit), preview=self.preview)
+
     def _mine(self, flt: EventFilter) -> EventFilter:
         if flt.connection_id != self.connection_id:
             raise ValueError("the filter names another connection")
@@ -68,12 +83,12 @@ class Dashboard:
         return reads.attribution_totals(self._events, self._connections, self._mine(flt))
 
     def slow_queries(self, flt: EventFilter, options: ListOptions = ListOptions()) -> DataFrame:
-        return reads.slow_queries(self._events, self._connections, self._mine(flt), options)
+        return reads.slow_queries(self._events, self._connections, self._mine(flt), self._listed(options))
 
     def recent_failures(
         self, flt: EventFilter, options: ListOptions = ListOptions(sort="started", failures_only=True)
     ) -> DataFrame:
-        return reads.recent_failures(self._events, self._connections, self._mine(flt), options)
+        return reads.recent_failures(self._events, self._connections, self._mine(flt), self._listed(options))
 
     def event(self, query_id: str) -> DataFrame:
         """One event with its full text and cost."""
@@ -83,7 +98,9 @@ class Dashboard:
         return reads.with_run_cost(row, self._connections)
 
     def shapes(self, flt: EventFilter, limit: int = DEFAULT_LIST_LIMIT) -> DataFrame:
-        return shapes.top_shapes(self._events, self._shapes, self._connections, self._mine(flt), limit)
+        return shapes.top_shapes(
+            self._events, self._shapes, self._connections, self._mine(flt), self._capped(limit), self.preview
+        )
 
     def shape_statement(self, fingerprint: str) -> DataFrame:
         row = self._shapes.where(F.col("fingerprint") == fingerprint)
@@ -92,7 +109,9 @@ class Dashboard:
         return row.select("fingerprint", "example_sql", "parsed", "first_seen")
 
     def insights(self, flt: EventFilter, limit: int = DEFAULT_LIST_LIMIT) -> DataFrame:
-        return findings.insights(self._events, self._shapes, self._connections, self._mine(flt), limit)
+        return findings.insights(
+            self._events, self._shapes, self._connections, self._mine(flt), self._capped(limit), self.preview
+        )
 
     def insight_totals(self, flt: EventFilter) -> DataFrame:
         return findings.insight_totals(self._events, self._shapes, self._connections, self._mine(flt))

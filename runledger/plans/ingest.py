@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.timebins import age_seconds
-from runledger.operators.merge import EVENT_KEY, backfill_fingerprints, pending_fingerprints
+from runledger.operators.merge import EVENT_KEY, backfill_fingerprints
+from runledger.operators.reads import first_per_connection
 from runledger.operators.shapes import fingerprinted
-from runledger.sources.history import history_page, is_readable, readable_rows, to_events
-from runledger.sources.tables import Tables
+from runledger.sources.history import history_page, is_readable, readable_rows, storage_scan, to_events
+from runledger.sources.tables import LAYOUT, Tables
 
 
 @dataclass(frozen=True)
@@ -25,7 +26,7 @@ class IngestSettings:
 
     overlap: timedelta = timedelta(minutes=15)
     batch_limit: int = 5000
-    backfill_limit: int = 1000
+    backfill_limit: int | None = None
     storage_interval: timedelta = timedelta(hours=1)
     poll_interval: timedelta = timedelta(seconds=60)
 
@@ -170,12 +171,16 @@ def store_batch(tables: Tables, drafts: DataFrame, staging: str, now: Column) ->
     tables.upsert_events(events)
 
 
-def backfill(tables: Tables, limit: int) -> None:
-    """Stamps a slice of stored events that have no fingerprint, registering their shapes. Only the slots that hold them
-    are rewritten."""
+def backfill(tables: Tables, staging: str, limit: int | None = None) -> None:
+    """Stamps the stored events that have no fingerprint, all or the newest of each connection, and registers their shapes.
+    They are found and stamped once and staged; only the slots that hold them are rewritten."""
     stored = tables.events()
-    waiting = pending_fingerprints(stored, limit).select(*EVENT_KEY)
-    stamped = fingerprinted(stored.join(waiting, EVENT_KEY, "left_semi"))
+    waiting = stored.where(F.col("fingerprint").isNull())
+    if limit is not None:
+        keys = [*EVENT_KEY, *LAYOUT]
+        first = first_per_connection(waiting.select(*keys, "start_time"), [F.desc("start_time"), F.asc("query_id")], limit)
+        waiting = waiting.join(first.select(*keys), keys, "left_semi")
+    stamped = staged(fingerprinted(waiting), f"{staging}/stamped")
     tables.register_shapes(stamped)
     tables.replace_slots(backfill_fingerprints(tables.slots_of(stamped), stamped))
 
@@ -187,8 +192,13 @@ def ingest_pass(
     staging: str,
     now: Column,
     settings: IngestSettings = IngestSettings(),
+    storage: DataFrame | None = None,
+    fetch_errors: DataFrame | None = None,
 ) -> None:
-    """Fetches, stores and accounts for one page per enabled connection.
+    """Fetches, stores and accounts for one page per enabled connection, then stamps what has no fingerprint or flags yet
+    and, given raw ``storage`` measurements, stores those of the connections that are due.
+
+    A connection in ``fetch_errors`` (connection_id, fetch_error) failed to be read: the others go on.
 
     The page is staged because it feeds the counts as well as the tables, and a live source may answer differently the
     second time. The accounts are written last: a pass that fails half way is read again from the old watermark, which
@@ -198,5 +208,12 @@ def ingest_pass(
     plan = fetch_plan(connections, settings.overlap)
     page = staged(history_page(history, plan, settings.batch_limit), f"{staging}/page")
     store_batch(tables, readable_rows(page), staging, now)
-    outcome = sync_outcome(plan, batch_stats(page), settings.batch_limit)
-    tables.record_connections(apply_sync_state(connections, outcome, now), pass_number)
+    backfill(tables, staging, settings.backfill_limit)
+    tables.backfill_flags()
+    outcome = sync_outcome(plan, batch_stats(page), settings.batch_limit, fetch_errors)
+    after = apply_sync_state(connections, outcome, now)
+    if storage is not None:
+        due = storage_due(connections, now, settings.storage_interval)
+        tables.append_storage(storage_scan(storage.join(due, "connection_id", "left_semi"), now))
+        after = mark_storage_attempt(after, due, now)
+    tables.record_connections(after, pass_number)

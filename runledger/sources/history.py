@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions.timebins import interval_ms
+from runledger.operators.merge import SEQ
 from runledger.operators.reads import first_per_connection
 from runledger.schema import EVENTS, HISTORY, SELF_AGENT_TAG, SELF_SQL_MARKER, STORAGE_BYTES
 
@@ -93,12 +94,13 @@ def internal_traffic() -> Column:
 
 
 def to_events(drafts: DataFrame, ingested_at: Column) -> DataFrame:
-    """Drafts as events: flagged as own traffic or not, stamped with the ingest time, not fingerprinted yet."""
+    """Drafts as events: flagged as own traffic or not, stamped with the ingest time, not fingerprinted yet. A delivery
+    number (``seq``) stays."""
     return (
         drafts.withColumn("is_internal", internal_traffic())
         .withColumn("fingerprint", F.lit(None).cast("string"))
         .withColumn("ingested_at", ingested_at)
-        .select(*EVENTS.names)
+        .select(*EVENTS.names, *[name for name in drafts.columns if name == SEQ])
     )
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
-from runledger.operators.merge import one_per_key, upsert_events
-from runledger.operators.shapes import new_shapes
+from runledger.operators.merge import SEQ, one_per_key, purge, upsert_events
+from runledger.operators.shapes import backfill_flags, new_shapes, pending_flags
 from runledger.operators.storage import new_samples
 from runledger.schema import CONNECTIONS, EVENTS, SHAPES, STORAGE
 
@@ -35,8 +35,8 @@ class Tables:
             raise ValueError("slot_hours must divide a day")
         self.spark = spark
         self.slot_hours = slot_hours
-        self._events, self._shapes, self._storage, self._connections = (
-            f"{root}/{name}" for name in ("events", "shapes", "storage", "connections")
+        self._events, self._shapes, self._storage, self._connections, self._pending = (
+            f"{root}/{name}" for name in ("events", "shapes", "storage", "connections", "pending")
         )
 
     def _read(self, path: str, schema: StructType) -> DataFrame:
@@ -70,17 +70,39 @@ class Tables:
 
     def replace_slots(self, events: DataFrame) -> None:
         """Replaces the slots present in ``events`` and no others. The rebalance splits a busy slot over many tasks and
-        joins quiet ones, so files come out near the advisory size either way."""
+        joins quiet ones, so files come out near the advisory size either way.
+
+        Replacing a slot deletes its folder before the new one takes its place. The new rows are therefore complete in a
+        folder of their own first; should the driver die in between, ``recover`` replaces the slots from there.
+        """
+        self.recover()
+        self._publish(self.placed(events.select(*EVENTS.names)), self._pending)
+        self._finish()
+
+    def _publish(self, placed: DataFrame, path: str) -> None:
         (
-            self.placed(events.select(*EVENTS.names))
-            .hint("rebalance", *[F.col(name) for name in LAYOUT])
+            placed.hint("rebalance", *[F.col(name) for name in LAYOUT])
             .sortWithinPartitions(*LAYOUT, "connection_id", "start_time")
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
+            .option("partitionOverwriteMode", "dynamic" if path == self._events else "static")
             .partitionBy(*LAYOUT)
-            .parquet(self._events)
+            .parquet(path)
         )
 
+    def _finish(self) -> None:
+        pending = self.spark.read.schema(_FILES).parquet(self._pending)
+        self._publish(pending, self._events)
+        self._publish(self.spark.createDataFrame([], _FILES), self._pending)
+
+    def recover(self) -> None:
+        """Completes a replacement that was cut short; without one it does nothing. Every replacement starts with this, and
+        doing it again replaces slots with the same rows. A pending folder that is itself incomplete is not used: no slot
+        had been touched when it was written."""
+        if exists(self.spark, f"{self._pending}/_SUCCESS"):
+            pending = self.spark.read.schema(_FILES).parquet(self._pending)
+            if pending.limit(1).count():
+                self._finish()
+
     def slots_of(self, rows: DataFrame) -> DataFrame:
         """Stored events of the slots that ``rows`` fall in. There are at most 24 slots a day, so their list is broadcast
         whatever ``rows`` holds; being the layout, it prunes the other folders when the scan starts. Spark prunes by lists
@@ -92,9 +114,10 @@ class Tables:
         """Merges a batch by rewriting the slots it touches.
 
         A run's start time never changes, so a stored row is in the same slot as its re-read. Replaying a batch rewrites
-        the same rows.
+        the same rows. A batch may repeat keys and carry ``seq``, the order of delivery.
         """
-        new = batch.select(*EVENTS.names)
+        self.recover()
+        new = batch.select(*EVENTS.names, *[name for name in batch.columns if name == SEQ])
         stored = exists(self.spark, self._events)
         self.replace_slots(upsert_events(self.slots_of(new), new) if stored else one_per_key(new))
 
@@ -102,6 +125,33 @@ class Tables:
         """Adds the shapes of ``events`` the table lacks. Only additions are written."""
         new_shapes(events, self.shapes()).write.mode("append").parquet(self._shapes)
 
+    def backfill_flags(self) -> None:
+        """Examines the stored shapes that have no flags yet."""
+        shapes = self.shapes()
+        if not exists(self.spark, self._shapes) or not shapes.where(F.col("antipatterns").isNull()).limit(1).count():
+            return
+        self._replace(backfill_flags(shapes, pending_flags(shapes)), self._shapes)
+
+    def purge(self, connections: DataFrame) -> None:
+        """Removes the given connections (id) and all that hangs off them, the connections themselves last."""
+        self.recover()
+        gone = connections.select("id")
+        if exists(self.spark, self._events):
+            self._replace(purge(self.events(), connections), self._events, *LAYOUT)
+        for path, rows in ((self._shapes, self.shapes()), (self._storage, self.storage())):
+            if exists(self.spark, path):
+                self._replace(purge(rows, connections), path)
+        left = self.connections().join(gone, "id", "left_anti")
+        if exists(self.spark, self._connections):
+            self._replace(left.withColumn("pass", F.lit(0)), self._connections, "pass")
+
+    def _replace(self, rows: DataFrame, path: str, *layout: str) -> None:
+        """Rewrites a whole table from rows read from it: aside first, then over it."""
+        aside = f"{path}-new"
+        rows.write.mode("overwrite").parquet(aside)
+        writer = self.spark.read.schema(rows.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        (writer.partitionBy(*layout) if layout else writer).parquet(path)
+
     def append_storage(self, batch: DataFrame) -> None:
         """Adds the measurements the table lacks."""
         new_samples(self.storage(), batch).write.mode("append").parquet(self._storage)

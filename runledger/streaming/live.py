@@ -11,11 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from runledger.operators.quantiles import summarize
 from runledger.plans.ingest import store_batch
 from runledger.plans.params import timestamp
-from runledger.sources.history import is_readable, readable_rows, unreadable_rows
+from runledger.sources.history import internal_traffic, readable_rows, unreadable_rows
 from runledger.sources.tables import Tables
 
-LATE_BY = "15 minutes"
-
 
 def stream_upsert(
     history: DataFrame,
@@ -41,46 +39,60 @@ def stream_upsert(
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+_RUN = ["connection_id", "query_id"]
+_LIVE = "connection_id string, query_id string, start_time timestamp, total_elapsed_time_ms long, failed boolean, read long"
+
+
 def stream_latency(
     history: DataFrame,
     path: str,
     checkpoint: str,
-    width: str = "5 minutes",
     every: str | None = None,
 ) -> StreamingQuery:
-    """Keeps live counts per connection, tumbling window and duration in a table for :func:`live_latency`.
+    """Keeps the durations of runs, a few narrow columns of each, in a table for :func:`live_latency`.
 
-    State is keyed by duration as well, so a connection with most of the traffic is spread over all tasks and no state
-    entry grows. The watermark bounds state only: rows later than it are missing here but not in the event table.
+    Own traffic stays out. Every delivery is kept with its micro-batch, however late it is, so that a run that is
+    delivered again counts once and nothing is lost to a watermark; there is no state to grow. :func:`compact_live` folds
+    what many batches have written.
     """
-    counts = (
-        history.where(is_readable())
-        .withColumn("start_time", F.timestamp_millis("start_ms"))
-        .withWatermark("start_time", LATE_BY)
-        .groupBy("connection_id", F.window("start_time", width).alias("w"), "total_elapsed_time_ms")
-        .agg(F.count(F.lit(1)).alias("query_count"), F.count("error_type").alias("failure_count"))
-        .select(
-            "connection_id", F.col("w.start").alias("window_start"), "total_elapsed_time_ms", "query_count", "failure_count"
-        )
-    )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        runs = readable_rows(batch).where(~internal_traffic())
+        order = F.struct("end_time", "total_elapsed_time_ms")
+        kept = runs.groupBy(*_RUN).agg(
+            F.min("start_time").alias("start_time"),
+            F.max_by("total_elapsed_time_ms", order).alias("total_elapsed_time_ms"),
+            F.max_by(F.col("error_type").isNotNull(), order).alias("failed"),
+        )
+        kept.withColumn("read", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = counts.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
+    writer = history.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def live_latency(spark: SparkSession, path: str) -> DataFrame:
-    """Counts and exact percentiles per window from the live table. Counts only grow, so the largest is the latest."""
-    cell = ["connection_id", "window_start", "total_elapsed_time_ms"]
-    latest = (
-        spark.read.parquet(path)
-        .groupBy(*cell)
-        .agg(F.max("query_count").alias("runs"), F.max("failure_count").alias("failures"))
+def _live_runs(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each run: its first start, and its latest duration and outcome."""
+    rows = spark.read.schema(_LIVE).parquet(path)
+    return rows.groupBy(*_RUN).agg(
+        F.min("start_time").alias("start_time"),
+        F.max_by("total_elapsed_time_ms", "read").alias("total_elapsed_time_ms"),
+        F.max_by("failed", "read").alias("failed"),
+        F.max("read").alias("read"),
     )
+
+
+def compact_live(spark: SparkSession, path: str, into: str) -> None:
+    """Writes the folded live table as one batch below ``into``, a new folder for the stream to go on with."""
+    _live_runs(spark, path).write.mode("overwrite").parquet(f"{into}/batch=0")
+
+
+def live_latency(spark: SparkSession, path: str, width: str = "5 minutes") -> DataFrame:
+    """Counts and exact percentiles per connection and tumbling window of the live table."""
+    runs = _live_runs(spark, path).withColumn("window_start", F.window("start_time", width)["start"])
+    cell = ["connection_id", "window_start", "total_elapsed_time_ms"]
+    counted = runs.groupBy(*cell).agg(F.count(F.lit(1)).alias("runs"), F.count_if("failed").alias("failures"))
     return summarize(
-        latest,
+        counted,
         ["connection_id", "window_start"],
         "total_elapsed_time_ms",
         {"p50_ms": 0.5, "p95_ms": 0.95},

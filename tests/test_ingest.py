@@ -159,12 +159,59 @@ def test_any_split_into_batches_ends_in_the_same_table(spark):
     for size in (150, 400):
         step_by_step = empty
         for start in range(0, len(reads), size):
-            # a batch that repeats a key is folded first, as its rows arrived one after the other
-            batch = merge.fold_deliveries(rows.events(spark, *reads[start : start + size]), "ingested_at")
+            batch = rows.events(spark, *reads[start : start + size])
             step_by_step = spark.createDataFrame(merge.upsert_events(step_by_step, batch).collect(), EVENTS)
         assert table(step_by_step) == table(folded)
 
 
+def test_repeats_in_a_batch_follow_the_delivery_number(spark):
+    one = {"query_id": str(uuid.UUID(int=5))}
+    running = {**one, "user_name": "alice", "end_time": None, "total_elapsed_time_ms": None}
+    done = {**one, "user_name": None, "end_time": NOW, "total_elapsed_time_ms": 900}
+    for first, second in ((running, done), (done, running)):
+        batch = rows.events(spark, first).withColumn("seq", F.lit(1)).unionByName(rows.events(spark, second).withColumn("seq", F.lit(2)))
+        (row,) = merge.upsert_events(rows.events(spark).limit(0), batch).collect()
+        assert (row.user_name, row.total_elapsed_time_ms) == ("alice", second["total_elapsed_time_ms"])
+    # Without a number, a run that has ended was read after one that had not.
+    (row,) = merge.upsert_events(rows.events(spark).limit(0), rows.events(spark, done, running)).collect()
+    assert (row.user_name, row.total_elapsed_time_ms) == ("alice", 900)
+
+
+def test_a_replacement_cut_short_is_completed(spark, monkeypatch):
+    import shutil
+
+    tables = Tables(spark, scratch_dir(spark, "tables"), 24)
+    old = rows.events(spark, *[{"start_time": ago(minutes=n)} for n in range(3)])
+    tables.upsert_events(old)
+    publish = Tables._publish
+
+    def dies(self, placed, path):
+        if path == self._events:  # the driver dies after the folders were deleted
+            shutil.rmtree(self._events)
+            raise RuntimeError("lost")
+        publish(self, placed, path)
+
+    monkeypatch.setattr(Tables, "_publish", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        tables.upsert_events(rows.events(spark, {"query_id": str(uuid.UUID(int=77))}))
+    monkeypatch.setattr(Tables, "_publish", publish)
+    again = Tables(spark, tables._events.removesuffix("/events"), 24)
+    again.recover()
+    assert again.events().count() == 4
+    again.recover()
+    assert again.events().count() == 4
+
+
+def test_purge_leaves_nothing_of_a_connection(spark):
+    tables = Tables(spark, scratch_dir(spark, "tables"), 24)
+    tables.upsert_events(rows.events(spark, {"connection_id": "c"}, {"connection_id": "d"}))
+    tables.register_shapes(tables.events())
+    tables.record_connections(rows.connections(spark, {"id": "c"}, {"id": "d"}), 1)
+    tables.purge(spark.createDataFrame([("c",)], "id string"))
+    for table_, name in ((tables.events(), "connection_id"), (tables.shapes(), "connection_id"), (tables.connections(), "id")):
+        assert [row[0] for row in table_.select(name).distinct().collect()] == ["d"]
+
+
 def test_upserting_twice_changes_nothing(spark):
     batch = rows.events(spark, *_random_reads(spark, seed=2))
     once = merge.upsert_events(rows.events(spark).limit(0), batch)
@@ -197,9 +244,9 @@ def test_backfills(spark):
             {"query_text": "select a from t", "fingerprint": "kept"},
         )
     )
-    ingest.backfill(tables, 1)
+    ingest.backfill(tables, scratch_dir(spark, "staging"), 1)
     assert [row.query_text for row in tables.events().where("fingerprint is null").collect()] == ["select 1"]
-    ingest.backfill(tables, 1)
+    ingest.backfill(tables, scratch_dir(spark, "staging"), 1)
     stamped = {row.query_text: row.fingerprint for row in tables.events().collect()}
     assert stamped["select 1"] == stamped["select 2"] and stamped["select a from t"] == "kept"
     assert tables.shapes().count() == 1
@@ -377,17 +424,22 @@ def test_a_stream_ends_where_the_batch_ends(spark):
 
 
 def test_live_latency_matches_the_batch_counts(spark):
-    history = rows.history(spark, *[{"start_ms": MS + 1000 * n, "total_elapsed_time_ms": n} for n in range(100)], {"start_ms": MS})
+    history = rows.history(
+        spark,
+        *[{"query_id": str(uuid.UUID(int=n)), "start_ms": MS + 1000 * n, "total_elapsed_time_ms": n} for n in range(100)],
+        {"start_ms": MS, "user_agent": "selfwatch", "query_id": str(uuid.UUID(int=999))},
+    )
     folder, path = scratch_dir(spark, "history"), scratch_dir(spark, "live")
-    for low, high in ((0, 50), (50, 101)):
+    # The newest first, the oldest a day late, and the middle delivered twice.
+    for low, high in ((50, 101), (40, 60), (0, 50)):
         history.where((F.col("start_ms") >= MS + 1000 * low) & (F.col("start_ms") < MS + 1000 * high)).write.mode("append").parquet(folder)
     stream = live.stream_latency(
-        spark.readStream.schema(source.HISTORY).option("maxFilesPerTrigger", 1).parquet(folder),
-        path,
-        scratch_dir(spark, "progress"),
-        width="1 minute",
+        spark.readStream.schema(source.HISTORY).option("maxFilesPerTrigger", 1).parquet(folder), path, scratch_dir(spark, "progress")
     )
     stream.awaitTermination()
-    first, second = live.live_latency(spark, path).orderBy("window_start").collect()
-    assert (first.query_count, first.p50_ms) == (61, 29.5)
-    assert (second.query_count, second.p50_ms) == (40, 79.5)
+    compacted = scratch_dir(spark, "compacted")
+    live.compact_live(spark, path, compacted)
+    for where in (path, compacted):
+        first, second = live.live_latency(spark, where, "1 minute").orderBy("window_start").collect()
+        assert (first.query_count, first.p50_ms) == (60, 29.5)
+        assert (second.query_count, second.p50_ms) == (40, 79.5)

@@ -63,7 +63,7 @@ def test_ranked_shapes(spark):
     )
     table = rows.shapes(spark, {"fingerprint": "b", "example_sql": "y" * 2500, "antipatterns": ["select_star", "from_later"]})
     for flt in (EVERYTHING, EventFilter(DAY, connection_id="c")):
-        b, a = shapes.top_shapes(events, table, rows.connections(spark), flt).collect()
+        b, a = shapes.top_shapes(events, table, rows.connections(spark), flt, None, 2000).collect()
         assert (b.fingerprint, b.runs, b.failure_count, b.max_ms, b.is_cut) == ("b", 2, 1, 9, True)
         assert b.antipatterns == ["select_star"] and b.copy_sql.endswith("not complete.")
         assert b.cost_share == pytest.approx(7.2 / 9.6) and b.estimated_cost_usd == pytest.approx(7.2)
