@@ -10,12 +10,16 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 # Control characters that Python counts as white space and Unicode does not: texts with one are encoded whole.
 _ODD = re.compile("[\x1c-\x1f᠎]")
 _LED = re.compile(r"\s*\S+|\s+\Z")
 _BREAK = re.compile(r"(?<=\S)\s")
+# How byte-level vocabularies write bytes: printable ones as they are, the others from 256 on, in order.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 # Units in each of the two generations a worker keeps, and characters cut into units at a time.
 KEPT_UNITS = 400_000
 SLICE = 1 << 20
@@ -39,9 +43,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.units = _LED.findall if spaces else str.split
         self.lower = not spaces
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks = dict(zip(",.", self.whole([",", "."]), strict=True))
+        self.model = self.tokenizer.model
+        self.known = Known(self)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -57,40 +60,45 @@ class Encoder:
             at = cut.start()
         yield text[at:]
 
-    def stem(self, unit: str) -> str:
-        """The unit without what is sure to be a word of its own, or not to matter."""
-        if unit[-1] in ",." and unit[-2:-1].isascii() and unit[-2:-1].isalpha():
-            unit = unit[:-1]
-        return unit.lower() if self.lower and unit.isascii() else unit
-
-    def learn(self, units: list[str]) -> None:
-        """Finds the ids of units not known yet; when there are too many, those not asked for since the last time go."""
-        if len(self.known) > KEPT_UNITS:
-            self.older, self.known = self.known, {}
-        known, older, unknown = self.known, self.older, []
-        for unit in set(units).difference(known):
-            if (ids := older.get(unit)) is None:
-                unknown.append((unit, self.stem(unit)))
-            else:
-                known[unit] = ids
-        new = list({stem for _, stem in unknown if stem not in known and stem not in older})
-        found = dict(zip(new, self.whole(new), strict=True))
-        for unit, stem in unknown:
-            ids = found.get(stem) or known.get(stem) or older.get(stem) or b""
-            known[unit] = ids + self.marks[unit[-1]] if len(stem) < len(unit) else ids
+    def unit(self, unit: str) -> bytes:
+        """Ids of one unit. A word of Latin letters, with or without a space before it, goes to the merges directly."""
+        last = unit[-1]
+        if last in ",." and unit[-2:-1].isascii() and unit[-2:-1].isalpha():
+            # A mark after a letter is always a word of its own.
+            return self.known[unit[:-1]] + self.known[last]
+        word = unit[1:] if unit[0] == " " else unit
+        if word.isalpha() and max(word) <= "\xff":
+            if self.lower and not word.islower():
+                return self.known[word.lower()] if word.lower() != word else self.letters(word)
+            return self.letters(unit)
+        return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+
+    def letters(self, unit: str) -> bytes:
+        shown = unit.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if _ODD.search(text):
             return self.whole([text])[0]
-        out = []
-        for part in self.parts(text):
-            units = self.units(part)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, units)))
-            except KeyError:
-                self.learn(units)
-                out.append(b"".join(map(self.known.__getitem__, units)))
-        return b"".join(out)
+        known = self.known.__getitem__
+        return b"".join([b"".join(map(known, self.units(part))) for part in self.parts(text)])
+
+
+class Known(dict):
+    """Ids by unit, found when first asked for. When there are too many, those not asked for since the last time go."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.older = encoder, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        if (ids := self.older.get(unit)) is None:
+            ids = self.encoder.unit(unit)
+        if len(self) >= KEPT_UNITS:
+            self.older = dict(self)
+            self.clear()
+        self[unit] = ids
+        return ids
 
 
 @functools.lru_cache(maxsize=2)
