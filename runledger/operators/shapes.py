@@ -137,15 +137,19 @@ def shape_statements(shapes: DataFrame, wanted: DataFrame) -> DataFrame:
 def new_shapes(events: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """A row for every shape of ``events`` that ``existing`` lacks, from its earliest event.
 
-    The earliest event is a partial aggregate, so a shape that makes up most of the history sends one row per task, and
-    both the comparison with the table and the analysis see one row per shape.
+    The earliest event is found without statement texts, as a partial aggregate, so a shape that makes up most of the
+    history sends one narrow row per task. Texts are fetched for the shapes that the table lacks.
     """
     rows = fingerprinted(events).select(*SHAPE_KEY, "start_time", "query_id", "query_text")
-    first = rows.groupBy(*SHAPE_KEY).agg(F.min(F.struct("start_time", "query_id", "query_text")).alias("first"))
+    first = rows.groupBy(*SHAPE_KEY).agg(F.min(F.struct("start_time", "query_id")).alias("first"))
     if existing is not None:
         first = first.join(existing.select(*SHAPE_KEY), SHAPE_KEY, "left_anti")
-    examples = first.select(
-        *SHAPE_KEY, F.col("first.start_time").alias("first_seen"), F.col("first.query_text").alias("example_sql")
+    first = first.select(*SHAPE_KEY, "first.start_time", "first.query_id")
+    # A run that was read more than once may have several texts.
+    examples = (
+        rows.join(first, [*SHAPE_KEY, "start_time", "query_id"], "left_semi")
+        .groupBy(*SHAPE_KEY)
+        .agg(F.min("start_time").alias("first_seen"), F.min("query_text").alias("example_sql"))
     )
     return with_normalized(examples, "example_sql").select(
         *SHAPE_KEY,
