@@ -6,8 +6,8 @@ weighting mixes all depths: a node's weight against its children's is its share
 training text did below it. A context the training never saw leaves the word to its parent. Each text's code length per
 byte follows, its end included.
 
-How it runs: texts are cut into blocks of about ``BLOCK`` bytes. From a block only its different five-byte strings and
-words go on, with their training counts. Counts are summed over all blocks; every string then gets the logarithm of its
+How it runs: texts are cut into blocks of about ``BLOCK`` bytes. From a block only its different strings of ``DEPTH`` + 1
+bytes and words go on, with their training counts. Counts are summed over all blocks; every string then gets the logarithm of its
 last byte's probability, worked out among the strings that share its last two context bytes, with the upper part of the
 trees (at most 65,536 rows, of contexts of one byte) added after. The logarithms go back to the blocks that asked for
 them, so that a task reads a block's own small dictionary and then its texts, and no model is ever held whole anywhere.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from runledger.llm.common import staged, table
 
-DEPTH = 4
+DEPTH = 5
 BLOCK = 32 << 20
 SLICE = 4 << 20
 END = b"\xff"  # no byte of UTF-8: the end of a text, and what is before it

@@ -66,23 +66,26 @@ def test_rules_of_odd_texts(spark):
 # Scoring
 
 
+D = context_trees.DEPTH
+
+
 def plain_tree(train, texts):
     """Context-tree weighting by recursion over dictionaries, one tree for each decision."""
     counts = defaultdict(lambda: [0, 0])
 
     def bits(text):
-        raw = b"\xff" * 4 + text + b"\xff"
-        for i in range(4, len(raw)):
+        raw = b"\xff" * D + text + b"\xff"
+        for i in range(D, len(raw)):
             place = 1
             for k in range(7, -1, -1):
                 bit = raw[i] >> k & 1
-                yield raw[i - 4 : i], place, bit
+                yield raw[i - D : i], place, bit
                 place = place * 2 + bit
 
     for text in train:
         for context, place, bit in bits(text):
-            for depth in range(5):
-                counts[place, context[4 - depth :]][bit] += 1
+            for depth in range(D + 1):
+                counts[place, context[D - depth :]][bit] += 1
     children = defaultdict(set)
     for place, context in counts:
         if context:
@@ -97,14 +100,14 @@ def plain_tree(train, texts):
     def total(node):
         if node not in memo:
             own = estimate(node)
-            memo[node] = own if len(node[1]) == 4 else math.log(0.5) + np.logaddexp(own, sum(map(total, children[node])))
+            memo[node] = own if len(node[1]) == D else math.log(0.5) + np.logaddexp(own, sum(map(total, children[node])))
         return memo[node]
 
     def one(place, context, depth):
-        node = (place, context[4 - depth :])
+        node = (place, context[D - depth :])
         a, b = counts.get(node, (0, 0))
         p = (b + 0.5) / (a + b + 1)
-        if depth == 4 or (place, context[3 - depth :]) not in counts:
+        if depth == D or (place, context[D - 1 - depth :]) not in counts:
             return p
         w = math.exp(math.log(0.5) + estimate(node) - total(node))
         return w * p + (1 - w) * one(place, context, depth + 1)
@@ -147,15 +150,15 @@ def test_pieces_of_long_texts_are_whole(monkeypatch):
             at += len(x)
         words.update(context_trees.words(own)[0].tolist())
     for k, text in enumerate(texts):
-        raw = b"\xff" * 4 + text + b"\xff"
-        assert keys[k] == [int.from_bytes(raw[i - 4 : i + 1], "big") for i in range(4, len(raw))]
+        raw = b"\xff" * D + text + b"\xff"
+        assert keys[k] == [int.from_bytes(raw[i - D : i + 1], "big") for i in range(D, len(raw))]
     assert sum(words.values()) == sum(len(t.split()) + 1 for t in texts)
 
 
 def test_probabilities_of_all_next_bytes_sum_to_one():
     rng = np.random.default_rng(0)
-    context = int.from_bytes(b"abcd", "big")
-    key = np.r_[(context << 8) | np.arange(256), (int.from_bytes(b"xbcd", "big") << 8) | np.arange(256)]
+    context = int.from_bytes(b"_abcd"[-D:], "big")
+    key = np.r_[(context << 8) | np.arange(256), (int.from_bytes(b"xabcd"[-D:], "big") << 8) | np.arange(256)]
     n = np.where(rng.random(512) < 0.05, rng.integers(1, 50, 512), 0).astype(float)
     mixed, _ = context_trees.subtree(key, n)
     total = np.ones(256)
