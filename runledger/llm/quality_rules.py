@@ -206,9 +206,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id",
         *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        v["base_failed"].alias("base_failed"), v["kept"].alias("kept"),
-        F.round(v["class_distance"], 6).alias("class_distance"), F.round(v["common_distance"], 6).alias("common_distance"),
-    )
+        v["base_failed"].alias("base_failed"),
+        v["kept"].alias("kept"),
+    )
 
 
 def oracle_sql() -> str:
@@ -266,7 +266,6 @@ distances AS (
   FROM shares s JOIN judged USING (r) JOIN of_language o USING (kind, lang, bin) GROUP BY kind, r
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(a.d <= {MOST_CLASS_DISTANCE}, true) AND coalesce(b.d <= {MOST_COMMON_DISTANCE}, true) AS kept,
-       round(a.d, 6) AS class_distance, round(b.d, 6) AS common_distance
+       NOT base_failed AND coalesce(a.d <= {MOST_CLASS_DISTANCE}, true) AND coalesce(b.d <= {MOST_COMMON_DISTANCE}, true) AS kept
 FROM judged j LEFT JOIN distances a ON a.r = j.r AND a.kind = 'class' LEFT JOIN distances b ON b.r = j.r AND b.kind = 'common'
 """
