@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,24 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+# Where folders that are made are noted, while somebody asks for it.
+_notes: list[list[str]] = []
+
+
+@contextmanager
+def noted(folders: list[str]) -> Iterator[None]:
+    """Notes the folders made meanwhile, so that they can be forgotten once what was made of them is stored elsewhere."""
+    _notes.append(folders)
+    try:
+        yield
+    finally:
+        _notes.pop()
+
+
+def forget(spark: SparkSession, folders: list[str]) -> None:
+    while folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def folder(spark: SparkSession) -> str:
@@ -20,7 +40,10 @@ def folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = _own.setdefault("folder", tempfile.mkdtemp(prefix="spark-"))
-    return f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    for folders in _notes:
+        folders.append(path)
+    return path
 
 
 def staged(rows: DataFrame, *partition_by: str, path: str | None = None) -> DataFrame:
