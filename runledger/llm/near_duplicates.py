@@ -9,8 +9,10 @@ Candidates: bins are cut into bands, as many as bring the chance to miss a pair
 
 Verification: copies of one shingle set are one class with one representative. Representatives that share a bucket are
 first compared with the bucket's smallest one only, on their full sets, so that a bucket with very many documents costs as
-many comparisons as it has documents. What is then left in different components of a bucket is compared pair by pair:
-these are pairs that may still be links. A representative that is compared with very many is split into many groups.
+many comparisons as it has documents. What is then left in different components of a bucket may still be linked: these
+representatives are gathered by the buckets they share and compared within pairs of blocks of bounded size, those that
+share a band and are not joined yet on their full sets. A pair of blocks is a group of its own, and yields links only.
+A representative that is compared with very many is split into many groups.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from runledger.llm.common import components, staged, table
 
 WORDS = 5
 THRESHOLD = 80  # in 100; the similarity from which documents are linked
-ROWS = 5  # bins in a band
+ROWS = 6  # bins in a band
 MISS = 1e-7
 # Comparisons with one representative that make a group of their own.
 GROUP = 128
+# Representatives in a block.
+BLOCK = 192
 
 _SIGNED = "row long, doc_id long, n_shingles long, set_high long, set_low long, bands array<long>"
 
@@ -144,6 +148,69 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: int, width: int = WOR
     return staged(rows.mapInArrow(compare, "a long, b long"))
 
 
+def joined_within(rows: pa.Table, threshold: int, width: int) -> list[tuple[int, int]]:
+    """Links between a group's two blocks (or within one) that join what is apart, of pairs that share a band."""
+    node, own, n, block = (rows[c].to_numpy() for c in ("node", "own", "n", "block"))
+    bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    texts = rows["text"].to_pylist()
+    sets: dict[int, np.ndarray] = {}
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    def full(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingles(texts[k], width)
+        return sets[k]
+
+    low, high = block.min(), block.max()
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    links = []
+    for x in left:
+        apart = right[(own[right] != own[x]) & ((low != high) | (node[right] > node[x]))]
+        alike = 100 * np.minimum(n[apart], n[x]) >= threshold * np.maximum(n[apart], n[x])
+        apart = apart[alike]
+        apart = apart[(bands[apart] == bands[x]).any(1)]
+        apart = np.array([y for y in apart.tolist() if root(int(own[y])) != root(int(own[x]))], np.int64)
+        if not len(apart):
+            continue
+        mine = full(int(x))
+        others = [full(y) for y in apart.tolist()]
+        flat = np.concatenate(others)
+        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        sizes = np.array([len(o) for o in others])
+        shared = np.add.reduceat(mine[at] == flat, np.cumsum([0, *sizes[:-1]]), dtype=np.int64)
+        for y in apart[100 * shared >= threshold * (len(mine) + sizes - shared)].tolist():
+            a, b = root(int(own[x])), root(int(own[y]))
+            if a != b:
+                parent[a] = b
+                links.append((int(node[x]), int(node[y])))
+    return links
+
+
+def remaining_links(members: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
+    """Links among ``members`` (bucket, node, n, own) that have different ``own`` and share a bucket."""
+    heads = staged(members.groupBy("bucket").agg(F.min("node").alias("head")))
+    gathered = components(members.join(heads, "bucket").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    nodes = staged(members.select("node", "n", "own").distinct().join(gathered.withColumnRenamed("component", "cluster"), "node"))
+    blocks = staged(nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")))
+    nodes = nodes.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    nodes = nodes.join(classes.select("node", "bands"), "node").join(docs.select(F.col("row").alias("node"), "text"), "node")
+    pairs = nodes.select("cluster", "node", "n", "own", "block", "bands", "text", other)
+    pairs = pairs.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        links = joined_within(rows, threshold, width)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return staged(pairs.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WORDS, stored: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): row, doc_id, n_shingles, component_id, kept.
 
@@ -178,11 +245,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WO
     placed = staged(placed)
     split = staged(placed.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("bucket"))
     open_members = staged(placed.join(split, "bucket"))
-    x, y = open_members.alias("x"), open_members.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.own") > F.col("y.own")) & alike("x.n", "y.n"))
-    rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    rest = staged(rest.join(pairs, ["a", "b"], "left_anti"))
-    joined = components(links.unionByName(verified(rest, docs, threshold, width)))
+    joined = components(links.unionByName(remaining_links(open_members, classes, docs, threshold, width)))
 
     named = classes.join(joined, "node", "left").select(*key, "least", F.coalesce("component", "node").alias("component"))
     named = staged(named)
