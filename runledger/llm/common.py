@@ -46,10 +46,10 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
-def staged(rows: DataFrame, *partition_by: str, path: str | None = None) -> DataFrame:
+def staged(rows: DataFrame, *partition_by: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """The rows, written once to the shared folder and read from there: lineage ends and nothing is computed again."""
     path = path or folder(rows.sparkSession)
-    writer = rows.write.mode("overwrite")
+    writer = rows.write.mode("overwrite").option("compression", compression)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 

@@ -131,7 +131,7 @@ def gathered(docs: DataFrame) -> DataFrame:
             yield from closed()
 
     names = dict(c.split() for c in _ROWS.split(", "))
-    return staged(docs.mapInArrow(gather, ", ".join(f"{f.name} {names[f.name]}" for f in schema)), "kind")
+    return staged(docs.mapInArrow(gather, ", ".join(f"{f.name} {names[f.name]}" for f in schema)), "kind", compression="zstd")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
         return pa.table(columns)
 
     group = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    grown = staged(counts.withColumn("group", group).groupBy("group").applyInArrow(grow, _SUBTREES), "kind")
+    grown = staged(counts.withColumn("group", group).groupBy("group").applyInArrow(grow, _SUBTREES), "kind", compression="zstd")
     tops = grown.where("kind = 1").groupBy(F.col("key").alias("last"), "place").agg(*[F.sum(c).alias(c) for c in ("total", "a", "b")])
     # At most 256 last bytes by 255 decisions.
     one = tops.collect()
