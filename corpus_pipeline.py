@@ -23,6 +23,8 @@ _left: list[str] = []
 def tidy(stage: Stage) -> Stage:
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if stage is first:
+            _left.clear()  # of another run, whose result may still be read
         forget(spark, _left)
         with noted(_left):
             return stage(spark, docs, sf_dir)
@@ -30,12 +32,15 @@ def tidy(stage: Stage) -> Stage:
     return run_stage
 
 
-@tidy
 def reject(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.good_documents(docs)
 
 
+first = reject
+reject = tidy(reject)
+
+
 @tidy
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
