@@ -2,8 +2,9 @@
 
 Each document gets two histograms: of the classes of its characters, and of the common words of its language (a short
 list of function words, and one bin for all other words). Its Jensen-Shannon distance (0 to 1) to the mean histogram of
-the language tells tables, symbol noise, shouting and word salad from prose. A distance counts only where the text is long
-enough for its histogram to mean something. Two plain rules come first: too few words, and too many repeated ones.
+the language tells tables, symbol noise, shouting and word salad from prose. Two plain rules come first: too few words, and
+too many repeated ones. In the query, as in its SQL, a distance counts only where the text is long enough; what the pipeline
+keeps is held against the references at every length, with limits that allow for the chance in a short histogram.
 
 Texts are measured once, row by row and without a shuffle; the references are two short means for each language.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +32,13 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MOST_REPEATED = 30  # in 100 words
-# Shorter texts are not held against the references.
+# Shorter texts are not held against the references in the query; in the pipeline they are, with wider limits.
 MIN_CHARS_FOR_CLASSES = 500
 MIN_WORDS_FOR_COMMON = 100
 MOST_CLASS_DISTANCE = 0.25
 MOST_COMMON_DISTANCE = 0.3
+# What chance alone makes of a short text of its language is below the limit in this share of texts.
+BY_CHANCE = 0.999
 
 MEASURES = "quality measures"
 
@@ -127,14 +131,14 @@ def _shares(counts: Column) -> Column:
     return let(counts, lambda c: let(F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x), lambda n: F.transform(c, lambda x: x / n)))
 
 
-def _ready(rows: DataFrame) -> DataFrame:
+def _ready(rows: DataFrame, any_length: bool = False) -> DataFrame:
     m = F.col(f"`{MEASURES}`")
     size = F.aggregate(m["classes"], F.lit(0).cast("long"), lambda s, x: s + x)
     return rows.withColumn(
         "quality shares",
         F.struct(
-            F.when(size >= MIN_CHARS_FOR_CLASSES, _shares(m["classes"])).alias("classes"),
-            F.when(m["n_words"] >= MIN_WORDS_FOR_COMMON, _shares(m["common"])).alias("common"),
+            F.when(size >= (1 if any_length else MIN_CHARS_FOR_CLASSES), _shares(m["classes"])).alias("classes"),
+            F.when(m["n_words"] >= (1 if any_length else MIN_WORDS_FOR_COMMON), _shares(m["common"])).alias("common"),
         ),
     )
 
@@ -143,9 +147,9 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"])
 
 
-def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+def references(rows: DataFrame, any_length: bool = False) -> dict[str, tuple[list[float], list[float]]]:
     """Mean shares of the documents of each language that pass the plain rules; one row for each language of ``COMMON``."""
-    rows = _ready(rows.select("lang", f"`{MEASURES}`").where(F.col("lang").isin(*COMMON) & ~base_failed(F.col(f"`{MEASURES}`"))))
+    rows = _ready(rows.select("lang", f"`{MEASURES}`").where(F.col("lang").isin(*COMMON) & ~base_failed(F.col(f"`{MEASURES}`"))), any_length)
     s = F.col("quality shares")
     sizes = {"classes": len(CLASSES) + 1, "common": len(next(iter(COMMON.values()))) + 1}
     means = [F.array(*[F.avg(F.get(s[k], F.lit(i))) for i in range(n)]).alias(k) for k, n in sizes.items()]
@@ -164,6 +168,44 @@ def distance(shares: Column, reference: Column) -> Column:
     return F.when(shares.isNotNull() & reference.isNotNull(), found)
 
 
+def all_references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """As ``references``; a language without a text of the length that they ask for has the means of its shorter ones."""
+    found = references(rows)
+    if all(None not in means for own in found.values() for means in own):
+        return found
+    shorter = references(rows, any_length=True)
+    return {lang: tuple(s if None in m else m for m, s in zip(own, shorter[lang], strict=True)) for lang, own in found.items()}
+
+
+def chance_limits(means: list[float], below: int, most: float) -> list[float]:
+    """The limit for texts of 0, 1, ... ``below`` words or characters: ``most``, or what draws from ``means`` reach by chance."""
+    rng, q = np.random.default_rng(11), np.array(means)
+    q = q / q.sum()
+    sizes = [*range(1, min(below, 100)), *range(100, below, 20)]
+    found = []
+    for n in sizes:
+        p = rng.multinomial(n, q, 4_000) / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            both = np.where(p > 0, p * np.log2(2 * p / (p + q)), 0).sum(1) + np.where(q > 0, q * np.log2(2 * q / (p + q)), 0).sum(1)
+        found.append(np.quantile(np.sqrt(np.maximum(0, both / 2)), BY_CHANCE))
+    return [float(x) for x in np.maximum(most, np.interp(range(below), sizes, found))] + [most]
+
+
+def judged_at_any_length(rows: DataFrame, reference: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
+    """Adds ``quality kept``: whether a text passes the plain rules and, however short, is near its language."""
+    m = F.col(f"`{MEASURES}`")
+    size = F.aggregate(m["classes"], F.lit(0).cast("long"), lambda s, x: s + x)
+    far = F.lit(False)
+    for lang, own in sorted(reference.items()):
+        compared = (("classes", size, own[0], MIN_CHARS_FOR_CLASSES, MOST_CLASS_DISTANCE), ("common", m["n_words"], own[1], MIN_WORDS_FOR_COMMON, MOST_COMMON_DISTANCE))
+        for name, n, means, below, most in compared:
+            if None not in means:
+                limit = F.get(F.array(*map(F.lit, chance_limits(means, below, most))), F.least(n, F.lit(below)).cast("int"))
+                own_distance = distance(F.when(n > 0, _shares(m[name])), F.array(*map(F.lit, means)))
+                far = far | F.coalesce((F.col("lang") == lang) & (own_distance > limit), F.lit(False))
+    return rows.withColumn("quality kept", F.when(~base_failed(m), ~far).otherwise(F.lit(False)))
+
+
 def judged(rows: DataFrame, reference: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
     """Adds ``quality verdict``: class_distance, common_distance (null where not compared), base_failed and kept."""
 
@@ -195,8 +237,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns."""
-    kept = quality_rules(docs).where(F.col("`quality verdict`")["kept"])
+    """The rows of ``docs`` that pass the plain rules and are near their language, at any length, with their columns.
+
+    Not the query's ``kept``: that one takes every text below its SQL's guards that passes the plain rules.
+    """
+    rows = measured(docs)
+    kept = judged_at_any_length(rows, all_references(rows)).where("`quality kept`")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

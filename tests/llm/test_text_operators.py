@@ -60,6 +60,27 @@ def test_rules_of_odd_texts(spark):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_short_texts_are_held_against_their_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    junk = ["a | b | c | d | e | f | " + " | ".join(f"{k} # {k * 7919}" for k in range(n)) for n in (10, 14, 19)]
+    plain = docs.select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - k, t, "en") for k, t in enumerate(junk)], "doc_id long, text string, lang string")
+    assert all(20 <= len(t.split()) < 100 and len(t) < 500 for t in junk)
+    kept = {r.doc_id for r in quality_rules.good_documents(plain.union(more.withColumn("doc_id", more.doc_id.cast(plain.schema["doc_id"].dataType)))).collect()}
+    assert not kept & {-1, -2, -3}
+    by_rule = {r.doc_id: r["quality verdict"].kept for r in quality_rules.quality_rules(plain).collect()}
+    good = {r.doc_id for r in labels.where("quality = 1").collect() if by_rule[r.doc_id]}
+    assert len(good & kept) >= 0.99 * len(good)
+
+
+def test_a_language_of_short_texts_only_has_a_reference(spark):
+    words = "the of and to a river house in that green is it for was on with stone as be walk by are this at from he or his not".split()
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(61)] + [" ".join(f"#{k}|{k}" for k in range(40))]
+    kept = [r.text for r in quality_rules.good_documents(documents(spark, texts)).collect()]
+    assert sorted(kept) == sorted(texts[:-1])
+
+
 # Scoring
 
 
