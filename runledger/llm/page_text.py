@@ -35,7 +35,10 @@ ACCEPT = 0.5
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?=<)|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_RAW = {t: re.compile(rf"</{t}(?=[\s>/])[^>]*>?", re.I) for t in ("script", "style", "noscript", "template", "textarea", "svg", "title", "iframe", "math", "select")}
+# Not text of the page. The first go on to the end of the page where they are not closed; of the others, which may be
+# nested, only what is closed is left out.
+_RAW = {t: re.compile(rf"</{t}(?=[\s>/])[^>]*>?", re.I) for t in ("script", "style", "textarea", "title")}
+_CLOSED = {t: re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){t}(?=[\s>/])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.I | re.S) for t in ("noscript", "template", "svg", "iframe", "select")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
@@ -66,11 +69,27 @@ def _names(attributes: str) -> list[str]:
     return [w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")]
 
 
+def _ends(tag: str, page: str) -> dict[int, int]:
+    """Where each element of the tag that is closed begins and ends."""
+    begun: list[int] = []
+    found: dict[int, int] = {}
+    for m in _CLOSED[tag].finditer(page):
+        if m[1] is None:
+            continue
+        if not m[1]:
+            if not (tag == "svg" and m[2].rstrip().endswith("/")):
+                begun.append(m.start())
+        elif begun:
+            found[begun.pop()] = m.end()
+    return found
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text in order, one block for each run without a block-level tag; references decoded, white space single."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # tag, and its path token with class and id words
     open_tags: Counter[str] = Counter()
+    closed: dict[str, dict[int, int]] = {}
     parts: list[str] = []
     linked = at = 0
     path: tuple[str, ...] = ()
@@ -115,6 +134,11 @@ def blocks(page: str) -> list[Block]:
             end = _RAW[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
+        if tag in _CLOSED:
+            if tag not in closed:
+                closed[tag] = _ends(tag, page)
+            at = closed[tag].get(m.start(), at)
+            continue
         if tag in _VOID or m[3].rstrip().endswith("/"):
             continue
         if tag in _BLOCKS and open_tags["p"] > 0:

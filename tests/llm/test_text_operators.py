@@ -311,6 +311,22 @@ def test_labeller_on_layouts_it_was_not_shown():
     assert np.mean(right) > 0.95
 
 
+@pytest.mark.parametrize("tag", ["svg", "noscript", "template", "select", "iframe"])
+def test_no_text_after_an_element_that_is_not_closed_is_lost(tag):
+    text = lambda page: [b.text for b in page_text.blocks(page)]
+    assert text(f"<p>a<{tag} id='x'>b<p>c") == ["ab", "c"]
+    assert text(f"<p>a<{tag}><p>b<{tag}>no</{tag}><p>c") == ["a", "b", "c"]
+    assert text(f"<p>a<{tag}>no<!-- </{tag}> -->no</{tag}>b<p>c") == ["ab", "c"]
+    assert text(f"<p>a<{tag}>" * 20_000) == ["a"] * 20_000
+
+
+def test_self_closed_drawings_and_formulas_are_read_past():
+    text = lambda page: [b.text for b in page_text.blocks(page)]
+    assert text("<p>a<svg viewBox='0 0 1 1'/>b<p>c<svg>no<svg/>no<svg>no</svg>no</svg>d") == ["ab", "cd"]
+    assert text("<p>a<math/>b<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<p>c<math>y") == ["ab", "so x=2 holds", "cy"]
+    assert text("<p>a<script>no<p>no") == text("<p>a<style>no") == ["a"]
+
+
 def test_blocks_of_odd_pages(spark):
     assert [b.text for b in page_text.blocks("a<b>b</b> &amp;c<p>d\n e<script>x('</p>')</script><br>f<!-- <p>no --> g")] == ["ab &c", "d e", "f g"]
     assert [b.text for b in page_text.blocks("1 < 2 <p title='>'>x &lt;p&gt; &#65;")] == ["1 < 2", "x <p> A"]
