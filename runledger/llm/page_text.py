@@ -69,6 +69,22 @@ def _names(attributes: str) -> list[str]:
     return [w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")]
 
 
+def _word_bin(word: str) -> int:
+    return zlib.crc32(word.encode()) % PATH_BINS
+
+
+@functools.lru_cache(maxsize=20_000)
+def _marks(token: str) -> frozenset[int]:
+    """What a token of a path adds to the features and labels of its blocks: bins, and two marks for furniture and articles."""
+    words = token.split()
+    found = {_word_bin(w) for w in words}
+    if words[0] in _INSIDE:
+        found.add(-1)
+    if not _OUTSIDE.isdisjoint(words):
+        found.add(-2)
+    return frozenset(found)
+
+
 def _ends(tag: str, page: str) -> dict[int, int]:
     """Where each element of the tag that is closed begins and ends."""
     begun: list[int] = []
@@ -85,9 +101,14 @@ def _ends(tag: str, page: str) -> dict[int, int]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's text in order, one block for each run without a block-level tag; references decoded, white space single."""
+    """The page's text in order, one block for each run without a block-level tag; references decoded, white space single.
+
+    A block's path leaves out the elements that add nothing to its features and labels beyond those around them, so that
+    paths are short however deep the page is; the innermost element is always there.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, and its path token with class and id words
+    # Tag, its path token with class and id words, the tokens of the path that add to it, and what they add.
+    stack: list[tuple[str, str, tuple[str, ...], frozenset[int]]] = []
     open_tags: Counter[str] = Counter()
     closed: dict[str, dict[int, int]] = {}
     parts: list[str] = []
@@ -114,7 +135,10 @@ def blocks(page: str) -> list[Block]:
         text = page[at : m.start() if m else len(page)]
         if text:
             if not parts:
-                path = tuple(t for _, t in (stack if len(stack) <= 24 else stack[:8] + stack[-16:]))
+                path = ()
+                if stack:
+                    _, token, kept, _ = stack[-1]
+                    path = kept if kept[-1] == token else (*kept, token)
             parts.append(text)
             if open_tags["a"] > 0:
                 linked += len(text)
@@ -143,7 +167,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in _BLOCKS and open_tags["p"] > 0:
             pop("p")
-        stack.append((tag, " ".join([tag, *_names(m[3])])))
+        token = " ".join([tag, *_names(m[3])])
+        kept, marks = stack[-1][2:] if stack else ((), frozenset())
+        own = _marks(token)
+        if not own <= marks:
+            kept, marks = (*kept, token), marks | own
+        stack.append((tag, token, kept, marks))
         open_tags[tag] += 1
     close()
     return out
@@ -194,7 +223,7 @@ def rebuilt(page: list[Block], labels: list[float], rng: random.Random) -> tuple
 def _path_bins(path: tuple[str, ...]) -> tuple[int, ...]:
     words = {w for token in path for w in token.split()}
     words |= {f"{path[-1].split()[0]}/last"} if path else {"/none"}
-    return tuple(zlib.crc32(w.encode()) % PATH_BINS for w in words)
+    return tuple(map(_word_bin, words))
 
 
 def vectors(page: list[Block]) -> np.ndarray:

@@ -327,6 +327,23 @@ def test_self_closed_drawings_and_formulas_are_read_past():
     assert text("<p>a<script>no<p>no") == text("<p>a<style>no") == ["a"]
 
 
+def test_every_element_around_a_block_counts():
+    deep = lambda opened: "<html><body>" + "<div>" * 10 + opened + "<ul><li><div>" * 12 + "<p>text"
+    for opened in ('<section class="comments">', "<aside>", "<article>", '<div class="story">'):
+        page, plain = page_text.blocks(deep(opened)), page_text.blocks(deep("<div>"))
+        assert (page_text.vectors(page) != page_text.vectors(plain)).any()
+    assert page_text.markup_labels(page_text.blocks(deep("<article>"))) == [1.0]
+    assert page_text.markup_labels(page_text.blocks("<article>" + deep("<form>"))) == [0.0]
+    rng = random.Random(2)
+    for _ in range(100):
+        around = [rng.choice(["div", "article", "aside", "div a b", "ul", "li", f"div c{rng.randint(0, 400)}", "main x", "section comment"]) for _ in range(rng.randint(0, 60))]
+        page = page_text.blocks("".join(f"<{t.partition(' ')[0]} class='{t.partition(' ')[2]}'>" for t in around) + "text")
+        whole = [page_text.Block(tuple(around), "text", 0)]
+        assert page_text.markup_labels(page) == page_text.markup_labels(whole)
+        assert (page_text.vectors(page) == page_text.vectors(whole)).all()
+    assert len(page_text.blocks("".join(f"<div class=c{k}>x" for k in range(50_000)))) == 50_000
+
+
 def test_blocks_of_odd_pages(spark):
     assert [b.text for b in page_text.blocks("a<b>b</b> &amp;c<p>d\n e<script>x('</p>')</script><br>f<!-- <p>no --> g")] == ["ab &c", "d e", "f g"]
     assert [b.text for b in page_text.blocks("1 < 2 <p title='>'>x &lt;p&gt; &#65;")] == ["1 < 2", "x <p> A"]
