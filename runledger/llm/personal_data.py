@@ -41,7 +41,9 @@ _NATIONAL = re.compile(r"(?<![\w+.,/-])(?<![0-9][\x20])(?:\([0-9]{2,5}\)[\x20]?|
 _GROUPED = re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){2}[\x20-][0-9]{2,4}(?![0-9])")
 _IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x20]{0,3}[=:][\x20]{0,3}[\"']?([^\s\"']{8,512})")
+_SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x20]{0,3}[=:][\x20]{0,3}[\"']?([^\s\"']{8,}+)")
+# Characters of a secret that are in no base span.
+_LEAST_SECRET = 64
 
 _BEFORE = 48
 _CUES = {
@@ -102,7 +104,10 @@ def _iban_holds(value: str) -> bool:
 
 
 def candidates(text: str) -> list[tuple[str, int, int, bool]]:
-    """Base spans, and others that overlap no span before them in this order."""
+    """Base spans, and others that overlap no span before them in this order.
+
+    A secret may hold base spans, as long as it has enough characters besides.
+    """
     base = base_spans(text)
     out = [(*s, True) for s in base]
     more: list[tuple[str, int, int]] = []
@@ -118,6 +123,12 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     if more:
         taken = sorted((s[1], s[2]) for s in base)
         for span in more:
+            if span[0] == "secret":
+                inside = {i for _, a, b in base for i in range(max(a, span[1]), min(b, span[2]))}
+                if inside and span[2] - span[1] - len(inside) >= _LEAST_SECRET:
+                    taken.append(span[1:])
+                    out.append((*span, False))
+                    continue
             if not any(a < span[2] and span[1] < b for a, b in taken):
                 taken.append(span[1:])
                 out.append((*span, False))

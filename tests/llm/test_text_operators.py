@@ -246,6 +246,16 @@ def test_wider_spans_follow_the_votes():
     assert all(v >= 0.5 for (k, _), v in scores.items() if k in (secret, 0))
 
 
+def test_long_secrets_are_masked_whole(spark):
+    rng = random.Random(6)
+    token = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-") for _ in range(2_000))
+    held = token[:1_000] + ".4111111111111111." + token[1_000:]
+    texts = [f"password=hunter{n}x and more" for n in range(40)] + [f"so token: {token} ends", f"so token: '{held}' ends", "key: joe@site.com1 ends"]
+    got = [r.text for r in personal_data.masked_documents(documents(spark, texts)).collect()]
+    assert {t for t in got if t.startswith("so")} == {"so token: <SECRET> ends", "so token: '<SECRET>' ends"}
+    personal_data.candidates("token=" + "a" * 500_000 + " key=b" * 10_000)
+
+
 # Quality classifier
 
 
