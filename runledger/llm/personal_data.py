@@ -13,6 +13,7 @@ shape, whatever the number of documents.
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -40,6 +41,8 @@ _WORDY_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?(?
 _NATIONAL = re.compile(r"(?<![\w+.,/-])(?<![0-9][\x20])(?:\([0-9]{2,5}\)[\x20]?|00[1-9][0-9]{0,2}[\x20.-]|0?[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![\w/-]|[\x20.][0-9])")
 _GROUPED = re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){2}[\x20-][0-9]{2,4}(?![0-9])")
 _IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+# Compressed: groups around one '::', with or without a zone.
+_SHORT_IPV6 = re.compile(r"(?<![\w:])(?=:*[0-9A-Fa-f])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?:%\w+)?(?![\w:])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x20]{0,3}[=:][\x20]{0,3}[\"']?([^\s\"']{8,}+)")
 # Characters of a secret that are in no base span.
@@ -103,6 +106,14 @@ def _iban_holds(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def _address_holds(value: str) -> bool:
+    try:
+        ipaddress.ip_address(value)
+    except ValueError:
+        return False
+    return True
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """Base spans, and others that overlap no span before them in this order.
 
@@ -116,6 +127,8 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     if "=" in text or ":" in text:
         more += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
         more += [("ip", *m.span()) for m in _IPV6.finditer(text)]
+        if "::" in text:
+            more += [("ip", *m.span()) for m in _SHORT_IPV6.finditer(text)]
     more += [("iban", *m.span()) for m in _IBAN.finditer(text)]
     more += [("card", *m.span()) for m in _CARD.finditer(text) if 14 <= sum(c.isdigit() for c in m[0]) <= 19]
     more += [("card", *m.span()) for m in _GROUPED.finditer(text)]
@@ -147,6 +160,7 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
         checks = 1 if _iban_holds(value) else -1
         listed = 1 if value[:2] in _COUNTRIES else -1
     elif kind == "ip":
+        checks = 0 if base else 1 if _address_holds(value) else -1
         listed = -1 if value.startswith(_RESERVED) else 0
     elif kind == "email":
         listed = 1 if re.split(r"[^A-Za-z0-9]+", value.rstrip(")]} "))[-1].lower() in _DOMAINS else -1

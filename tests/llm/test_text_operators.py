@@ -210,6 +210,8 @@ def test_base_spans_equal_the_patterns(text):
 def test_long_runs_take_linear_time():
     for run in ("1" * 200_000, "a" * 200_000, "a.@" * 60_000, "+1" + "(" * 100_000, "1." * 100_000, "(at)" * 50_000):
         personal_data.candidates(run)
+    for run in ("1:" * 100_000, "1::" * 70_000, ":" * 200_000, "::1 " * 2_000, "1:1::%" * 30_000):
+        personal_data._SHORT_IPV6.findall(run)
 
 
 def test_personal_data_of_all_rows(spark):
@@ -256,6 +258,18 @@ def test_long_secrets_are_masked_whole(spark):
     personal_data.candidates("token=" + "a" * 500_000 + " key=b" * 10_000)
 
 
+def test_compressed_addresses_are_masked(spark):
+    found = lambda text: [text[a:b] for k, a, b, own in personal_data.candidates(text) if k == "ip" and not own]
+    for address in ("2001:db8::1", "fe80::1%eth0", "2001:db8::", "::1", "2001:db8:0:0:1::1", "2001:DB8:1:2:3:4:5:6"):
+        assert found(f"client [{address}], then") == found(f"from {address}.") == [address]
+        assert personal_data.votes(address, "ip", 0, len(address), False)[1] == "+"
+    assert found("std::add and a :: b at 12:30:45, ::: x::1 1::2::3") == []
+    assert personal_data.votes("1:2:3:4:5::6:7:8:9", "ip", 0, 18, False)[1] == "-"
+    texts = [f"login from ip 2001:db8:{n:x}::{n + 7:x} at noon" for n in range(30)] + ["mail a@b.de ip 1.2.3.4"] * 20
+    got = [r.text for r in personal_data.masked_documents(documents(spark, texts)).collect()]
+    assert got.count("login from ip <IP> at noon") == 30
+
+
 # Quality classifier
 
 
