@@ -211,13 +211,14 @@ def remaining_links(members: DataFrame, classes: DataFrame, docs: DataFrame, thr
     return staged(pairs.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WORDS, stored: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WORDS, stored: bool = False, own: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): row, doc_id, n_shingles, component_id, kept.
 
     Documents whose shingle sets have at least ``threshold`` hundredths of their union in common are linked; a component
     is named after its smallest doc_id. Null, empty and wordless texts are linked with nothing. Rows that repeat a text are
     linked; ``kept`` goes by doc_id, so rows that repeat a doc_id share it. A null doc_id names no component: a component
-    of such rows alone keeps them all. No rows give no rows. ``stored`` tells that ``docs`` has a stored column ``row``.
+    of such rows alone keeps them all. No rows give no rows. ``stored`` tells that ``docs`` has a stored column ``row``;
+    ``own`` adds the column ``component``, a number that no two components share (null where there are no shingles).
     """
     docs = docs if stored else staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
     signed = staged(signatures(docs, bands_for(threshold), width))
@@ -250,20 +251,25 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WO
     named = classes.join(joined, "node", "left").select(*key, "least", F.coalesce("component", "node").alias("component"))
     named = staged(named)
     ids = staged(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    named = staged(named.join(ids, "component").select(*key, "component_id"))
+    more = ["component"] if own else []
+    named = staged(named.join(ids, "component").select(*key, "component_id", *more))
     out = signed.select("row", "doc_id", *key).join(named, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("row", "doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), *more).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def distinct_documents(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each group of near duplicates, with all columns; of rows that repeat its doc_id, the first."""
+    """One document of each group of near duplicates, with all columns: the smallest doc_id's, and of its rows the first.
+
+    A group is told by its component, not by its doc_id, so unlike groups whose rows repeat a doc_id keep a row each, and
+    of copies without a doc_id one stays. Texts without shingles are like no other and all stay.
+    """
     marked = staged(docs.withColumn("near row", F.monotonically_increasing_id()))
     narrow = marked.select(F.col("near row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = near_duplicates(narrow, threshold, stored=True).where("kept")
-    # A group keeps the rows of one doc_id, which are more than one only where rows repeat it.
-    alone = found.where("component_id is null or n_shingles = 0").select("row")
-    first = found.where("component_id is not null and n_shingles > 0").groupBy("component_id").agg(F.min("row").alias("row")).select("row")
+    found = near_duplicates(narrow, threshold, stored=True, own=True)
+    alone = found.where("component is null").select("row")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    first = found.where("component is not null").groupBy("component").agg(F.min(order)["row"].alias("row")).select("row")
     rows = alone.unionByName(first).withColumnRenamed("row", "near row")
     return marked.join(rows, "near row").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -86,6 +86,13 @@ def test_repeated_rows_and_missing_ids(spark):
     assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_unlike_texts_of_one_doc_id_all_stay(spark):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (None, "p q r s t"), (None, "p q r s t"), (None, None), (3, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter((r.doc_id, r.text) for r in near_duplicates.distinct_documents(docs).collect())
+    assert left == Counter([(1, "a b c d e f"), (1, "u v w x y z"), (None, "p q r s t"), (None, None), (3, " ")])
+
+
 def test_many_pairs_with_one_document_are_many_groups(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "GROUP", 4)
     base = [f"w{i}" for i in range(200)]
