@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from runledger.llm import (
     context_trees,
+    inner_product_search,
     mixing,
     near_duplicates,
     packing,
@@ -15,7 +16,9 @@ from runledger.llm import (
     personal_data,
     quality_classifier,
     quality_rules,
+    spelling_variants,
     token_files,
+    vector_clusters,
     vector_duplicates,
 )
 
@@ -34,8 +37,16 @@ def queries() -> dict[str, Query]:
         "op8_vector_duplicates": vector_duplicates.query,
         "op9_mixing": mixing.query,
         "op10_best_fit_packing": packing.query,
+        "op11_vector_clusters": vector_clusters.query,
+        "op12_spelling_variants": spelling_variants.query,
+        "op13_inner_product_search": inner_product_search.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.oracle_sql()}
+    return {
+        "op2_quality_rules": quality_rules.oracle_sql(),
+        "op11_vector_clusters": vector_clusters.oracle_sql(),
+        "op12_spelling_variants": spelling_variants.oracle_sql(),
+        "op13_inner_product_search": inner_product_search.oracle_sql(),
+    }
