@@ -6,7 +6,7 @@ engine's, and prices come from the per-size triple: each a different route from
 
 from __future__ import annotations
 
-from checks.queries import PAGE, VIEW_SHAPE
+from checks.queries import HOT, PAGE, VIEW_SHAPE
 from checks.sample import CONNECTIONS_SQL, EVENTS_SQL, HISTORY_SQL, STORAGE_SQL, oracle_text
 from runledger.functions.text import BLANK_CLASS, PREVIEW_SPACE, char_class
 
@@ -560,7 +560,7 @@ _MERGED_COLUMNS = [
     "error_type", "error_message", "user_name", "instance_type", "worker_id", "session_name", "bytes_uploaded",
     "bytes_downloaded", "bytes_spilled_to_disk", "user_agent", "is_internal", "fingerprint", "ingested_at",
 ]
-for _name in ("event_upsert", "event_fold", "event_upsert_one_batch", "event_upsert_stored"):
+for _name in ("event_upsert", "event_fold", "event_upsert_one_batch", "event_upsert_stored", "event_upsert_moved"):
     _oracle(
         _name,
         _DELIVERED,
@@ -610,10 +610,7 @@ from cn left join dr on dr.connection_id = cn.id group by 1""",
 )
 _PASS = [_HISTORY, _CONNECTIONS, _PLAN, _PAGED, _STATS, _OUTCOME]
 _oracle("sync_outcome", _PASS, "select * from so")
-_oracle(
-    "sync_state",
-    _PASS,
-    f"""select id, name, region_tier, enabled,
+_STATE = f"""select id, name, region_tier, enabled,
   case when so.connection_id is null then cn.watermark_start_time else so.watermark_start_time end as watermark_start_time,
   case when so.connection_id is null then last_synced_at else {_NOW} end as last_synced_at,
   case when succeeded then {_NOW} else last_success_at end as last_success_at,
@@ -621,7 +618,46 @@ _oracle(
   coalesce(ingest_warning, last_ingest_warning) as last_ingest_warning, created_at,
   case when so.connection_id is null then updated_at else {_NOW} end as updated_at,
   case when so.connection_id is null then cn.catching_up else so.catching_up end as catching_up, storage_attempted_at
-from cn left join so on so.connection_id = cn.id""",
+from cn left join so on so.connection_id = cn.id"""
+_oracle("sync_state", _PASS, _STATE)
+
+
+def _changed(ctes: str, old: str, new: str) -> str:
+    """A building block with one CTE renamed, so that another can take its name."""
+    if f"{old} as (" not in ctes:
+        raise ValueError(old)
+    return ctes.replace(f"{old} as (", f"{new} as (")
+
+
+# One connection at a standstill, some that fail to be read.
+_oracle(
+    "ingest_pass",
+    [
+        _changed(_HISTORY, "hi", "hi0"),
+        f"""hi as (select * replace (case when connection_id = '{HOT}' then epoch_ms(timestamp '2024-01-16') else start_ms end
+      as start_ms) from hi0)""",
+        _changed(_CONNECTIONS.split(",\nti as")[0], "cn", "cn0"),
+        f"cn as (select * replace (catching_up or id = '{HOT}' as catching_up) from cn0)",
+        _PLAN,
+        _PAGED,
+        _STATS,
+        _changed(_OUTCOME, "so", "so0"),
+        "fl as (select id from cn where enabled and suffix(id, '3'))",
+        """so as (select so0.connection_id, case when fl.id is null then so0.watermark_start_time else pl.watermark_start_time end
+        as watermark_start_time, case when fl.id is null then so0.catching_up else pl.catching_up end as catching_up,
+      fl.id is null and succeeded as succeeded, case when fl.id is null then sync_error else 'no route' end as sync_error,
+      case when fl.id is null then ingest_warning end as ingest_warning
+    from so0 join pl using (connection_id) left join fl on fl.id = so0.connection_id)""",
+        f"sn as ({_STATE})",
+        f"""es as (select connection_id as id, count(*) as events_stored from pg
+    where {_READABLE} and connection_id not in (select id from fl) group by 1)""",
+        _STORAGE,
+        f"du as (select id from cn where enabled and (storage_attempted_at is null or {_NOW} - storage_attempted_at >= interval 3600 second))",
+        "sx as (select connection_id as id, count(*) as samples_stored from st where connection_id in (select id from du) group by 1)",
+    ],
+    f"""select sn.* replace (case when du.id is null then storage_attempted_at else {_NOW} end as storage_attempted_at),
+  coalesce(events_stored, 0) as events_stored, coalesce(samples_stored, 0) as samples_stored
+from sn left join es using (id) left join sx using (id) left join du using (id)""",
 )
 _oracle(
     "storage_due",
@@ -673,3 +709,32 @@ _oracle(
   count(*) as query_count, count(error_type) as failure_count
 from ev where not is_internal group by 1, 2""",
 )
+
+_oracle(
+    "stream_sync_state",
+    [
+        _HISTORY,
+        _CONNECTIONS,
+        f"""sa as (select connection_id as id, count(*) filter (where not ({_READABLE})) as lost,
+      max(case when {_READABLE} then epoch_ms(start_ms) end) as newest from hi group by 1)""",
+    ],
+    f"""select id, name, region_tier, enabled,
+  case when enabled and sa.id is not null then greatest(watermark_start_time, newest) else watermark_start_time end
+    as watermark_start_time,
+  case when enabled and sa.id is not null then {_NOW} else last_synced_at end as last_synced_at,
+  case when enabled and sa.id is not null then {_NOW} else last_success_at end as last_success_at,
+  case when enabled and sa.id is not null then null else last_sync_error end as last_sync_error,
+  case when (enabled and coalesce(lost, 0) > 0) or contains(last_ingest_warning, 'skipped') then 'skipped' end as last_ingest_warning,
+  created_at, case when enabled and sa.id is not null then {_NOW} else updated_at end as updated_at,
+  case when enabled and sa.id is not null then false else catching_up end as catching_up, storage_attempted_at
+from cn left join sa using (id)""",
+)
+
+# Reads of one connection are the rows of that connection -------------------------------------------------------------
+
+for _name in (
+    "summary summary_by_instance_type latency_buckets cost_buckets attribution_by_user attribution_by_instance_type "
+    "attribution_totals slow_queries recent_failures shapes insights insight_totals insights_by_shape filter_values "
+    "search_events latency_segments chart_digest"
+).split():
+    _REGISTRY[f"{_name}_of_one"] = f"select * from ({_REGISTRY[_name]}) o where connection_id = '{HOT}'"

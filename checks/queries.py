@@ -29,6 +29,8 @@ PAGE = 100
 # Columns the list oracles leave out.
 UNLISTED = ("fingerprint", *LAYOUT)
 POLL = timedelta(hours=1)
+# The connection that holds a third of the events.
+HOT = "conn-8"
 VIEW_SHAPE = "select v.a from views v,pages p where v.id in(?)"
 WEEKS = TimeRange(datetime(2024, 1, 8), datetime(2024, 1, 29))
 
@@ -159,6 +161,22 @@ def event_upsert_stored(spark, d):
     return stored.events().drop(*LAYOUT)
 
 
+@query
+def event_upsert_moved(spark, d):
+    """A fifth of the re-reads reports another start. Half of the runs are in their slots when that comes, half are deltas."""
+    stored = Tables(spark, scratch_dir(spark, "ledger"), slot_hours=24)
+    first, again = _deliveries(spark, d)
+    known = F.col("start_time") < timestamp(WEEKS.end)
+    moves = known & (F.pmod(F.xxhash64("query_id"), F.lit(5)) == 0)
+    moved = F.when(moves, F.col("start_time") + F.expr("interval 75 hours")).otherwise(F.col("start_time"))
+    half = F.pmod(F.xxhash64("query_id", "connection_id"), F.lit(2)) == 0
+    stored.append_events(first.where(half), "early", 0)
+    stored.compact()
+    stored.append_events(first.where(~half), "early", 1)
+    stored.append_events(again.withColumn("start_time", moved), "late", 0)
+    return stored.events().drop(*LAYOUT)
+
+
 @query
 def shape_registry(spark, d):
     events = sample.events(spark, d)
@@ -440,32 +458,77 @@ def storage_due(spark, d):
     return ingest.storage_due(sample.connections(spark, d), timestamp(NOW), ingest.IngestSettings().storage_interval)
 
 
+def _troubled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Connections, history and fetch errors of a pass in which one connection is stalled and some fail to be read."""
+    hot = F.col("id") == HOT
+    connections = sample.connections(spark, d).withColumn("catching_up", F.col("catching_up") | hot)
+    at_mark = F.when(F.col("connection_id") == HOT, F.unix_millis(timestamp(MID))).otherwise(F.col("start_ms"))
+    failing = connections.where(F.col("id").endswith("3")).select(F.col("id").alias("connection_id"), F.lit("no route").alias("fetch_error"))
+    return connections, sample.history(spark, d).withColumn("start_ms", at_mark), failing
+
+
+@query
+def ingest_pass(spark, d):
+    """One pass over all connections: events and storage stored, books kept."""
+    stored = Tables(spark, scratch_dir(spark, "ledger"), slot_hours=24)
+    connections, history, failing = _troubled(spark, d)
+    stored.record_connections(connections, 0)
+    settings = ingest.IngestSettings(batch_limit=PAGE)
+    ingest.ingest_pass(
+        stored, history, 1, scratch_dir(spark, "staging"), timestamp(NOW), settings, sample.raw_storage(spark, d), failing
+    )
+    found = stored.events().groupBy(F.col("connection_id").alias("id")).agg(F.count("*").alias("events_stored"))
+    held = stored.storage().groupBy(F.col("connection_id").alias("id")).agg(F.count("*").alias("samples_stored"))
+    state = stored.connections().join(found, "id", "left").join(held, "id", "left")
+    return state.fillna(0, ["events_stored", "samples_stored"])
+
+
 # Streams -------------------------------------------------------------------------------------------------------------
 
 
 def _history_table(spark: SparkSession, d: str) -> str:
-    """The derived history as files, which is what a stream reads. Spread over files so that there are several batches."""
-    path = scratch_dir(spark, "history")
-    sample.history(spark, d).repartition(4, "query_id").write.parquet(path)
-    return path
-
+    """The derived history as files, which is what a stream reads. Spread over files so that there are several batches.
 
-def _history_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(source.HISTORY).option("maxFilesPerTrigger", 2).parquet(path)
+    Every run is delivered twice: first under way, without its agent, so that own traffic shows late.
+    """
+    path, history = scratch_dir(spark, "history"), sample.history(spark, d)
+    under_way = (
+        history.withColumn("user_agent", F.lit(None).cast("string"))
+        .withColumn("total_elapsed_time_ms", F.col("total_elapsed_time_ms") + 17)
+        .withColumn("error_type", F.lit(None).cast("string"))
+    )
+    under_way.repartition(2, "query_id").write.parquet(path)
+    history.repartition(3, "query_text").write.mode("append").parquet(path)
+    return path
 
 
-@query
-def stream_upsert(spark, d):
+def _streamed(spark: SparkSession, d: str) -> Tables:
     stored = Tables(spark, scratch_dir(spark, "ledger"), slot_hours=24)
+    stored.record_connections(sample.connections(spark, d), 0)
+    # The second micro-batch holds first and second deliveries.
     stream = live.stream_upsert(
-        _history_stream(spark, _history_table(spark, d)),
+        source.stream_history(spark, _history_table(spark, d), 3),
         stored,
         scratch_dir(spark, "work"),
         scratch_dir(spark, "upsert-progress"),
         now=NOW,
+        settings=ingest.IngestSettings(batch_limit=1_000_000_000),
     )
     stream.awaitTermination()
-    return stored.events().drop(*LAYOUT)
+    return stored
+
+
+@query
+def stream_upsert(spark, d):
+    return _streamed(spark, d).events().drop(*LAYOUT)
+
+
+@query
+def stream_sync_state(spark, d):
+    """The books that the stream kept. How many rows a micro-batch lost depends on the files, that it lost some does not."""
+    state = _streamed(spark, d).connections()
+    skipped = F.col("last_ingest_warning").contains("skipped")
+    return state.withColumn("last_ingest_warning", F.when(skipped, "skipped"))
 
 
 @query
@@ -474,6 +537,66 @@ def stream_latency(spark, d):
     # A third of the runs is delivered once more, in files of their own.
     again = sample.history(spark, d).where(F.pmod(F.xxhash64("query_id"), F.lit(3)) == 0)
     again.repartition(3, "query_text").write.mode("append").parquet(folder)
-    stream = live.stream_latency(_history_stream(spark, folder), path, scratch_dir(spark, "latency-progress"))
+    stream = live.stream_latency(source.stream_history(spark, folder, 3), path, scratch_dir(spark, "latency-progress"))
     stream.awaitTermination()
     return live.live_latency(spark, path, "6 hours")
+
+
+# One connection ------------------------------------------------------------------------------------------------------
+
+
+def _of_one(name: str, build: Query) -> None:
+    _named(f"{name}_of_one", build)
+
+
+ONE = dict(connection_id=HOT)
+
+
+def _read_one(operator, span: TimeRange = MONTH, *more) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        stored = sample.ledger(spark, d)
+        found = operator(stored.events(), stored.connections(), everything(span, **ONE), *more)
+        return found.drop(*[name for name in UNLISTED if operator in (reads.slow_queries, reads.recent_failures)])
+
+    return run
+
+
+for _name, _operator, *_more in (
+    ("summary", reads.summary),
+    ("summary_by_instance_type", reads.summary_by_instance_type),
+    ("latency_buckets", reads.latency_buckets),
+    ("cost_buckets", reads.cost_buckets),
+    ("attribution_by_user", reads.attribution, HALF, "user_name"),
+    ("attribution_by_instance_type", reads.attribution, HALF, "instance_type"),
+    ("attribution_totals", reads.attribution_totals, HALF),
+    ("slow_queries", reads.slow_queries),
+    ("recent_failures", reads.recent_failures),
+):
+    _of_one(_name, _read_one(_operator, *_more))
+
+
+def _shaped_one(operator) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        stored = sample.ledger(spark, d)
+        return operator(stored.events(), stored.shapes(), stored.connections(), everything(**ONE))
+
+    return run
+
+
+for _name, _operator in (
+    ("shapes", shapes.top_shapes),
+    ("insights", findings.insights),
+    ("insight_totals", findings.insight_totals),
+    ("insights_by_shape", findings.insights_by_shape),
+):
+    _of_one(_name, _shaped_one(_operator))
+
+_of_one("filter_values", lambda spark, d: reads.filter_values(sample.ledger(spark, d).events(), everything(**ONE)))
+_of_one(
+    "search_events",
+    lambda spark, d: reads.select_events(sample.ledger(spark, d).events(), everything(search="FROM clicks_1", **ONE)).select(
+        "connection_id", "query_id", "query_text"
+    ),
+)
+_of_one("latency_segments", lambda spark, d: charts.latency_segments(_read_one(reads.latency_buckets)(spark, d)))
+_of_one("chart_digest", lambda spark, d: charts.chart_digest(_read_one(reads.latency_buckets)(spark, d)))

@@ -209,7 +209,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> Tables:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LEDGERS:
         tables = Tables(spark, scratch_dir(tune(spark), "ledger"), slot_hours=24)
-        tables.replace_slots(stamped_events(spark, sf_dir))
+        tables.load_events(stamped_events(spark, sf_dir))
         tables.register_shapes(tables.events())
         tables.append_storage(storage(spark, sf_dir))
         tables.record_connections(connections(spark, sf_dir), 0)

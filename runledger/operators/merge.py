@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -39,22 +40,35 @@ LAST_KNOWN_WINS = (
 )
 
 
-# The order of deliveries, where a batch carries it.
+# The order of deliveries, where a batch carries it: any type that has an order.
 SEQ = "seq"
 
 
 def delivery_order(columns: list[str]) -> Column:
-    """What orders the reads of one run: the delivery number if there is one, else when it was ingested and then how far
-    the run had come (a run that has ended was read after one that had not), with the content to settle ties."""
-    reached = [F.col("ingested_at"), F.col("end_time"), F.col("total_elapsed_time_ms"), F.xxhash64(*EVENTS.names)]
-    numbered = [F.col(SEQ)] if SEQ in columns else []
-    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*numbered, *reached])])
+    """What orders the reads of one run: the delivery number if there is one. Without it, when it was ingested and then how
+    far the run had come (a run that has ended was read after one that had not) and how much was known of it, with the
+    content to settle ties."""
+    if SEQ in columns:
+        return F.struct(F.col(SEQ).alias("o0"))
+    known = sum((F.col(name).isNotNull().cast("int") for name in EVENTS.names), F.lit(0)) + F.col("is_internal").cast("int")
+    reached = [F.col("ingested_at"), F.col("end_time"), F.col("total_elapsed_time_ms"), known, F.xxhash64(*EVENTS.names)]
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(reached)])
 
 
 def one_per_key(batch: DataFrame) -> DataFrame:
-    """A batch with the reads of each run folded, in delivery order, by the same policies that merge it into the table."""
+    """A batch with the reads of each run folded, in delivery order, by the same policies that merge it into the table.
+
+    Two different reads of a run under one delivery number are an error: nothing tells which came last.
+    """
     ordered = batch.withColumn("_order", delivery_order(batch.columns))
-    return fold_deliveries(ordered, "_order")
+    if SEQ not in batch.columns:
+        return fold_deliveries(ordered, "_order")
+    content = F.xxhash64(*EVENTS.names)
+    tied = F.size(F.collect_set(F.struct("_order", content.alias("c")))) > F.size(F.collect_set("_order"))
+    checked = fold_deliveries(ordered, "_order", extra=[tied.alias("_tied")])
+    message = F.concat(F.lit("different reads under one delivery number: "), F.col("connection_id"), F.lit(" "), F.col("query_id"))
+    fine = F.when(F.col("_tied"), F.raise_error(message).cast("boolean")).otherwise(True)
+    return checked.where(fine).select(*EVENTS.names)
 
 
 def merged_column(name: str, old: Column, new: Column, matched: Column) -> Column:
@@ -85,22 +99,39 @@ def upsert_events(stored: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def fold_deliveries(deliveries: DataFrame, seq: str) -> DataFrame:
+def fold_deliveries(deliveries: DataFrame, seq: str, keys: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
     """The event table that results from upserting every delivery in ``seq`` order, in one partial aggregate.
 
-    For rebuilding a table from kept raw reads. A key read any number of times is folded on the map side first.
+    For rebuilding a table from kept raw reads. A key read any number of times is folded on the map side first. ``keys``
+    are further columns that a run never changes, ``extra`` further aggregates.
     """
     order = F.col(seq)
 
     def last_known(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), order)).alias(name)
 
-    folded = deliveries.groupBy(*EVENT_KEY).agg(
+    folded = deliveries.groupBy(*EVENT_KEY, *keys).agg(
         *[F.min_by(name, order).alias(name) for name in FIRST_WINS],
         *[F.max_by(name, order).alias(name) for name in LAST_WINS],
         *[last_known(name) for name in LAST_KNOWN_WINS],
+        *extra,
+    )
+    added = [name for name in folded.columns if name not in EVENTS.names]
+    return folded.select(*EVENTS.names, *added)
+
+
+def folded_into(stored: DataFrame, batch: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Each row of ``stored`` with the row of its key in ``batch`` merged into it; rows of other keys are left out. Both
+    have the columns ``keys``, which are the same for a run. Filters on them, the key and the start reach ``stored``."""
+    both = [*EVENT_KEY, *keys]
+    joined = stored.select(*EVENTS.names, *keys).alias("s").join(
+        batch.withColumn("_matched", F.lit(True)).alias("b"),
+        reduce(and_, [F.col(f"s.{name}") == F.col(f"b.{name}") for name in both]),
+        "left",
     )
-    return folded.select(*EVENTS.names)
+    matched = F.coalesce("b._matched", F.lit(False))
+    merged = [merged_column(name, F.col(f"s.{name}"), F.col(f"b.{name}"), matched).alias(name) for name in EVENTS.names]
+    return joined.select(*merged, *[F.col(f"s.{name}") for name in keys])
 
 
 def pending_fingerprints(events: DataFrame, limit: int | None = None) -> DataFrame:

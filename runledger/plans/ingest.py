@@ -26,6 +26,8 @@ class IngestSettings:
 
     overlap: timedelta = timedelta(minutes=15)
     batch_limit: int = 5000
+    # Batches that are kept as deltas before they are merged into their slots.
+    compact_after: int = 16
     backfill_limit: int | None = None
     storage_interval: timedelta = timedelta(hours=1)
     poll_interval: timedelta = timedelta(seconds=60)
@@ -164,11 +166,12 @@ def staged(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def store_batch(tables: Tables, drafts: DataFrame, staging: str, now: Column) -> None:
-    """Shapes first, then events, so a stored fingerprint always has its shape. Safe to repeat with the same rows."""
+def store_batch(tables: Tables, drafts: DataFrame, staging: str, now: Column, writer: str, batch: int) -> None:
+    """Shapes first, then events, so a stored fingerprint always has its shape. Safe to repeat with the same rows, as the
+    same batch of the same writer."""
     events = staged(fingerprinted(to_events(drafts, now)), f"{staging}/events")
     tables.register_shapes(events)
-    tables.upsert_events(events)
+    tables.append_events(events, writer, batch)
 
 
 def backfill(tables: Tables, staging: str, limit: int | None = None) -> None:
@@ -180,6 +183,8 @@ def backfill(tables: Tables, staging: str, limit: int | None = None) -> None:
         keys = [*EVENT_KEY, *LAYOUT]
         first = first_per_connection(waiting.select(*keys, "start_time"), [F.desc("start_time"), F.asc("query_id")], limit)
         waiting = waiting.join(first.select(*keys), keys, "left_semi")
+    if not waiting.limit(1).count():
+        return
     stamped = staged(fingerprinted(waiting), f"{staging}/stamped")
     tables.register_shapes(stamped)
     tables.replace_slots(backfill_fingerprints(tables.slots_of(stamped), stamped))
@@ -206,8 +211,10 @@ def ingest_pass(
     """
     connections = tables.connections()
     plan = fetch_plan(connections, settings.overlap)
-    page = staged(history_page(history, plan, settings.batch_limit), f"{staging}/page")
-    store_batch(tables, readable_rows(page), staging, now)
+    fetched = plan if fetch_errors is None else plan.join(fetch_errors, "connection_id", "left_anti")
+    page = staged(history_page(history, fetched, settings.batch_limit), f"{staging}/page")
+    store_batch(tables, readable_rows(page), staging, now, "pass", pass_number)
+    tables.compact(settings.compact_after)
     backfill(tables, staging, settings.backfill_limit)
     tables.backfill_flags()
     outcome = sync_outcome(plan, batch_stats(page), settings.batch_limit, fetch_errors)

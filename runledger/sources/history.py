@@ -23,8 +23,25 @@ _RESHAPED = ("query_id", "query_text", "query_type", "start_ms", "end_ms")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """History exported as parquet. Any Spark reader that yields the ``HISTORY`` columns serves as well."""
-    return spark.read.schema(HISTORY).parquet(path)
+    """History exported as parquet, with a delivery number. Any Spark reader that yields the ``HISTORY`` columns serves as
+    well."""
+    return numbered(spark.read.schema(HISTORY).parquet(path))
+
+
+def stream_history(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """The same as a stream of the files that arrive in a folder."""
+    reader = spark.readStream.schema(HISTORY)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return numbered(reader.parquet(path))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of a file source with their delivery number ``seq``: by when the file was written, then by its name, then by
+    place in it. No two rows share one, and repeats of a row keep theirs."""
+    written = F.lpad(F.unix_millis("_metadata.file_modification_time").cast("string"), 16, "0")
+    place = F.lpad(F.col("_metadata.row_index").cast("string"), 16, "0")
+    return rows.select("*", F.concat_ws("/", written, F.col("_metadata.file_path"), place).alias(SEQ))
 
 
 def with_epoch_ms(rows: DataFrame, times: dict[str, str], intervals: dict[str, str]) -> DataFrame:

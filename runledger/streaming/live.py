@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from runledger.operators.merge import SEQ
 from runledger.operators.quantiles import summarize
-from runledger.plans.ingest import store_batch
+from runledger.plans.ingest import (
+    IngestSettings,
+    apply_sync_state,
+    batch_stats,
+    fetch_plan,
+    staged,
+    store_batch,
+    sync_outcome,
+)
 from runledger.plans.params import timestamp
 from runledger.sources.history import internal_traffic, readable_rows, unreadable_rows
 from runledger.sources.tables import Tables
@@ -22,25 +34,72 @@ def stream_upsert(
     checkpoint: str,
     now: datetime | None = None,
     every: str | None = None,
+    settings: IngestSettings = IngestSettings(),
+    writer: str = "stream",
 ) -> StreamingQuery:
-    """Ingests a stream of history rows into the tables.
+    """Ingests a stream of history rows into the tables and keeps the books of its connections.
 
-    Every fetched row is stored however late it is; keyed merges make a repeated micro-batch harmless. Unreadable rows
-    go to ``work/quarantine``, one folder per batch so that a repeat replaces it. With ``every`` the stream polls at
-    that interval, without it drains what is there and stops.
+    Every fetched row is stored however late it is; keyed merges make a repeated micro-batch harmless. ``seq`` orders the
+    deliveries of a run (``delivery_number`` makes it where the source has none). Unreadable rows go to
+    ``work/quarantine``, one folder per batch so that a repeat replaces it. With ``every`` the stream polls at that
+    interval, without it drains what is there and stops.
+
+    The state of a connection (watermark, catching up, error, warning) is carried from micro-batch to micro-batch in the
+    connections table and written last, from the state the batch before it left, so a repeated batch counts once. A batch
+    in which a connection has no rows leaves its state alone.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         at = F.current_timestamp() if now is None else timestamp(now)
         unreadable_rows(batch).write.mode("overwrite").parquet(f"{work}/quarantine/batch={batch_id}")
-        store_batch(tables, readable_rows(batch), f"{work}/staging", at)
+        store_batch(tables, readable_rows(batch), f"{work}/staging", at, writer, batch_id)
+        tables.compact(settings.compact_after)
+        stats = staged(batch_stats(batch), f"{work}/stats")
+        tables.advance_connections(lambda before: after_batch(before, stats, settings, at), writer, batch_id)
+
+    query = history.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (query.trigger(processingTime=every) if every else query.trigger(availableNow=True)).start()
+
 
-    writer = history.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+def after_batch(connections: DataFrame, stats: DataFrame, settings: IngestSettings, now: Column) -> DataFrame:
+    """The state of the connections after a micro-batch with these ``batch_stats``."""
+    fetched = connections.join(stats.select(F.col("connection_id").alias("id")), "id", "left_semi")
+    outcome = sync_outcome(fetch_plan(fetched, settings.overlap), stats, settings.batch_limit)
+    return apply_sync_state(connections, outcome, now)
 
 
 _RUN = ["connection_id", "query_id"]
-_LIVE = "connection_id string, query_id string, start_time timestamp, total_elapsed_time_ms long, failed boolean, read long"
+# What the state store keeps of a run: where it starts, and what it adds to the histograms.
+_STATE = "start_us long, elapsed long, failed boolean, internal boolean, reached string"
+_STEPS = "connection_id string, start_us long, elapsed long, runs long, failures long"
+_CELLS = "connection_id string, cell_start timestamp, total_elapsed_time_ms long, runs long, failures long"
+
+
+def _steps(numbered: bool) -> Callable:
+    def step(key: tuple, deliveries: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """What a micro-batch changes for one run: its old value out, its new one in."""
+        old = state.get if state.exists else None
+        rows = pd.concat(deliveries).sort_values("reached", kind="stable")
+        last = rows.iloc[-1]
+        if old and numbered and last["reached"] < old[4]:
+            return
+        start = old[0] if old else int(rows["start_us"].iloc[0])
+        elapsed = None if pd.isna(last["elapsed"]) else int(last["elapsed"])
+        new = (start, elapsed, bool(last["failed"]), bool(last["is_internal"]), last["reached"])
+        state.update(new)
+        if old and tuple(old[1:4]) == new[1:4]:
+            return
+        signed = [(sign, run) for sign, run in ((-1, old), (1, new)) if run and not run[3]]
+        if signed:
+            yield pd.DataFrame({
+                "connection_id": [key[0]] * len(signed),
+                "start_us": [run[0] for _, run in signed],
+                "elapsed": pd.array([run[1] for _, run in signed], "Int64"),
+                "runs": [sign for sign, _ in signed],
+                "failures": [sign * int(run[2]) for sign, run in signed],
+            })
+
+    return step
 
 
 def stream_latency(
@@ -48,49 +107,55 @@ def stream_latency(
     path: str,
     checkpoint: str,
     every: str | None = None,
+    cell: str = "1 minute",
 ) -> StreamingQuery:
-    """Keeps the durations of runs, a few narrow columns of each, in a table for :func:`live_latency`.
-
-    Own traffic stays out. Every delivery is kept with its micro-batch, however late it is, so that a run that is
-    delivered again counts once and nothing is lost to a watermark; there is no state to grow. :func:`compact_live` folds
-    what many batches have written.
+    """Keeps histograms of the durations of runs per connection and ``cell`` of time for :func:`live_latency`.
+
+    The state store keeps the latest known of each run. A delivery that changes a run's duration, its outcome or whether it
+    is own traffic writes two steps: the old value out of its cell, the new one in. So a run counts once whatever is
+    delivered again, and own traffic that is recognised late leaves the figures. A run stays where it was first said to
+    start. A delivery counts as later by ``seq``; without it, if it was read in a later micro-batch, and within one, by how
+    far the run had come. Nothing is lost to a watermark. A read adds up steps, not deliveries, and :func:`compact_live`
+    adds up those of many batches. The state has a narrow row for each run; the RocksDB state store keeps it on disk.
     """
+    numbered = SEQ in history.columns
+    drafts = readable_rows(history)
+    order = F.col(SEQ).cast("string") if numbered else F.lpad(F.coalesce(F.unix_millis("end_time") + 1, F.lit(0)).cast("string"), 20, "0")
+    runs = drafts.select(
+        *_RUN,
+        F.unix_micros("start_time").alias("start_us"),
+        F.col("total_elapsed_time_ms").alias("elapsed"),
+        F.col("error_type").isNotNull().alias("failed"),
+        internal_traffic().alias("is_internal"),
+        order.alias("reached"),
+    )
+    steps = runs.groupBy(*_RUN).applyInPandasWithState(_steps(numbered), _STEPS, _STATE, "append", GroupStateTimeout.NoTimeout)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        runs = readable_rows(batch).where(~internal_traffic())
-        order = F.struct("end_time", "total_elapsed_time_ms")
-        kept = runs.groupBy(*_RUN).agg(
-            F.min("start_time").alias("start_time"),
-            F.max_by("total_elapsed_time_ms", order).alias("total_elapsed_time_ms"),
-            F.max_by(F.col("error_type").isNotNull(), order).alias("failed"),
-        )
-        kept.withColumn("read", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    writer = history.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
-
-
-def _live_runs(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each run: its first start, and its latest duration and outcome."""
-    rows = spark.read.schema(_LIVE).parquet(path)
-    return rows.groupBy(*_RUN).agg(
-        F.min("start_time").alias("start_time"),
-        F.max_by("total_elapsed_time_ms", "read").alias("total_elapsed_time_ms"),
-        F.max_by("failed", "read").alias("failed"),
-        F.max("read").alias("read"),
-    )
+        placed = batch.withColumn("cell_start", F.window(F.timestamp_micros("start_us"), cell)["start"])
+        _summed(placed.withColumnRenamed("elapsed", "total_elapsed_time_ms")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    query = steps.writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (query.trigger(processingTime=every) if every else query.trigger(availableNow=True)).start()
+
+
+def _summed(steps: DataFrame) -> DataFrame:
+    cell = ["connection_id", "cell_start", "total_elapsed_time_ms"]
+    summed = steps.groupBy(*cell).agg(F.sum("runs").alias("runs"), F.sum("failures").alias("failures"))
+    return summed.where("runs <> 0 or failures <> 0")
 
 
 def compact_live(spark: SparkSession, path: str, into: str) -> None:
-    """Writes the folded live table as one batch below ``into``, a new folder for the stream to go on with."""
-    _live_runs(spark, path).write.mode("overwrite").parquet(f"{into}/batch=0")
+    """Writes the histograms as one batch below ``into``, a new folder for the stream to go on with."""
+    _summed(spark.read.schema(_CELLS).parquet(path)).write.mode("overwrite").parquet(f"{into}/batch=0")
 
 
 def live_latency(spark: SparkSession, path: str, width: str = "5 minutes") -> DataFrame:
-    """Counts and exact percentiles per connection and tumbling window of the live table."""
-    runs = _live_runs(spark, path).withColumn("window_start", F.window("start_time", width)["start"])
-    cell = ["connection_id", "window_start", "total_elapsed_time_ms"]
-    counted = runs.groupBy(*cell).agg(F.count(F.lit(1)).alias("runs"), F.count_if("failed").alias("failures"))
+    """Counts and exact percentiles per connection and tumbling window, a whole number of the stream's cells wide."""
+    cells = spark.read.schema(_CELLS).parquet(path)
+    window = F.window("cell_start", width)["start"]
+    placed = cells.select("connection_id", window.alias("cell_start"), "total_elapsed_time_ms", "runs", "failures")
+    counted = _summed(placed).withColumnRenamed("cell_start", "window_start")
     return summarize(
         counted,
         ["connection_id", "window_start"],

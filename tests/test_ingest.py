@@ -177,6 +177,23 @@ def test_repeats_in_a_batch_follow_the_delivery_number(spark):
     assert (row.user_name, row.total_elapsed_time_ms) == ("alice", 900)
 
 
+def test_different_reads_under_one_delivery_number_are_an_error(spark):
+    one = {"query_id": str(uuid.UUID(int=5))}
+    same = rows.events(spark, one, one).withColumn("seq", F.lit(1))
+    assert merge.one_per_key(same).count() == 1
+    tied = rows.events(spark, one, {**one, "user_agent": "client"}).withColumn("seq", F.lit(1))
+    with pytest.raises(Exception, match="different reads under one delivery number"):
+        merge.one_per_key(tied).collect()
+
+
+def test_without_a_number_the_read_that_knows_more_comes_last(spark):
+    done = {"query_id": str(uuid.UUID(int=5)), "end_time": NOW, "total_elapsed_time_ms": 900}
+    own = {**done, "user_agent": "selfwatch", "is_internal": True}
+    for reads in ((done, own), (own, done)):
+        (row,) = merge.one_per_key(rows.events(spark, *reads)).collect()
+        assert (row.user_agent, row.is_internal) == ("selfwatch", True)
+
+
 def test_a_replacement_cut_short_is_completed(spark, monkeypatch):
     import shutil
 
@@ -200,6 +217,150 @@ def test_a_replacement_cut_short_is_completed(spark, monkeypatch):
     assert again.events().count() == 4
     again.recover()
     assert again.events().count() == 4
+    again.compact()
+    assert again.events().count() == 4 and not again.pending_batches()
+
+
+def root_of(tables):
+    return tables._events.removesuffix("/events")
+
+
+def runs(spark, numbers, **changes):
+    return rows.events(spark, *[{"query_id": str(uuid.UUID(int=n + 1)), "start_time": ago(hours=n), **changes} for n in numbers])
+
+
+def test_a_moved_start_stays_one_row_before_and_after_compaction(spark):
+    tables = Tables(spark, scratch_dir(spark, "tables"), 1, 4)
+    tables.append_events(runs(spark, range(6)), "a", 0)
+    tables.compact()
+    tables.append_events(runs(spark, range(4, 9)), "a", 1)
+    tables.append_events(runs(spark, range(9), start_time=ago(days=9), error_type="late"), "b", 0)
+    want = sorted((str(uuid.UUID(int=n + 1)), (NOW - timedelta(hours=n)).replace(tzinfo=None), "late") for n in range(9))
+    for _ in range(2):
+        got = tables.events()
+        assert sorted((r.query_id, r.start_time, r.error_type) for r in got.collect()) == want
+        slots = {(r.start_date, r.start_slot) for r in got.collect()}
+        assert {(r.start_date, r.start_slot) for r in tables.placed(got.select("start_time")).collect()} == slots
+        tables.compact()
+    assert tables.homes(got).count() == 9
+
+
+def test_repeating_any_batch_changes_nothing(spark):
+    tables = Tables(spark, scratch_dir(spark, "tables"), 24, 4)
+    batches = [runs(spark, range(n, n + 5), execution_time_ms=n, user_name=None if n % 2 else f"u{n}") for n in range(5)]
+
+    def same():
+        want = None
+        for number, batch in enumerate(batches):
+            want = batch if want is None else merge.upsert_events(want, batch)
+        return table(tables.events()) == table(want)
+
+    for number, batch in enumerate(batches):
+        tables.append_events(batch, "s", number)
+        tables.append_events(batch, "s", number)
+    for number in (0, 3, 1):
+        tables.append_events(batches[number], "s", number)
+        assert same()
+    tables.compact()
+    for number in (4, 0):
+        tables.append_events(batches[number], "s", number)
+    assert same() and not tables.pending_batches()
+
+
+@pytest.mark.parametrize("dies_in", ["_publish", "_finish", "_settle", "settled_upto"])
+def test_compaction_cut_short_anywhere_loses_and_repeats_nothing(spark, monkeypatch, dies_in):
+    tables = Tables(spark, scratch_dir(spark, "tables"), 24, 2)
+    tables.upsert_events(runs(spark, range(3)))
+    tables.append_events(runs(spark, range(2, 6), error_type="E"), "s", 0)
+    want = table(tables.events())
+    # After the slots were replaced, the keys settled or the folders deleted.
+    calls = {"_publish": 1, "_finish": 0, "_settle": 0, "settled_upto": 0}[dies_in]
+    real, seen = getattr(Tables, dies_in), []
+
+    def dies(self, *args):
+        seen.append(1)
+        if len(seen) > calls:
+            raise RuntimeError("lost")
+        return real(self, *args)
+
+    monkeypatch.setattr(Tables, dies_in, dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        tables.compact()
+    monkeypatch.setattr(Tables, dies_in, real)
+    again = Tables(spark, root_of(tables), 24, 2)
+    assert table(again.events()) == want
+    again.recover()
+    again.compact()
+    assert table(again.events()) == want and again.homes(again.events()).count() == 6
+
+
+def test_folders_stay_few_over_many_batches(spark):
+    import glob
+
+    tables = Tables(spark, scratch_dir(spark, "tables"), 24, 2)
+    tables.record_connections(rows.connections(spark), 0)
+    for number in range(50):
+        tables.append_events(runs(spark, [number % 7], execution_time_ms=number), "s", number)
+        tables.compact(10)
+        tables.advance_connections(lambda state: state.withColumn("name", F.lit(f"n{number}")), "s", number)
+    folders = {name: len(glob.glob(f"{root_of(tables)}/{name}")) for name in ("deltas/*/*", "keys/recent/*/*", "done/*/*", "connections/pass=*")}
+    assert folders["deltas/*/*"] < 10 and folders["keys/recent/*/*"] < 10 and folders["done/*/*"] == 1 and folders["connections/pass=*"] == 2
+    assert sorted(r.execution_time_ms for r in tables.events().collect()) == list(range(43, 50))
+    assert tables.connections().first().name == "n49"
+
+
+def test_a_repeated_batch_counts_once_in_the_books(spark):
+    tables = Tables(spark, scratch_dir(spark, "tables"), 24)
+    tables.record_connections(rows.connections(spark, {"name": ""}), 0)
+    for number in (0, 1, 1, 2, 2, 2):
+        tables.advance_connections(lambda state: state.withColumn("name", F.concat("name", F.lit(str(number)))), "s", number)
+    assert tables.connections().first().name == "012"
+
+
+@pytest.mark.parametrize("step", ["delete", "rename"])
+def test_a_table_replaced_whole_survives_the_death_of_the_driver(spark, monkeypatch, step):
+    from runledger.sources import tables as stored
+
+    tables = Tables(spark, scratch_dir(spark, "tables"), 24)
+    tables.register_shapes(rows.events(spark, *[{"query_text": f"select {n} from t{n}"} for n in range(5)]))
+    shapes = tables.shapes().withColumn("antipatterns", F.lit(None).cast("array<string>")).collect()
+    spark.createDataFrame(shapes, tables.shapes().schema).write.mode("overwrite").parquet(tables._shapes)
+    real = stored.delete
+
+    def dies(*args):
+        if step == "rename":
+            real(*args)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(stored, "delete", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        tables.backfill_flags()
+    monkeypatch.setattr(stored, "delete", real)
+    again = Tables(spark, root_of(tables), 24)
+    assert again.shapes().count() == 5
+    again.recover()
+    assert again.shapes().where("antipatterns is not null").count() == 5
+    again.backfill_flags()
+    assert again.shapes().count() == 5
+
+
+def test_a_purge_rewrites_only_slots_of_the_connection(spark):
+    tables = Tables(spark, scratch_dir(spark, "tables"), 24, 2)
+    tables.upsert_events(
+        rows.events(
+            spark,
+            {"connection_id": "c", "start_time": ago(days=1)},
+            {"connection_id": "d", "start_time": ago(days=1)},
+            {"connection_id": "c", "start_time": ago(days=2)},
+            {"connection_id": "d", "start_time": ago(days=3)},
+        )
+    )
+    files = {path for path in tables.events().inputFiles() if "2024-04-28" in path}
+    tables.purge(spark.createDataFrame([("c",)], "id string"))
+    left = tables.events()
+    assert sorted(r.connection_id for r in left.collect()) == ["d", "d"]
+    assert files and files <= set(left.inputFiles()) and len(left.inputFiles()) == 2
+    assert tables.homes(rows.events(spark, {"connection_id": "c"}, {}, {"connection_id": "c"})).count() == 0
 
 
 def test_purge_leaves_nothing_of_a_connection(spark):
@@ -443,3 +604,64 @@ def test_live_latency_matches_the_batch_counts(spark):
         first, second = live.live_latency(spark, where, "1 minute").orderBy("window_start").collect()
         assert (first.query_count, first.p50_ms) == (60, 29.5)
         assert (second.query_count, second.p50_ms) == (40, 79.5)
+
+
+@pytest.mark.parametrize("numbered", [True, False])
+def test_live_latency_takes_back_what_changes(spark, numbered):
+    def delivered(*changes):
+        base = {"start_ms": MS, "total_elapsed_time_ms": 10, "end_ms": MS + 5}
+        return rows.history(spark, *[{**base, **change} for change in changes])
+
+    ids = [str(uuid.UUID(int=n)) for n in range(6)]
+    folder, path = scratch_dir(spark, "history"), scratch_dir(spark, "live")
+    first = [{"query_id": i} for i in ids]
+    second = [
+        {"query_id": ids[0], "user_agent": "selfwatch"},  # own traffic after all
+        {"query_id": ids[1], "total_elapsed_time_ms": 70},  # another duration
+        {"query_id": ids[2], "error_type": "E"},  # failed after all
+        {"query_id": ids[3], "start_ms": MS + 3_600_000},  # a moved start
+        {"query_id": ids[4], "total_elapsed_time_ms": None},  # nothing measured
+    ]
+    third = [{"query_id": ids[0]}, {"query_id": ids[5]}]  # no own traffic in the end; a repeat
+    for part in (first, second, third):
+        delivered(*part).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(source.HISTORY).option("maxFilesPerTrigger", 1).parquet(folder)
+    live.stream_latency(source.stream_history(spark, folder, 1) if numbered else stream, path, scratch_dir(spark, "progress")).awaitTermination()
+    (row,) = live.live_latency(spark, path, "1 minute").collect()
+    assert (row.query_count, row.failure_count, row.p50_ms) == (6, 1, 10.0)
+    steps = spark.read.parquet(path)
+    assert steps.where("runs < 0").count() and steps.agg(F.sum("runs")).first()[0] == 6
+
+
+def test_late_agents_of_one_micro_batch_are_kept(spark):
+    """Each run is delivered twice, the second time as own traffic; both are read at once."""
+    ids = [{"query_id": str(uuid.UUID(int=n)), "start_ms": MS + n, "end_ms": MS + 9, "total_elapsed_time_ms": 9} for n in range(8)]
+    folder = scratch_dir(spark, "history")
+    rows.history(spark, *ids).coalesce(1).write.parquet(folder)
+    rows.history(spark, *[{**i, "user_agent": "selfwatch"} for i in ids]).coalesce(1).write.mode("append").parquet(folder)
+    tables, path = Tables(spark, scratch_dir(spark, "tables"), 24), scratch_dir(spark, "live")
+    live.stream_upsert(source.stream_history(spark, folder), tables, scratch_dir(spark, "work"), scratch_dir(spark, "p"), now=NOW).awaitTermination()
+    assert [(r.is_internal, r.user_agent) for r in tables.events().collect()] == [(True, "selfwatch")] * 8
+    live.stream_latency(source.stream_history(spark, folder), path, scratch_dir(spark, "p")).awaitTermination()
+    assert live.live_latency(spark, path).count() == 0
+
+
+def test_a_stream_keeps_the_books(spark):
+    folder, tables = scratch_dir(spark, "history"), Tables(spark, scratch_dir(spark, "tables"), 24)
+    tables.record_connections(rows.connections(spark, {}, {"id": "d", "watermark_start_time": NOW, "catching_up": True}, {"id": "quiet"}), 0)
+    for n in range(3):
+        at = [{"query_id": str(uuid.UUID(int=10 * n + k)), "start_ms": MS + 1000 * n + k} for k in range(4)]
+        stuck = [{"query_id": str(uuid.UUID(int=k)), "start_ms": MS, "connection_id": "d"} for k in range(4)]
+        bad = [{"query_id": "broken"}] if n == 1 else []
+        rows.history(spark, *at, *stuck, *bad).coalesce(1).write.mode("append").parquet(folder)
+    settings = ingest.IngestSettings(batch_limit=4, compact_after=2)
+    live.stream_upsert(
+        source.stream_history(spark, folder, 1), tables, scratch_dir(spark, "work"), scratch_dir(spark, "p"), now=NOW, settings=settings
+    ).awaitTermination()
+    state = {row.id: row for row in tables.connections().collect()}
+    naive = NOW.replace(tzinfo=None)
+    assert state["c"].watermark_start_time == naive + timedelta(milliseconds=2003) and state["c"].catching_up
+    assert state["c"].last_ingest_warning.startswith("1 unreadable") and state["c"].last_sync_error is None
+    assert "raise the batch limit" in state["d"].last_sync_error and state["d"].watermark_start_time == naive
+    assert state["quiet"].last_synced_at is None
+    assert tables.events().count() == 16 and len(tables.pending_batches()) < 2

@@ -97,6 +97,29 @@ def test_an_upsert_reads_only_touched_slots(spark, tables):
     assert found.count() == 1
 
 
+def test_deltas_reach_only_the_slots_they_lie_in(spark):
+    made = Tables(spark, scratch_dir(spark, "tables"))
+    made.upsert_events(rows.events(spark, *[{"start_time": NOW - timedelta(hours=n)} for n in range(48)]))
+    made.append_events(rows.events(spark, {"query_id": "x", "start_time": NOW - timedelta(hours=3)}), "s", 0)
+    early = TimeRange(NOW - timedelta(hours=40), NOW - timedelta(hours=30))
+    text = plan(reads.select_events(made.events(), EventFilter(early, connection_id="c")).select("query_id"))
+    for scan in scans(text):
+        assert re.search(r"PartitionFilters: \[.*start_date", scan), scan
+        if "/events" in scan:
+            assert "EqualTo(connection_id,c)" in scan, scan
+            assert "query_text" not in scan.split("ReadSchema")[1]
+    # All but the one that tells which deltas are new runs.
+    assert sum("/events" in scan and "GreaterThanOrEqual(start_time" in scan for scan in scans(text)) == 2
+    assert made.events().count() == 49
+
+
+def test_keys_are_looked_up_in_their_folders(spark):
+    made = Tables(spark, scratch_dir(spark, "tables"), 24, 8)
+    made.upsert_events(rows.events(spark, *[{} for _ in range(40)]))
+    text = plan(made.homes(rows.events(spark, {})))
+    assert re.search(r"keys/settled[\s\S]*PartitionFilters: \[.*bucket.*dynamicpruning", text), text
+
+
 def test_attribution_scans_both_periods_once(tables):
     flt = EventFilter(TimeRange(NOW - timedelta(hours=6), NOW))
     text = plan(reads.attribution_totals(tables.events(), tables.connections(), flt))
