@@ -8,9 +8,9 @@ byte follows, its end included.
 
 How it runs: texts are cut into blocks of about ``BLOCK`` bytes. From a block only its different strings of ``DEPTH`` + 1
 bytes and words go on, with their training counts. Counts are summed over all blocks; every string then gets the logarithm of its
-last byte's probability, worked out among the strings that share its last two context bytes, with the upper part of the
-trees (at most 65,536 rows, of contexts of one byte) added after. The logarithms go back to the blocks that asked for
-them, so that a task reads a block's own small dictionary and then its texts, and no model is ever held whole anywhere.
+last byte's probability, worked out among the strings that share its last three context bytes, with the upper part of the
+trees added after. The logarithms go back to the blocks that asked for them; a block and its own dictionary are one group,
+and no model is ever held whole anywhere.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from runledger.llm.common import staged, table
 
 DEPTH = 5
-BLOCK = 32 << 20
+# Strings are grouped by so many context bytes.
+SHARED = 3
+BLOCK = 8 << 20
 SLICE = 4 << 20
 END = b"\xff"  # no byte of UTF-8: the end of a text, and what is before it
 _END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
@@ -163,14 +166,14 @@ def places(symbol: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def subtree(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-    """For strings that share their last two context bytes: the mixture of depths from two on for each of the eight bits of
-    the last byte (nan where the training had nothing), and (decision, weighted probability, zeros, ones) at depth two."""
+    """For strings that share their last ``SHARED`` context bytes: the mixture of depths from there on for each of the eight
+    bits of the last byte (nan where the training had nothing), and (decision, weighted probability, zeros, ones) there."""
     symbol, context = (key & 255).astype(np.int64), key >> 8
     mixed, tops = np.full((len(key), 8), np.nan), []
     for level in range(8):
         place, bit = places(symbol, level)
         nodes = []
-        for depth in range(2, DEPTH + 1):
+        for depth in range(SHARED, DEPTH + 1):
             own = (context & ((1 << 8 * depth) - 1)) << 8 | place
             _, first, of = np.unique(own, return_index=True, return_inverse=True)
             nodes.append((first, of, np.bincount(of, n * (1 - bit)), np.bincount(of, n * bit)))
@@ -188,29 +191,43 @@ def subtree(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[tuple[np.n
     return mixed, tops
 
 
-_SUBTREES = "kind int, key long, mixed binary, place int, total double, a double, b double"
+_NODES = "context int, place int, total double, a double, b double"
+_PARENTS = "kind int, context int, place int, total double, a double, b double"
+
+
+def _columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [rows[name].to_numpy() for name in names]
 
 
 def log_probabilities(counts: DataFrame) -> DataFrame:
-    """(key, value): base-10 logarithm of the probability of a string's last byte after the others, from (key, n)."""
-    def grow(_: tuple, rows: pa.Table) -> pa.Table:
-        key, n = rows["key"].to_numpy(), rows["n"].to_numpy().astype(np.float64)
-        mixed, tops = subtree(key, n)
-        last = int(key[0] >> 8) & 255
-        columns: dict[str, list] = {"kind": [], "key": [], "mixed": [], "place": [], "total": [], "a": [], "b": []}
-        top = [np.concatenate(x) for x in zip(*tops, strict=True)]
-        m, k = len(key), len(top[0])
-        columns["kind"] = pa.array(np.r_[np.zeros(m, np.int32), np.ones(k, np.int32)])
-        columns["key"] = pa.array(np.r_[key, np.full(k, last)])
-        raw = mixed.astype("<f8").tobytes()
-        columns["mixed"] = pa.array([raw[64 * i : 64 * i + 64] for i in range(m)] + [None] * k, pa.binary())
-        for name, values in zip(("place", "total", "a", "b"), top, strict=True):
-            columns[name] = pa.concat_arrays([pa.nulls(m, pa.int32() if name == "place" else pa.float64()), pa.array(values.astype(np.int32) if name == "place" else values.astype(np.float64))])
-        return pa.table(columns)
-
-    group = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    grown = staged(counts.withColumn("group", group).groupBy("group").applyInArrow(grow, _SUBTREES), "kind", compression="zstd")
-    tops = grown.where("kind = 1").groupBy(F.col("key").alias("last"), "place").agg(*[F.sum(c).alias(c) for c in ("total", "a", "b")])
+    """(key, value): base-10 logarithm of the probability of a string's last byte after the others, from (key, n).
+
+    First every group of strings that share three context bytes tells its nodes at that depth. The nodes that share two,
+    at most 256 by 255, give their parents, which are sent back, one for each node; those of one byte and of none are at
+    most 65,536 and go to every task. The groups then work out their strings' values, from the deepest node up.
+    """
+    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SHARED) - 1)).cast("int")
+    strings = counts.select(context.alias("context"), "key", "n")
+
+    def shared_nodes(rows: pa.Table) -> pa.Table:
+        key, n = _columns(rows, "key", "n")
+        _, tops = subtree(key, n.astype(np.float64))
+        place, total, a, b = (np.concatenate(x) for x in zip(*tops, strict=True))
+        return pa.table({"context": np.full(len(place), rows["context"][0].as_py(), np.int32), "place": place.astype(np.int32), "total": total, "a": a, "b": b})
+
+    def parents(rows: pa.Table) -> pa.Table:
+        context, place, total, a, b = _columns(rows, "context", "place", "total", "a", "b")
+        below, zeros, ones = (np.bincount(place, x, 256) for x in (total, a, b))
+        up, weight = weighted(log_estimate(zeros, ones), below)
+        here = np.flatnonzero(np.bincount(place, minlength=256))
+        sent = {"kind": np.zeros(len(context), np.int32), "context": context, "place": place, "total": weight[place], "a": zeros[place], "b": ones[place]}
+        kept = {"kind": np.ones(len(here), np.int32), "context": np.full(len(here), context[0] & 255, np.int32), "place": here.astype(np.int32), "total": up[here], "a": zeros[here], "b": ones[here]}
+        return pa.table({name: np.concatenate([sent[name], kept[name]]) for name in sent})
+
+    nodes = staged(strings.groupBy("context").applyInArrow(shared_nodes, _NODES))
+    two = F.col("context").bitwiseAND(F.lit(0xFFFF))
+    above = staged(nodes.groupBy(two.alias("two")).applyInArrow(parents, _PARENTS), "kind")
+    tops = above.where("kind = 1").groupBy(F.col("context").alias("last"), "place").agg(*[F.sum(c).alias(c) for c in ("total", "a", "b")])
     # At most 256 last bytes by 255 decisions.
     one = tops.collect()
     estimate, weight, seen = np.full((2, 256, 256), 0.5), np.ones((2, 256, 256)), np.zeros((2, 256, 256), bool)
@@ -223,21 +240,26 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
         _, w = weighted(log_estimate(zeros, ones), below)
         estimate[0, 0], weight[0, 0] = (ones + 0.5) / (zeros + ones + 1), w
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch["key"].to_numpy()
-            mixed = np.frombuffer(b"".join(batch["mixed"].to_pylist()), "<f8").reshape(-1, 8)
-            last, symbol, value = (key >> 8) & 255, key & 255, np.zeros(len(key))
-            for level in range(8):
-                place, bit = places(symbol, level)
-                two, w, e = mixed[:, level], weight[1, last, place], estimate[1, last, place]
-                p = np.where(np.isnan(two), e, w * e + (1 - w) * two)
-                w, e = weight[0, 0, place], estimate[0, 0, place]
-                p = np.where(seen[1, last, place], w * e + (1 - w) * p, e)
-                value += np.log10(np.where(bit == 1, p, 1 - p))
-            yield pa.record_batch({"key": batch["key"], "value": pa.array(value)})
-
-    return staged(grown.where("kind = 0").select("key", "mixed").mapInArrow(finish, "key long, value double"))
+    def finish(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        key, n = _columns(rows, "key", "n")
+        mixed, _ = subtree(key, n.astype(np.float64))
+        at, w2, a, b = _columns(sent, "place", "total", "a", "b")
+        of_two = np.zeros((3, 256))
+        of_two[:, at] = w2, (b + 0.5) / (a + b + 1), a + b > 0
+        last, symbol, value = (key >> 8) & 255, key & 255, np.zeros(len(key))
+        for level in range(8):
+            place, bit = places(symbol, level)
+            w, e, trained = of_two[:, place]
+            p = np.where(np.isnan(mixed[:, level]), e, w * e + (1 - w) * mixed[:, level])
+            w, e = weight[1, last, place], estimate[1, last, place]
+            p = np.where(trained > 0, w * e + (1 - w) * p, e)
+            w, e = weight[0, 0, place], estimate[0, 0, place]
+            p = np.where(seen[1, last, place], w * e + (1 - w) * p, e)
+            value += np.log10(np.where(bit == 1, p, 1 - p))
+        return pa.table({"key": rows["key"], "value": value})
+
+    back = above.where("kind = 0").drop("kind")
+    return staged(strings.groupBy("context").cogroup(back.groupBy("context")).applyInArrow(finish, "key long, value double"))
 
 
 _SCORES = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base_sum double, score double"
@@ -260,53 +282,42 @@ def scores(docs: DataFrame) -> DataFrame:
     values = log_probabilities(totals[GRAM])
     empty = {"row": "long", "doc_id": "long", "held_out": "boolean", "text": "binary"}
     blanks = [F.lit(None).cast(kind).alias(name) for name, kind in empty.items()]
-    told = asked[GRAM].join(values, "key").select("block", F.lit(GRAM).alias("kind"), "key", "value", *blanks)
-    counted = asked[WORD].select("block", "key").join(totals[WORD], "key").select("block", F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"), *blanks)
-    texts = rows.where(F.col("kind") == DOC).select("block", F.lit(DOC).alias("kind"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), *empty)
-    joined = told.unionByName(counted).unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, ready = None, {GRAM: [], WORD: []}, {}
-        for batch in batches:
-            blocks, kinds = batch["block"].to_numpy(), batch["kind"].to_numpy()
-            edges = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for begin, stop in zip([0, *edges], [*edges, len(batch)], strict=True):
-                if begin == stop:
-                    continue
-                part, kind = batch.slice(begin, stop - begin), int(kinds[begin])
-                if blocks[begin] != block:
-                    block, parts, ready = blocks[begin], {GRAM: [], WORD: []}, {}
-                if kind != DOC:
-                    parts[kind].append((part["key"].to_numpy(zero_copy_only=False).view(np.uint64), part["value"].to_numpy(zero_copy_only=False)))
-                    continue
-                if not ready:
-                    for k in (GRAM, WORD):
-                        keys, values = (np.concatenate(x) for x in zip(*parts[k], strict=True))
-                        order = np.argsort(keys)
-                        ready[k] = keys[order], values[order]
-                    parts = {GRAM: [], WORD: []}
-                for at in range(0, len(part), 1024):
-                    some = part.slice(at, 1024)
-                    texts = some["text"].to_pylist()
-                    out = np.zeros((len(texts), 4))
-                    for owner, before, own in pieces(texts):
-                        keys, values = ready[GRAM]
-                        logs = values[np.searchsorted(keys, grams(before, own))]
-                        sizes = np.array([len(x) for x in own])
-                        np.add.at(out[:, 0], owner, np.add.reduceat(np.r_[logs, 0.0], np.cumsum([0, *sizes[:-1]])) * (sizes > 0))
-                        keys, values = ready[WORD]
-                        hashes, sizes = words(own)
-                        counts = values[np.searchsorted(keys, hashes)]
-                        starts = np.cumsum([0, *sizes[:-1]])
-                        for column, x in ((1, np.log10(counts + 1)), (2, (counts > 0).astype(float))):
-                            np.add.at(out[:, column], owner, np.add.reduceat(np.r_[x, 0.0], starts) * (sizes > 0))
-                        np.add.at(out[:, 3], owner, sizes)
-                    yield pa.RecordBatch.from_arrays(
-                        [some["row"], some["doc_id"], some["held_out"], pa.array(list(map(len, texts)), pa.int64()), pa.array(out[:, 3].astype(np.int64)), pa.array(out[:, 2].astype(np.int64)), pa.array(out[:, 1]), pa.array(out[:, 0])],
-                        [c.split()[0] for c in _SCORES.split(", ")],
-                    )
-
-    scored = joined.mapInArrow(score, _SCORES)
+    told = asked[GRAM].join(values, "key").select("block", F.lit(GRAM).alias("kind"), "key", "value")
+    counted = asked[WORD].select("block", "key").join(totals[WORD], "key").select("block", F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"))
+    texts = rows.where(F.col("kind") == DOC).select(F.col("block").alias("of_block"), "row", "doc_id", "held_out", "text")
+
+    def score(answers: pa.Table, asking: pa.Table) -> pa.Table:
+        ready = {}
+        for k in (GRAM, WORD):
+            of = answers.filter(pc.equal(answers["kind"], k))
+            keys, values = of["key"].to_numpy().view(np.uint64), of["value"].to_numpy()
+            order = np.argsort(keys)
+            ready[k] = keys[order], values[order]
+        out = np.zeros((len(asking), 4))
+        lengths = np.zeros(len(asking), np.int64)
+        for at in range(0, len(asking), 1024):
+            texts = asking["text"].slice(at, 1024).to_pylist()
+            sums = out[at : at + 1024]
+            lengths[at : at + 1024] = list(map(len, texts))
+            for owner, before, own in pieces(texts):
+                keys, values = ready[GRAM]
+                logs = values[np.searchsorted(keys, grams(before, own))]
+                sizes = np.array([len(x) for x in own])
+                np.add.at(sums[:, 0], owner, np.add.reduceat(np.r_[logs, 0.0], np.cumsum([0, *sizes[:-1]])) * (sizes > 0))
+                keys, values = ready[WORD]
+                hashes, sizes = words(own)
+                counts = values[np.searchsorted(keys, hashes)]
+                starts = np.cumsum([0, *sizes[:-1]])
+                for column, x in ((1, np.log10(counts + 1)), (2, (counts > 0).astype(float))):
+                    np.add.at(sums[:, column], owner, np.add.reduceat(np.r_[x, 0.0], starts) * (sizes > 0))
+                np.add.at(sums[:, 3], owner, sizes)
+        return pa.table({
+            "row": asking["row"], "doc_id": asking["doc_id"], "held_out": asking["held_out"], "n_bytes": lengths,
+            "n_tokens": out[:, 3].astype(np.int64), "n_known": out[:, 2].astype(np.int64), "base_sum": out[:, 1], "score": out[:, 0],
+        })
+
+    answers = told.unionByName(counted)
+    scored = answers.groupBy("block").cogroup(texts.groupBy("of_block")).applyInArrow(score, _SCORES)
     base = F.col("base_sum") - F.col("n_tokens") * F.log10(F.lit(float(tokens + vocabulary + 1)))
     bits = -F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)
     return scored.select("row", "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
