@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = BEST, block: i
 
     def search(rows: pa.Table) -> pa.Table:
         asked = rows.filter(rows["is_query"])
-        held = rows.filter(pa.compute.invert(rows["is_query"])).sort_by([("vec_id", "ascending"), ("row", "ascending")])
+        held = rows.filter(pc.invert(rows["is_query"])).sort_by([("vec_id", "ascending"), ("row", "ascending")])
         n = len(held)
         number, vec_id = held["row"].to_numpy(), held["vec_id"].combine_chunks()
         terms, sizes = _flat(held["terms"])

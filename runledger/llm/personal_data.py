@@ -88,7 +88,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             last = match.end()
         at = text.find("@", max(at + 1, last))
     for m in _IP.finditer(text):
-        if all(len(p) < 64 and int(p) <= 255 for p in m[0].split(".")):
+        # Leading zeros are no part of a value, however many there are.
+        parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             found.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -134,17 +136,16 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     more += [("card", *m.span()) for m in _GROUPED.finditer(text)]
     more += [("phone", *m.span()) for m in _NATIONAL.finditer(text)]
     if more:
-        taken = sorted((s[1], s[2]) for s in base)
-        for span in more:
-            if span[0] == "secret":
-                inside = {i for _, a, b in base for i in range(max(a, span[1]), min(b, span[2]))}
-                if inside and span[2] - span[1] - len(inside) >= _LEAST_SECRET:
-                    taken.append(span[1:])
-                    out.append((*span, False))
-                    continue
-            if not any(a < span[2] and span[1] < b for a, b in taken):
-                taken.append(span[1:])
-                out.append((*span, False))
+        # A mark for each code point that a span has, so that a span is held against the others in the time to read it.
+        taken = bytearray(len(text))
+        for _, a, b in base:
+            taken[a:b] = b"\1" * (b - a)
+        in_base = bytes(taken)
+        for kind, a, b in more:
+            inside = in_base.count(1, a, b) if kind == "secret" else 0
+            if (inside and b - a - inside >= _LEAST_SECRET) or taken.find(1, a, b) < 0:
+                taken[a:b] = b"\1" * (b - a)
+                out.append((kind, a, b, False))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
