@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from runledger.llm.common import staged, table
 
 DEPTH = 5
-# Strings are grouped by so many context bytes.
+# Strings with so many context bytes in common are in one group, with as many others as make about ``GROUP`` strings.
 SHARED = 3
-BLOCK = 8 << 20
+GROUP = 1 << 16
+BLOCK = 24 << 20
 SLICE = 4 << 20
 END = b"\xff"  # no byte of UTF-8: the end of a text, and what is before it
 _END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
@@ -166,8 +167,8 @@ def places(symbol: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def subtree(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-    """For strings that share their last ``SHARED`` context bytes: the mixture of depths from there on for each of the eight
-    bits of the last byte (nan where the training had nothing), and (decision, weighted probability, zeros, ones) there."""
+    """For all strings of some contexts of ``SHARED`` bytes: the mixture of depths from there on for each of the eight bits of
+    the last byte (nan where the training had nothing), and (context, decision, weighted probability, zeros, ones) there."""
     symbol, context = (key & 255).astype(np.int64), key >> 8
     mixed, tops = np.full((len(key), 8), np.nan), []
     for level in range(8):
@@ -187,7 +188,7 @@ def subtree(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[tuple[np.n
             here, seen = np.where(seen, weight * estimate + (1 - weight) * here, estimate), (up_a + up_b > 0)[up_of]
             first, a, b = up_first, up_a, up_b
         mixed[:, level] = np.where(seen, here, np.nan)
-        tops.append((place[first], total, a, b))
+        tops.append((context[first] & ((1 << 8 * SHARED) - 1), place[first], total, a, b))
     return mixed, tops
 
 
@@ -202,18 +203,20 @@ def _columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
 def log_probabilities(counts: DataFrame) -> DataFrame:
     """(key, value): base-10 logarithm of the probability of a string's last byte after the others, from (key, n).
 
-    First every group of strings that share three context bytes tells its nodes at that depth. The nodes that share two,
+    First every group, which holds all strings of some contexts of three bytes, tells its nodes at that depth. The nodes that share two,
     at most 256 by 255, give their parents, which are sent back, one for each node; those of one byte and of none are at
     most 65,536 and go to every task. The groups then work out their strings' values, from the deepest node up.
     """
+    groups = -(-max(1, counts.count()) // GROUP)
     context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SHARED) - 1)).cast("int")
-    strings = counts.select(context.alias("context"), "key", "n")
+    group = F.pmod(F.xxhash64("context"), F.lit(groups)).cast("int")
+    strings = counts.select(context.alias("context"), "key", "n").select(group.alias("group"), "key", "n")
 
     def shared_nodes(rows: pa.Table) -> pa.Table:
         key, n = _columns(rows, "key", "n")
         _, tops = subtree(key, n.astype(np.float64))
-        place, total, a, b = (np.concatenate(x) for x in zip(*tops, strict=True))
-        return pa.table({"context": np.full(len(place), rows["context"][0].as_py(), np.int32), "place": place.astype(np.int32), "total": total, "a": a, "b": b})
+        context, place, total, a, b = (np.concatenate(x) for x in zip(*tops, strict=True))
+        return pa.table({"context": context.astype(np.int32), "place": place.astype(np.int32), "total": total, "a": a, "b": b})
 
     def parents(rows: pa.Table) -> pa.Table:
         context, place, total, a, b = _columns(rows, "context", "place", "total", "a", "b")
@@ -224,7 +227,7 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
         kept = {"kind": np.ones(len(here), np.int32), "context": np.full(len(here), context[0] & 255, np.int32), "place": here.astype(np.int32), "total": up[here], "a": zeros[here], "b": ones[here]}
         return pa.table({name: np.concatenate([sent[name], kept[name]]) for name in sent})
 
-    nodes = staged(strings.groupBy("context").applyInArrow(shared_nodes, _NODES))
+    nodes = staged(strings.groupBy("group").applyInArrow(shared_nodes, _NODES))
     two = F.col("context").bitwiseAND(F.lit(0xFFFF))
     above = staged(nodes.groupBy(two.alias("two")).applyInArrow(parents, _PARENTS), "kind")
     tops = above.where("kind = 1").groupBy(F.col("context").alias("last"), "place").agg(*[F.sum(c).alias(c) for c in ("total", "a", "b")])
@@ -243,13 +246,15 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
     def finish(rows: pa.Table, sent: pa.Table) -> pa.Table:
         key, n = _columns(rows, "key", "n")
         mixed, _ = subtree(key, n.astype(np.float64))
-        at, w2, a, b = _columns(sent, "place", "total", "a", "b")
-        of_two = np.zeros((3, 256))
-        of_two[:, at] = w2, (b + 0.5) / (a + b + 1), a + b > 0
+        contexts, at, w2, a, b = _columns(sent, "context", "place", "total", "a", "b")
+        known = np.unique(contexts)
+        of_two = np.zeros((3, len(known), 256))
+        of_two[:, np.searchsorted(known, contexts), at] = w2, (b + 0.5) / (a + b + 1), a + b > 0
+        own = np.searchsorted(known, (key >> 8) & ((1 << 8 * SHARED) - 1))
         last, symbol, value = (key >> 8) & 255, key & 255, np.zeros(len(key))
         for level in range(8):
             place, bit = places(symbol, level)
-            w, e, trained = of_two[:, place]
+            w, e, trained = of_two[:, own, place]
             p = np.where(np.isnan(mixed[:, level]), e, w * e + (1 - w) * mixed[:, level])
             w, e = weight[1, last, place], estimate[1, last, place]
             p = np.where(trained > 0, w * e + (1 - w) * p, e)
@@ -258,8 +263,8 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
             value += np.log10(np.where(bit == 1, p, 1 - p))
         return pa.table({"key": rows["key"], "value": value})
 
-    back = above.where("kind = 0").drop("kind")
-    return staged(strings.groupBy("context").cogroup(back.groupBy("context")).applyInArrow(finish, "key long, value double"))
+    back = above.where("kind = 0").drop("kind").withColumn("group", group)
+    return staged(strings.groupBy("group").cogroup(back.groupBy("group")).applyInArrow(finish, "key long, value double"))
 
 
 _SCORES = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base_sum double, score double"

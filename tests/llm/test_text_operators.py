@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from runledger.llm import context_trees, page_text, personal_data, quality_classifier, quality_rules
 from runledger.llm.registry import oracle_sql
@@ -156,6 +157,18 @@ def test_scores_equal_a_plain_tree(spark):
     assert context_trees.scores(docs.limit(0)).count() == 0
 
 
+def test_groups_and_blocks_of_any_size_give_the_same(spark, monkeypatch):
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    texts = texts.withColumn("text", F.substring("text", 1, 400))
+    found = []
+    for group, block in ((1, 1000), (1 << 16, 24 << 20)):
+        monkeypatch.setattr(context_trees, "GROUP", group * 500)
+        monkeypatch.setattr(context_trees, "BLOCK", block)
+        found.append({r.doc_id: (r.score, r.base_score) for r in context_trees.scores(texts).collect()})
+    assert found[0].keys() == found[1].keys()
+    assert all(found[0][k] == pytest.approx(found[1][k], abs=1e-6) for k in found[0])
+
+
 def test_pieces_of_long_texts_are_whole(monkeypatch):
     monkeypatch.setattr(context_trees, "SLICE", 10)
     texts = [b"", b"abcdefghijklmnop qrst uv wx yz 0123456789 a", b"short", b"x" * 50 + b" y"]
