@@ -372,17 +372,17 @@ def event_costs(spark, d):
 
 @query
 def latency_segments(spark, d):
-    return charts.latency_segments(_read(reads.latency_buckets)(spark, d))
+    return charts.latency_segments(_read(reads.latency_buckets, MONTH, False)(spark, d))
 
 
 @query
 def chart_digest(spark, d):
-    return charts.chart_digest(_read(reads.latency_buckets)(spark, d))
+    return charts.chart_digest(_read(reads.latency_buckets, MONTH, False)(spark, d))
 
 
 @query
 def chart_digest_cost(spark, d):
-    return charts.chart_digest(_read(reads.cost_buckets)(spark, d).withColumn("failure_count", F.lit(0)), "cost")
+    return charts.chart_digest(_read(reads.cost_buckets, MONTH, False)(spark, d).withColumn("failure_count", F.lit(0)), "cost")
 
 
 def _shaped(operator):
@@ -598,5 +598,5 @@ _of_one(
         "connection_id", "query_id", "query_text"
     ),
 )
-_of_one("latency_segments", lambda spark, d: charts.latency_segments(_read_one(reads.latency_buckets)(spark, d)))
-_of_one("chart_digest", lambda spark, d: charts.chart_digest(_read_one(reads.latency_buckets)(spark, d)))
+_of_one("latency_segments", lambda spark, d: charts.latency_segments(_read_one(reads.latency_buckets, MONTH, False)(spark, d)))
+_of_one("chart_digest", lambda spark, d: charts.chart_digest(_read_one(reads.latency_buckets, MONTH, False)(spark, d)))

@@ -9,6 +9,8 @@ rather than the expression, or every use normalizes the text again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,42 +105,59 @@ def fingerprint_of(text: Column) -> Column:
 _STAR = r"(?:\bselect(?: all| distinct(?: on ?\([^()]*+\))?)?|,|\.|\bcolumns ?\() ?\*"
 _CLAUSES = r"where|group by|having|order by|limit|offset|union|intersect|except|window|qualify|select"
 _COMMA_JOIN = rf"\bcross join\b|\bfrom\b(?:(?!\b(?:{_CLAUSES})\b)[^,])*+,"
-_INNERMOST = r"\(([^()]*+)\)"
+_PARTS = r"[()]|[^()]++"
+_OPENED = "\x01"
+_PLACEHOLDER = r"^[_; ]*+$"
 _SET_OPERATION = r"\b(?:union|intersect|except)\b"
 _BOUND = r"\blimit\b|\boffset\b|\bfetch (?:first|next)\b"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used: a lambda variable of a one-element array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running_sums(steps: Column) -> Column:
+    """Sums of an array up to and with each place, by doubling the reach: as many rounds as the size has bits."""
+    powers = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    reaches = F.filter(powers, lambda reach: reach < F.size(steps))
+
+    def double(sums: Column, reach: Column) -> Column:
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - reach), F.lit(0)))
+
+    return F.aggregate(reaches, steps, double)
+
+
 def _by_level(normalized: Column) -> Column:
-    """Peels parentheses from the inside out, to whatever depth there is.
+    """Takes parentheses apart, to whatever depth there is, in time that grows with n log n.
 
-    Yields a struct: ``text``, the outermost level with every parenthesis as ``_``; ``inner``, the level peeled last
-    that is more than a placeholder; ``crossed``, whether any peeled level joins without a condition.
+    Every part of the text has the depth it stands at, and sorting the parts by depth brings those of a level together.
+    Yields a struct: ``text``, the outermost level with every parenthesis as ``_``; ``inner``, the outermost of the other
+    levels that is more than a placeholder; ``crossed``, whether any other level joins without a condition.
     """
     unquoted = F.regexp_replace(normalized, _QUOTED, "q")
-    start = F.struct(unquoted.alias("text"), F.lit("").alias("inner"), F.lit(False).alias("crossed"))
-
-    def peel(state: Column, _: Column) -> Column:
-        text = state["text"]
-        levels = F.regexp_extract_all(text, F.lit(_INNERMOST), F.lit(1))
-        telling = F.filter(levels, lambda level: ~level.rlike(r"^[_; ]*+$"))
-        peeled = F.struct(
-            F.regexp_replace(text, _INNERMOST, "_").alias("text"),
-            F.coalesce(F.try_element_at(telling, F.lit(-1)), state["inner"]).alias("inner"),
-            (state["crossed"] | F.exists(levels, lambda level: level.rlike(_COMMA_JOIN))).alias("crossed"),
-        )
-        return F.when(F.contains(text, F.lit("(")), peeled).otherwise(state)
+    parts = F.regexp_extract_all(unquoted, F.lit(_PARTS), F.lit(0))
+
+    def placed(parts: Column) -> Column:
+        steps = F.transform(parts, lambda part: F.when(part == "(", 1).when(part == ")", -1).otherwise(0))
 
-    # As many rounds as the parentheses are deep, not as there are.
-    deep = F.regexp_replace(unquoted, r"[^()]++", "")
-    marks = F.filter(F.split(deep, ""), lambda mark: mark != "")
+        def marked(depths: Column) -> Column:
+            mark = lambda part: F.when(part == "(", _OPENED).when(part == ")", "_").otherwise(part)
+            return F.transform(parts, lambda part, i: F.struct(F.get(depths, i).alias("d"), i.alias("i"), mark(part).alias("t")))
 
-    def walk(state: Column, mark: Column) -> Column:
-        now = F.greatest(F.lit(0), state["now"] + F.when(mark == "(", 1).otherwise(-1))
-        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+        return F.array_sort(_once(_running_sums(steps), marked))
+
+    def leveled(items: Column) -> Column:
+        outer = F.array_join(F.filter(items, lambda item: item["d"] <= 0)["t"], "")
+        nested = F.split(F.array_join(F.filter(items, lambda item: item["d"] > 0)["t"], ""), _OPENED)
+        telling = F.filter(nested, lambda level: ~level.rlike(_PLACEHOLDER))
+        return F.struct(
+            outer.alias("text"),
+            F.coalesce(F.get(telling, F.lit(0)), F.lit("")).alias("inner"),
+            F.exists(telling, lambda level: level.rlike(_COMMA_JOIN)).alias("crossed"),
+        )
 
-    depth = F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), walk)["most"]
-    rounds = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rounds, start, peel)
+    return _once(_once(parts, placed), leveled)
 
 
 def _collect(tests: list[tuple[str, Column]]) -> Column:
@@ -155,7 +174,7 @@ def flags(normalized: Column) -> Column:
     star, cross, no_filter, unbounded = STATEMENT_FLAGS
 
     def judge(level: Column) -> Column:
-        whole = level["text"].rlike(r"^[_; ]*+$")
+        whole = level["text"].rlike(_PLACEHOLDER)
         own = F.when(whole, level["inner"]).otherwise(level["text"])
         own = F.regexp_replace(own, r"\bis (?:not )?distinct from\b", "is")
         single = ~own.rlike(_SET_OPERATION)
@@ -170,8 +189,7 @@ def flags(normalized: Column) -> Column:
             ]
         )
 
-    # transform over a one-element array evaluates the peeling once and hands it to every test
-    query_flags = F.element_at(F.transform(F.array(_by_level(normalized)), judge), 1)
+    query_flags = _once(_by_level(normalized), judge)
     text_flags = _collect(
         [
             (star, F.contains(normalized, F.lit("select *"))),

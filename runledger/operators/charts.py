@@ -24,7 +24,6 @@ def latency_segments(buckets: DataFrame) -> DataFrame:
             F.max("p95_ms").alias("max_p95_ms"),
         )
         .drop("_island")
-        .orderBy("connection_id", "segment_start")
     )
 
 
@@ -45,5 +44,4 @@ def chart_digest(buckets: DataFrame, measure: str = "count") -> DataFrame:
             F.sum("failure_count").alias("failures"),
             F.count_if(F.col("query_count") > 0).alias("populated_buckets"),
         )
-        .orderBy("connection_id")
     )

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from runledger.functions import pricing
 from runledger.functions.statements import cut, is_cut
 from runledger.functions.timebins import bin_start, bucket_grid
-from runledger.operators.quantiles import summarize
-from runledger.plans.params import SORT_COLUMNS, EventFilter, ListOptions, SORT_COLUMNS
+from runledger.operators.quantiles import summarize, used_whole
+from runledger.plans.params import SORT_COLUMNS, EventFilter, ListOptions
 
 ATTRIBUTION_KEYS = ("user_name", "instance_type")
 CHANGE_FLOOR_USD = 0.01
@@ -83,8 +83,8 @@ def summary_by_instance_type(events: DataFrame, connections: DataFrame, flt: Eve
     ).orderBy("connection_id", F.desc("query_count"), "instance_type")
 
 
-def latency_buckets(events: DataFrame, connections: DataFrame, flt: EventFilter) -> DataFrame:
-    """Counts, percentiles and cost per time bucket, empty buckets included.
+def latency_buckets(events: DataFrame, connections: DataFrame, flt: EventFilter, ordered: bool = True) -> DataFrame:
+    """Counts, percentiles and cost per time bucket, empty buckets included. What aggregates them needs no order.
 
     The reference semantics are a range join from the grid; since an event in the range falls in exactly one bucket,
     grouping by the computed bucket and joining on equality gives the same rows without one.
@@ -98,7 +98,7 @@ def latency_buckets(events: DataFrame, connections: DataFrame, flt: EventFilter)
         {**_counts(), **pricing.billable_sums()},
         few_groups=_one_connection(flt),
     )
-    return (
+    buckets = (
         bucket_grid(tiers(connections, flt), flt.range)
         .join(figures, ["connection_id", "bucket_start"], "left")
         .select(
@@ -109,18 +109,18 @@ def latency_buckets(events: DataFrame, connections: DataFrame, flt: EventFilter)
             *_PERCENTILES,
             pricing.billable_cost().alias("estimated_cost_usd"),
         )
-        .orderBy("connection_id", "bucket_start")
     )
+    return buckets.orderBy("connection_id", "bucket_start") if ordered else buckets
 
 
-def cost_buckets(events: DataFrame, connections: DataFrame, flt: EventFilter) -> DataFrame:
+def cost_buckets(events: DataFrame, connections: DataFrame, flt: EventFilter, ordered: bool = True) -> DataFrame:
     """Cost per time bucket over the full grid; an empty bucket costs nothing."""
     groups = (
         select_events(events, flt)
         .groupBy("connection_id", bin_start(F.col("start_time"), flt.range).alias("bucket_start"))
         .agg(F.count(F.lit(1)).alias("query_count"), *_aliased(pricing.billable_sums()))
     )
-    return (
+    buckets = (
         bucket_grid(tiers(connections, flt), flt.range)
         .join(groups, ["connection_id", "bucket_start"], "left")
         .select(
@@ -129,8 +129,8 @@ def cost_buckets(events: DataFrame, connections: DataFrame, flt: EventFilter) ->
             F.coalesce("query_count", F.lit(0)).alias("query_count"),
             pricing.billable_cost().alias("estimated_cost_usd"),
         )
-        .orderBy("connection_id", "bucket_start")
     )
+    return buckets.orderBy("connection_id", "bucket_start") if ordered else buckets
 
 
 def _spenders(events: DataFrame, connections: DataFrame, flt: EventFilter, key: str) -> DataFrame:
@@ -166,13 +166,12 @@ def with_share(rows: DataFrame, flt: EventFilter) -> DataFrame:
     The total comes from a partial aggregate and an equality join, so no connection's rows need to meet in one task. Of
     one connection it is one row and broadcast.
     """
-    # The hash makes the total depend on every column, so that both uses of ``rows`` prune alike and share one shuffle.
-    total = rows.groupBy("connection_id").agg(
-        F.sum("estimated_cost_usd").alias("_total"), F.max(F.hash(*rows.columns)).alias("_all")
-    )
-    share = F.expr("case when _total > 0 and _all is not null then estimated_cost_usd / _total else 0D end")
-    joined = rows.join(F.broadcast(total) if _one_connection(flt) else total, "connection_id")
-    return joined.withColumn("cost_share", share).drop("_total", "_all")
+    # Both uses of ``rows`` keep all columns, whatever the caller drops, and share one shuffle.
+    whole = rows.where(used_whole(rows))
+    total = whole.groupBy(F.col("connection_id").alias("_owner")).agg(F.sum("estimated_cost_usd").alias("_total"))
+    share = F.expr("case when _total > 0 then estimated_cost_usd / _total else 0D end")
+    joined = whole.join(F.broadcast(total) if _one_connection(flt) else total, F.expr("connection_id <=> _owner"))
+    return joined.withColumn("cost_share", share).drop("_total", "_owner")
 
 
 def attribution(events: DataFrame, connections: DataFrame, flt: EventFilter, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.functions import pricing
@@ -135,22 +135,18 @@ def shape_statements(shapes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def new_shapes(events: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """A row for every shape of ``events`` that ``existing`` lacks, from its earliest event.
+    """A row for every shape of ``events`` that ``existing`` lacks, from its earliest event; of a run that was read more
+    than once with several texts, the smallest.
 
-    The earliest event is found without statement texts, as a partial aggregate, so a shape that makes up most of the
-    history sends one narrow row per task. Texts are fetched for the shapes that the table lacks.
+    The events are read, and their texts normalized, once. Map tasks keep one row a shape before the shuffle, so a shape
+    that makes up most of the history sends one row per task.
     """
     rows = fingerprinted(events).select(*SHAPE_KEY, "start_time", "query_id", "query_text")
-    first = rows.groupBy(*SHAPE_KEY).agg(F.min(F.struct("start_time", "query_id")).alias("first"))
+    earliest = Window.partitionBy(*SHAPE_KEY).orderBy("start_time", "query_id", "query_text")
+    first = rows.withColumn("_place", F.row_number().over(earliest)).where("_place = 1")
     if existing is not None:
         first = first.join(existing.select(*SHAPE_KEY), SHAPE_KEY, "left_anti")
-    first = first.select(*SHAPE_KEY, "first.start_time", "first.query_id")
-    # A run that was read more than once may have several texts.
-    examples = (
-        rows.join(first, [*SHAPE_KEY, "start_time", "query_id"], "left_semi")
-        .groupBy(*SHAPE_KEY)
-        .agg(F.min("start_time").alias("first_seen"), F.min("query_text").alias("example_sql"))
-    )
+    examples = first.select(*SHAPE_KEY, F.col("start_time").alias("first_seen"), F.col("query_text").alias("example_sql"))
     return with_normalized(examples, "example_sql").select(
         *SHAPE_KEY,
         "normalized_sql",

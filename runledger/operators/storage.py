@@ -38,27 +38,27 @@ def total_bytes() -> Column:
     return F.least(wide, F.lit(_MAX_LONG).cast("decimal(20,0)")).cast("long")
 
 
-def storage_by_database(samples: DataFrame, connections: DataFrame) -> DataFrame:
-    """Newest sample of each database with its size and monthly cost, largest first."""
+def _sized(samples: DataFrame, connections: DataFrame) -> DataFrame:
     sized = latest_samples(samples).withColumn("total_bytes", total_bytes())
-    return (
-        sized.join(tiers(connections), "connection_id")
-        .select(
-            "connection_id",
-            "database_name",
-            *STORAGE_BYTES,
-            "total_bytes",
-            storage_cost("total_bytes").alias("estimated_monthly_cost_usd"),
-            "computed_at",
-        )
-        .orderBy("connection_id", F.desc("total_bytes"), "database_name")
+    return sized.join(tiers(connections), "connection_id").select(
+        "connection_id",
+        "database_name",
+        *STORAGE_BYTES,
+        "total_bytes",
+        storage_cost("total_bytes").alias("estimated_monthly_cost_usd"),
+        "computed_at",
     )
 
 
+def storage_by_database(samples: DataFrame, connections: DataFrame) -> DataFrame:
+    """Newest sample of each database with its size and monthly cost, largest first."""
+    return _sized(samples, connections).orderBy("connection_id", F.desc("total_bytes"), "database_name")
+
+
 def storage_summary(samples: DataFrame, connections: DataFrame) -> DataFrame:
     """Per connection: bytes held, monthly run rate and the newest measurement; zeros and null before the first one."""
     sums = (
-        storage_by_database(samples, connections)
+        _sized(samples, connections)
         .groupBy("connection_id")
         .agg(
             F.sum("total_bytes").alias("total_bytes"),

@@ -71,10 +71,13 @@ class Dashboard:
         return reads.cost_buckets(self._events, self._connections, self._mine(flt))
 
     def latency_segments(self, flt: EventFilter) -> DataFrame:
-        return charts.latency_segments(self.latency(flt))
+        return charts.latency_segments(self._buckets(flt)).orderBy("segment_start")
+
+    def _buckets(self, flt: EventFilter) -> DataFrame:
+        return reads.latency_buckets(self._events, self._connections, self._mine(flt), ordered=False)
 
     def chart_digest(self, flt: EventFilter, measure: str = "count") -> DataFrame:
-        return charts.chart_digest(self.latency(flt), measure)
+        return charts.chart_digest(self._buckets(flt), measure)
 
     def attribution(self, flt: EventFilter, key: str) -> DataFrame:
         return reads.attribution(self._events, self._connections, self._mine(flt), key)

@@ -192,7 +192,10 @@ class Tables:
         if writer is not None:
             recent = recent.where((F.col("writer") != writer) | (F.col("batch") != batch))
         wanted = keys.select(*EVENT_KEY).distinct().withColumn("bucket", self._bucket())
-        settled = self._read(self._settled, _SETTLED).join(wanted, ["bucket", *EVENT_KEY], "left_semi")
+        # At most as many as there are folders; the comparison lets Spark prune by them.
+        buckets = wanted.select("bucket").where("bucket >= 0").distinct()
+        near = self._read(self._settled, _SETTLED).join(F.broadcast(buckets), "bucket", "left_semi")
+        settled = near.join(wanted, ["bucket", *EVENT_KEY], "left_semi")
         found = settled.select(*EVENT_KEY, *LAYOUT).unionByName(
             recent.join(wanted, EVENT_KEY, "left_semi").select(*EVENT_KEY, *LAYOUT)
         )

@@ -9,7 +9,7 @@ import pytest
 import rows
 from rows import DAY, NOW
 
-from runledger.operators import findings, reads, shapes
+from runledger.operators import charts, findings, reads, shapes, storage
 from runledger.plans import ingest
 from runledger.plans.params import EventFilter, TimeRange, timestamp
 from runledger.session import scratch_dir
@@ -116,8 +116,8 @@ def test_deltas_reach_only_the_slots_they_lie_in(spark):
 def test_keys_are_looked_up_in_their_folders(spark):
     made = Tables(spark, scratch_dir(spark, "tables"), 24, 8)
     made.upsert_events(rows.events(spark, *[{} for _ in range(40)]))
-    text = plan(made.homes(rows.events(spark, {})))
-    assert re.search(r"keys/settled[\s\S]*PartitionFilters: \[.*bucket.*dynamicpruning", text), text
+    found = [scan for scan in scans(plan(made.homes(rows.events(spark, {})))) if "keys/settled" in scan]
+    assert found and re.search(r"PartitionFilters: \[.*dynamicpruning", found[0]), found
 
 
 def test_attribution_scans_both_periods_once(tables):
@@ -135,6 +135,62 @@ def test_shares_do_not_read_the_events_again(tables):
         assert "ReusedExchange" in final, final
 
 
+def final(frame) -> str:
+    """The plan as it ran: its tree, and the details of the nodes in it."""
+    frame.collect()
+    tree, details = plan(frame).split("\n\n\n", 1)
+    tree = tree.split("== Initial Plan ==")[0]
+    ran = set(re.findall(r"\((\d+)\)", tree))
+    parts = re.split(r"\n(?=\(\d+\) )", "\n" + details)
+    return tree + "\n" + "\n".join(part for part in parts if re.match(r"\((\d+)\)", part) and re.match(r"\((\d+)\)", part)[1] in ran)
+
+
+def event_scans(text: str) -> int:
+    return len(re.findall(r"\) Scan parquet[^\n]*\n[^\n]*\n[^\n]*\nLocation: [^\n]*/events\]", text))
+
+
+ONE_SCAN = {
+    **{name: READS[name] for name in ("summary", "latency", "cost", "attribution", "shapes", "totals")},
+    "digest": lambda t, f: charts.chart_digest(reads.latency_buckets(t.events(), t.connections(), f, False)),
+    "segments": lambda t, f: charts.latency_segments(reads.latency_buckets(t.events(), t.connections(), f, False)),
+    "insights": lambda t, f: findings.insights(t.events(), t.shapes(), t.connections(), f),
+    "by_shape": lambda t, f: findings.insights_by_shape(t.events(), t.shapes(), t.connections(), f),
+    "statements": lambda t, f: shapes.shape_statements(t.shapes(), findings.all_findings(t.events(), t.shapes(), t.connections(), f)),
+}
+
+
+@pytest.fixture(scope="module")
+def dear(spark):
+    """Tables in which shapes cost enough to be findings."""
+    made = Tables(spark, scratch_dir(spark, "tables"))
+    hours = 3_600_000
+    events = [{"start_time": NOW - timedelta(minutes=n + 1), "total_elapsed_time_ms": hours, "query_text": f"select * from t{n % 3}"} for n in range(60)]
+    made.load_events(shapes.fingerprinted(rows.events(spark, *events)))
+    made.register_shapes(made.events())
+    made.record_connections(rows.connections(spark), 0)
+    return made
+
+
+@pytest.mark.parametrize("name", ONE_SCAN)
+@pytest.mark.parametrize("connection", [None, "c"])
+def test_a_read_scans_the_events_once(dear, name, connection):
+    text = final(ONE_SCAN[name](dear, EventFilter(DAY, connection_id=connection)))
+    assert event_scans(text) == 1, text
+
+
+def test_aggregates_over_charts_do_not_sort_all(dear, spark):
+    for name in ("digest", "segments"):
+        assert "rangepartitioning" not in final(ONE_SCAN[name](dear, EventFilter(DAY)))
+    sizes = storage.storage_summary(rows.samples(spark, {"database_name": "a"}), rows.connections(spark))
+    assert "rangepartitioning" not in final(sizes)
+
+
+def test_new_shapes_read_and_normalize_once(dear):
+    frame = shapes.register_shapes(dear.shapes(), dear.events())
+    text = final(frame)
+    assert event_scans(text) == 1 and text.count("WindowGroupLimit") >= 2
+
+
 def test_fingerprinting_needs_no_shuffle(spark):
     events = rows.events(spark, {}).drop("fingerprint")
     text = plan(shapes.fingerprinted(events))
