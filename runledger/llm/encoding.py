@@ -17,6 +17,8 @@ from collections.abc import Iterator
 _ODD = re.compile("[\x1c-\x1f᠎]")
 _LED = re.compile(r"\s*\S+|\s+\Z")
 _BREAK = re.compile(r"(?<=\S)\s")
+# White space other than a space, Latin letters with or without a space before them, marks but for the apostrophe.
+_SIMPLE = re.compile(r"([\n\r\t]?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 # How byte-level vocabularies write bytes: printable ones as they are, the others from 256 on, in order.
 _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
@@ -60,21 +62,29 @@ class Encoder:
             at = cut.start()
         yield text[at:]
 
-    def unit(self, unit: str) -> bytes:
-        """Ids of one unit. A word of Latin letters, with or without a space before it, goes to the merges directly."""
-        last = unit[-1]
-        if last in ",." and unit[-2:-1].isascii() and unit[-2:-1].isalpha():
-            # A mark after a letter is always a word of its own.
-            return self.known[unit[:-1]] + self.known[last]
-        word = unit[1:] if unit[0] == " " else unit
-        if word.isalpha() and max(word) <= "\xff":
-            if self.lower and not word.islower():
-                return self.known[word.lower()] if word.lower() != word else self.letters(word)
-            return self.letters(unit)
-        return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+    def unit(self, unit: str) -> tuple[bytes, bool]:
+        """Ids of one unit, and whether to keep them. Both kinds of tokenizer cut it between white space other than one
+        space, Latin letters and the ASCII marks after them, so these are looked up on their own; letters go to the merges
+        directly. A unit of several parts is kept if its word was seen before: most words are never seen again."""
+        split = _SIMPLE.fullmatch(unit)
+        if split is None:
+            return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes(), True
+        lead, word, marks = split.groups()
+        low = word.lower() if self.lower else word
+        if low is word or low == unit:
+            if not (lead or marks):
+                return self.letters(unit), True
+        seen = low in self.known or low in self.known.older
+        ids = self.known[low]
+        if lead:
+            ids = self.known[lead] + ids
+        return (ids + self.known[marks] if marks else ids), seen
 
     def letters(self, unit: str) -> bytes:
-        shown = unit.encode().decode("latin-1").translate(_SHOWN)
+        if unit.isascii():
+            shown = "\u0120" + unit[1:] if unit[0] == " " else unit
+        else:
+            shown = unit.encode().decode("latin-1").translate(_SHOWN)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -93,7 +103,9 @@ class Known(dict):
 
     def __missing__(self, unit: str) -> bytes:
         if (ids := self.older.get(unit)) is None:
-            ids = self.encoder.unit(unit)
+            ids, keep = self.encoder.unit(unit)
+            if not keep:
+                return ids
         if len(self) >= KEPT_UNITS:
             self.older = dict(self)
             self.clear()
