@@ -32,13 +32,13 @@ DEPTH = 5
 # Strings with so many context bytes in common are in one group, with as many others as make about ``GROUP`` strings.
 SHARED = 3
 GROUP = 1 << 16
-BLOCK = 24 << 20
+BLOCK = 32 << 20
 SLICE = 4 << 20
 END = b"\xff"  # no byte of UTF-8: the end of a text, and what is before it
 _END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 DOC, GRAM, WORD = 2, 0, 1
-_ROWS = "kind int, block long, key long, n long, row long, doc_id long, held_out boolean, text binary"
+_ROWS = "kind int, block long, key long, n long, docs binary"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -94,9 +94,21 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def packed(docs: pa.RecordBatch) -> bytes:
+    """Some documents as one compressed value, about a third of what they take as rows of a shuffle."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(docs)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all()
+
+
 def gathered(docs: DataFrame) -> DataFrame:
     """The texts by block, and for each block its different strings and words with their training counts; stored by kind."""
-    schema = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.binary()), ("kind", pa.int32())])
+    schema = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("kind", pa.int32())])
 
     def batch_of(**columns: pa.Array) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -119,7 +131,8 @@ def gathered(docs: DataFrame) -> DataFrame:
                 batch = whole.slice(begin, 1024)
                 texts = [(t or "").encode().lower() for t in batch["text"].to_pylist()]
                 unseen = batch["held_out"].to_pylist()
-                yield batch_of(kind=pa.array(np.full(len(texts), DOC)), block=pa.array(np.full(len(texts), block)), row=batch["row"], doc_id=batch["doc_id"], held_out=batch["held_out"], text=pa.array(texts, pa.binary()))
+                docs = pa.record_batch({"row": batch["row"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "text": pa.array(texts, pa.large_binary())})
+                yield batch_of(kind=pa.array([DOC]), block=pa.array([block]), docs=pa.array([packed(docs)], pa.binary()))
                 for taught in (True, False):
                     for _, before, own in pieces([t for t, u in zip(texts, unseen, strict=True) if u != taught]):
                         for kind, found in ((GRAM, grams(before, own)), (WORD, words(own)[0])):
@@ -285,11 +298,9 @@ def scores(docs: DataFrame) -> DataFrame:
     known = totals[WORD].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     tokens, vocabulary = int(known.n), int(known.v)
     values = log_probabilities(totals[GRAM])
-    empty = {"row": "long", "doc_id": "long", "held_out": "boolean", "text": "binary"}
-    blanks = [F.lit(None).cast(kind).alias(name) for name, kind in empty.items()]
     told = asked[GRAM].join(values, "key").select("block", F.lit(GRAM).alias("kind"), "key", "value")
     counted = asked[WORD].select("block", "key").join(totals[WORD], "key").select("block", F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"))
-    texts = rows.where(F.col("kind") == DOC).select(F.col("block").alias("of_block"), "row", "doc_id", "held_out", "text")
+    texts = rows.where(F.col("kind") == DOC).select(F.col("block").alias("of_block"), "docs")
 
     def score(answers: pa.Table, asking: pa.Table) -> pa.Table:
         ready = {}
@@ -298,12 +309,11 @@ def scores(docs: DataFrame) -> DataFrame:
             keys, values = of["key"].to_numpy().view(np.uint64), of["value"].to_numpy()
             order = np.argsort(keys)
             ready[k] = keys[order], values[order]
-        out = np.zeros((len(asking), 4))
-        lengths = np.zeros(len(asking), np.int64)
-        for at in range(0, len(asking), 1024):
-            texts = asking["text"].slice(at, 1024).to_pylist()
-            sums = out[at : at + 1024]
-            lengths[at : at + 1024] = list(map(len, texts))
+        done = []
+        for payload in asking["docs"]:
+            docs = unpacked(payload.as_buffer())
+            texts = docs["text"].to_pylist()
+            sums = np.zeros((len(texts), 4))
             for owner, before, own in pieces(texts):
                 keys, values = ready[GRAM]
                 logs = values[np.searchsorted(keys, grams(before, own))]
@@ -316,10 +326,12 @@ def scores(docs: DataFrame) -> DataFrame:
                 for column, x in ((1, np.log10(counts + 1)), (2, (counts > 0).astype(float))):
                     np.add.at(sums[:, column], owner, np.add.reduceat(np.r_[x, 0.0], starts) * (sizes > 0))
                 np.add.at(sums[:, 3], owner, sizes)
-        return pa.table({
-            "row": asking["row"], "doc_id": asking["doc_id"], "held_out": asking["held_out"], "n_bytes": lengths,
-            "n_tokens": out[:, 3].astype(np.int64), "n_known": out[:, 2].astype(np.int64), "base_sum": out[:, 1], "score": out[:, 0],
-        })
+            done.append(pa.table({
+                "row": docs["row"], "doc_id": docs["doc_id"], "held_out": docs["held_out"],
+                "n_bytes": np.array(list(map(len, texts)), np.int64), "n_tokens": sums[:, 3].astype(np.int64),
+                "n_known": sums[:, 2].astype(np.int64), "base_sum": sums[:, 1], "score": sums[:, 0],
+            }))
+        return pa.concat_tables(done)
 
     answers = told.unionByName(counted)
     scored = answers.groupBy("block").cogroup(texts.groupBy("of_block")).applyInArrow(score, _SCORES)
