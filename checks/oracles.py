@@ -738,3 +738,11 @@ for _name in (
     "search_events latency_segments chart_digest"
 ).split():
     _REGISTRY[f"{_name}_of_one"] = f"select * from ({_REGISTRY[_name]}) o where connection_id = '{HOT}'"
+
+for _name, _same in (
+    ("summary_from_cells", "summary"),
+    ("summary_by_instance_type_from_cells", "summary_by_instance_type"),
+    ("attribution_from_cells", "attribution_by_user"),
+    ("shapes_from_cells", "shapes"),
+):
+    _REGISTRY[_name] = _REGISTRY[_same]

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, TimestampType
 from checks import sample
 from checks.sample import HALF, MONTH, NOW, everything
 from runledger.functions import statements
-from runledger.operators import charts, findings, health, merge, reads, shapes, storage
+from runledger.operators import cells, charts, findings, health, merge, reads, shapes, storage
 from runledger.plans import ingest
 from runledger.plans.params import ListOptions, TimeRange, timestamp
 from runledger.session import scratch_dir, spread
@@ -399,6 +399,34 @@ _named("insight_totals", _shaped(findings.insight_totals))
 _named("insights_by_shape", _shaped(findings.insights_by_shape))
 
 
+# Cells of whole slots instead of events ------------------------------------------------------------------------------
+
+
+def _from_cells(operator, span: TimeRange, *more) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        stored = sample.ledger(spark, d)
+        return operator(stored.cells(), stored.connections(), everything(span), *more, stored.slot_hours)
+
+    return run
+
+
+@query
+def summary_from_cells(spark, d):
+    stored = sample.ledger(spark, d)
+    return cells.summary_from_cells(stored.cells(), stored.histogram(), stored.connections(), everything(), stored.slot_hours)
+
+
+_named("summary_by_instance_type_from_cells", _from_cells(cells.summary_by_instance_type_from_cells, MONTH))
+_named("attribution_from_cells", _from_cells(cells.attribution_from_cells, HALF, "user_name"))
+
+
+@query
+def shapes_from_cells(spark, d):
+    stored = sample.ledger(spark, d)
+    figures = cells.shape_figures_from_cells(stored.cells(), stored.connections(), everything(), stored.slot_hours)
+    return shapes.listed_shapes(figures, stored.shapes(), everything())
+
+
 # Storage -------------------------------------------------------------------------------------------------------------
 
 

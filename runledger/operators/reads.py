@@ -16,10 +16,10 @@ from runledger.plans.params import SORT_COLUMNS, EventFilter, ListOptions
 
 ATTRIBUTION_KEYS = ("user_name", "instance_type")
 CHANGE_FLOOR_USD = 0.01
-_PERCENTILES = {"p50_ms": 0.5, "p95_ms": 0.95}
+PERCENTILES = {"p50_ms": 0.5, "p95_ms": 0.95}
 
 
-def _counts() -> dict[str, Column]:
+def counts() -> dict[str, Column]:
     return {"query_count": F.count(F.lit(1)), "failure_count": F.count("error_type")}
 
 
@@ -51,15 +51,19 @@ def summary(events: DataFrame, connections: DataFrame, flt: EventFilter) -> Data
         select_events(events, flt),
         ["connection_id"],
         "total_elapsed_time_ms",
-        _PERCENTILES,
-        {**_counts(), **pricing.billable_sums()},
+        PERCENTILES,
+        {**counts(), **pricing.billable_sums()},
         few_groups=_one_connection(flt),
     )
+    return headline(figures, connections, flt)
+
+
+def headline(figures: DataFrame, connections: DataFrame, flt: EventFilter) -> DataFrame:
     return tiers(connections, flt).join(figures, "connection_id", "left").select(
         "connection_id",
         F.coalesce("query_count", F.lit(0)).alias("query_count"),
         F.coalesce("failure_count", F.lit(0)).alias("failure_count"),
-        *_PERCENTILES,
+        *PERCENTILES,
         pricing.billable_cost().alias("estimated_cost_usd"),
     )
 
@@ -94,8 +98,8 @@ def latency_buckets(events: DataFrame, connections: DataFrame, flt: EventFilter,
         rows,
         ["connection_id", "bucket_start"],
         "total_elapsed_time_ms",
-        _PERCENTILES,
-        {**_counts(), **pricing.billable_sums()},
+        PERCENTILES,
+        {**counts(), **pricing.billable_sums()},
         few_groups=_one_connection(flt),
     )
     buckets = (
@@ -106,7 +110,7 @@ def latency_buckets(events: DataFrame, connections: DataFrame, flt: EventFilter,
             "bucket_start",
             F.coalesce("query_count", F.lit(0)).alias("query_count"),
             F.coalesce("failure_count", F.lit(0)).alias("failure_count"),
-            *_PERCENTILES,
+            *PERCENTILES,
             pricing.billable_cost().alias("estimated_cost_usd"),
         )
     )
@@ -149,6 +153,10 @@ def _spenders(events: DataFrame, connections: DataFrame, flt: EventFilter, key:
             *_aliased(pricing.billable_sums(f"not ({now})", "previous")),
         )
     )
+    return priced_spenders(groups, connections, flt)
+
+
+def priced_spenders(groups: DataFrame, connections: DataFrame, flt: EventFilter) -> DataFrame:
     return groups.join(tiers(connections, flt), "connection_id").select(
         "connection_id",
         "key",
@@ -176,7 +184,11 @@ def with_share(rows: DataFrame, flt: EventFilter) -> DataFrame:
 
 def attribution(events: DataFrame, connections: DataFrame, flt: EventFilter, key: str) -> DataFrame:
     """Spenders of the period with their share, what they cost before and the change, biggest first."""
-    active = _spenders(events, connections, flt, key).where(F.col("query_count") > 0)
+    return ranked_spenders(_spenders(events, connections, flt, key), flt)
+
+
+def ranked_spenders(spenders: DataFrame, flt: EventFilter) -> DataFrame:
+    active = spenders.where(F.col("query_count") > 0)
     previous = F.col("previous_cost_usd")
     change = (F.col("estimated_cost_usd") - previous) / previous * 100
     return (

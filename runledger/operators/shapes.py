@@ -35,6 +35,15 @@ def fingerprinted(events: DataFrame) -> DataFrame:
     return normal.withColumn("fingerprint", stamped).drop("_text", "_normal")
 
 
+def shape_sums() -> dict[str, Column]:
+    """What a shape is judged by besides counts and cost. All but the two maxima add up."""
+    return {
+        "max_ms": F.coalesce(F.greatest(F.max("total_elapsed_time_ms"), F.lit(0)), F.lit(0)),
+        "bytes_spilled": F.coalesce(F.sum("bytes_spilled_to_disk"), F.lit(0)),
+        "last_seen": F.max("start_time"),
+    }
+
+
 def shape_figures(events: DataFrame, connections: DataFrame, flt: EventFilter) -> DataFrame:
     """One priced row per shape with its share, text left aside: only narrow columns are shuffled.
 
@@ -48,12 +57,13 @@ def shape_figures(events: DataFrame, connections: DataFrame, flt: EventFilter) -
             F.count(F.lit(1)).alias("runs"),
             F.count("error_type").alias("failure_count"),
             pricing.runtime_sums()["total_ms"].alias("total_ms"),
-            F.coalesce(F.greatest(F.max("total_elapsed_time_ms"), F.lit(0)), F.lit(0)).alias("max_ms"),
-            F.coalesce(F.sum("bytes_spilled_to_disk"), F.lit(0)).alias("bytes_spilled"),
-            F.max("start_time").alias("last_seen"),
-            *[total.alias(name) for name, total in pricing.billable_sums().items()],
+            *[total.alias(name) for name, total in {**shape_sums(), **pricing.billable_sums()}.items()],
         )
     )
+    return priced_shapes(groups, connections, flt)
+
+
+def priced_shapes(groups: DataFrame, connections: DataFrame, flt: EventFilter) -> DataFrame:
     priced = groups.join(tiers(connections, flt), "connection_id").select(
         *SHAPE_KEY,
         "runs",
@@ -114,7 +124,12 @@ def top_shapes(
     preview: int | None = None,
 ) -> DataFrame:
     """The dearest shapes. Shares are of everything, not of what the list shows."""
-    figures = shape_figures(events, connections, flt)
+    return listed_shapes(shape_figures(events, connections, flt), shapes, flt, limit, preview)
+
+
+def listed_shapes(
+    figures: DataFrame, shapes: DataFrame, flt: EventFilter, limit: int | None = DEFAULT_LIST_LIMIT, preview: int | None = None
+) -> DataFrame:
     few = flt.connection_id is not None and limit is not None
     if few:
         top = figures.orderBy(*shape_order()).limit(limit)

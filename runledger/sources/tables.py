@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
+from runledger.operators.cells import LAYOUT, cells_of, histogram_of
 from runledger.operators.merge import EVENT_KEY, SEQ, fold_deliveries, folded_into, one_per_key, purge
 from runledger.operators.shapes import backfill_flags, new_shapes, pending_flags
 from runledger.operators.storage import new_samples
 from runledger.schema import CONNECTIONS, EVENTS, SHAPES, STORAGE
 
-LAYOUT = ["start_date", "start_slot"]
 _SLOT = [StructField("start_date", DateType(), False), StructField("start_slot", IntegerType(), False)]
 _BATCH = [StructField("writer", StringType(), False), StructField("batch", LongType(), False)]
 _FILES = StructType(EVENTS.fields + _SLOT)
@@ -77,6 +77,7 @@ class Tables:
         self._events, self._shapes, self._storage, self._connections, self._pending, self._deltas, self._keys, self._done = (
             f"{root}/{name}" for name in ("events", "shapes", "storage", "connections", "pending", "deltas", "keys", "done")
         )
+        self._cells, self._histogram = f"{root}/cells", f"{root}/histogram"
         self._recent, self._settled = f"{self._keys}/recent", f"{self._keys}/settled"
 
     def _read(self, path: str, schema: StructType) -> DataFrame:
@@ -160,9 +161,34 @@ class Tables:
         )
 
     def _finish(self, pending: str) -> None:
-        self._publish(self.spark.read.schema(_FILES).parquet(pending), self._events)
+        rows = self.spark.read.schema(_FILES).parquet(pending)
+        self._publish(rows, self._events)
+        for summed, path in ((cells_of(rows), self._cells), (histogram_of(rows), self._histogram)):
+            (
+                summed.hint("rebalance", *[F.col(name) for name in LAYOUT])
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(*LAYOUT)
+                .parquet(path)
+            )
         delete(self.spark, pending)
 
+    def cells(self) -> DataFrame:
+        """Sums of the slots, rewritten with them; of slots with deltas they are taken from the events."""
+        return self._sums(self._cells, cells_of)
+
+    def histogram(self) -> DataFrame:
+        """Durations of the runs of the slots, likewise."""
+        return self._sums(self._histogram, histogram_of)
+
+    def _sums(self, path: str, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        schema = of(self.spark.createDataFrame([], _FILES)).schema
+        stored, slots = self._read(path, schema).select(*schema.names), self._delta_slots()
+        if not slots:
+            return stored
+        held = _in_slots(slots)
+        return stored.where(~held).unionByName(of(self.events().where(held)))
+
     def recover(self) -> None:
         """Completes what was cut short; without anything it does nothing. Every rewrite starts with this, and doing it again
         replaces slots with the same rows. A folder that is itself incomplete is not used: nothing had been touched when it
@@ -312,7 +338,8 @@ class Tables:
             if kept:
                 self.replace_slots(left)
             for day, slot in hit - kept:
-                delete(self.spark, f"{self._events}/start_date={day}/start_slot={slot}")
+                for path in (self._events, self._cells, self._histogram):
+                    delete(self.spark, f"{path}/start_date={day}/start_slot={slot}")
         slots.unpersist()
         for path, schema in ((self._shapes, SHAPES), (self._storage, STORAGE), (self._settled, _SETTLED)):
             if exists(self.spark, path):
