@@ -746,3 +746,19 @@ for _name, _same in (
     ("shapes_from_cells", "shapes"),
 ):
     _REGISTRY[_name] = _REGISTRY[_same]
+
+_oracle(
+    "history_drained",
+    [
+        _changed(_HISTORY, "hi", "hi0"),
+        """hi as (select * replace (case when suffix(connection_id, '7') then epoch_ms(timestamp '2024-01-16') else start_ms end
+      as start_ms) from hi0)""",
+        _CONNECTIONS,
+        _PLAN,
+    ],
+    """select connection_id, query_id, start_ms, query_text, execution_time_ms
+from hi join pl using (connection_id) where since is null or start_ms >= epoch_ms(since)""",
+)
+_oracle(
+    "event_lookup", [_EVENTS], f"select {_EVENT_COLUMNS}, {_NOW} as ingested_at from ev where starts_with(query_id, '00')"
+)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,21 @@ def history_page(spark, d):
     return _page(spark, d).select("connection_id", "query_id", "start_ms", "query_text", "execution_time_ms")
 
 
+@query
+def history_drained(spark, d):
+    """Every due row of every connection, page by page, with connections whose rows share one instant."""
+    plan = ingest.fetch_plan(sample.connections(spark, d), ingest.IngestSettings().overlap)
+    tied = F.when(F.col("connection_id").endswith("7"), F.unix_millis(timestamp(MID))).otherwise(F.col("start_ms"))
+    history = ingest.staged(sample.history(spark, d).withColumn("start_ms", tied), scratch_dir(spark, "history"))
+    # At least three pages for the largest connection, and more of a connection than a page at one instant.
+    largest = history.groupBy("connection_id").count().agg(F.max("count")).first()[0]
+    pages = source.drained(
+        history, plan, max(1, largest // 4), lambda page: ingest.staged(page, scratch_dir(spark, "page"))
+    )
+    found = reduce(DataFrame.unionByName, pages)
+    return found.select("connection_id", "query_id", "start_ms", "query_text", "execution_time_ms")
+
+
 @query
 def readable_rows(spark, d):
     return source.readable_rows(sample.history(spark, d))
@@ -236,6 +252,15 @@ def event_detail(spark, d):
     return reads.event_details(stored.events(), stored.connections(), listed).drop(*UNLISTED)
 
 
+@query
+def event_lookup(spark, d):
+    """Events by their keys, among them some that are not stored."""
+    stored = sample.ledger(spark, d)
+    keys = stored.events().where(F.col("query_id").startswith("00")).select("connection_id", "query_id")
+    unknown = keys.withColumn("query_id", F.concat("query_id", F.lit("-")))
+    return stored.lookup(keys.unionByName(unknown)).drop(*UNLISTED)
+
+
 @query
 def shape_statement(spark, d):
     stored = sample.ledger(spark, d)

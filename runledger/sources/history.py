@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +55,42 @@ def with_epoch_ms(rows: DataFrame, times: dict[str, str], intervals: dict[str, s
 
 def history_page(history: DataFrame, plan: DataFrame, limit: int) -> DataFrame:
     """The oldest ``limit`` rows per connection from its ``since`` on, which is inclusive because rows can share an
-    instant. ``plan`` has ``connection_id`` and a nullable ``since``."""
-    due = history.join(plan.select("connection_id", "since"), "connection_id").where(
+    instant. ``plan`` has ``connection_id``, a nullable ``since`` and maybe a nullable ``after``, the last row that an
+    earlier page gave.
+
+    Only ids and times are ranked, to find the last row of each page; whole rows are then taken up to it. Rows that
+    repeat it come along, so a page of such rows can be longer.
+    """
+    bounds = ["since", *[name for name in plan.columns if name == "after"]]
+    due = history.join(plan.select("connection_id", *bounds), "connection_id").where(
         F.col("since").isNull() | (F.col("start_ms") >= F.unix_millis("since"))
     )
-    return first_per_connection(due.drop("since"), [F.asc("start_ms"), F.asc("query_id")], limit)
+    if "after" in bounds:
+        due = due.where(F.col("after").isNull() | (_place() > F.col("after")))
+    narrow = due.select("connection_id", "start_ms", "query_id")
+    page = first_per_connection(narrow, [F.asc("start_ms"), F.asc("query_id")], limit)
+    last = page.groupBy("connection_id").agg(F.max(_place()).alias("_last"))
+    return due.join(last, "connection_id").where(_place() <= F.col("_last")).drop(*bounds, "_last")
+
+
+def _place() -> Column:
+    """Where a row stands in its connection's history; nulls come first."""
+    return F.struct("start_ms", "query_id")
+
+
+def drained(history: DataFrame, plan: DataFrame, limit: int, store: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """All pages of at most ``limit`` rows a connection, one after the other, until no connection has a full one. ``store``
+    writes a page and returns it as written. Pages go on after the last row of the one before, so rows that share an instant
+    are neither repeated nor lost, however many they are."""
+    plan = plan.select("connection_id", "since").withColumn("after", F.lit(None).cast("struct<start_ms: bigint, query_id: string>"))
+    pages = []
+    while True:
+        pages.append(store(history_page(history, plan, limit)))
+        ends = pages[-1].groupBy("connection_id").agg(F.max(_place()).alias("after"), F.count("*").alias("rows"))
+        ends = ends.where(F.col("rows") >= limit).drop("rows")
+        if not ends.limit(1).count():
+            return pages
+        plan = plan.drop("after").join(ends, "connection_id")
 
 
 def _in_calendar(ms: Column) -> Column:

@@ -156,6 +156,9 @@ class Tables:
             .sortWithinPartitions(*LAYOUT, "connection_id", "start_time")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic" if path == self._events else "static")
+            # For a look-up by a literal id, which skips the row groups that do not hold it.
+            .option("parquet.bloom.filter.enabled#query_id", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
             .partitionBy(*LAYOUT)
             .parquet(path)
         )
@@ -207,6 +210,14 @@ class Tables:
         slots = placed.select(*LAYOUT).where("start_date >= date'0001-01-01'").distinct()
         return (self.events() if stored is None else stored).join(F.broadcast(slots), LAYOUT, "left_semi")
 
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The stored events of some keys (connection_id, query_id): their slots are looked up first, and no other slot is
+        read."""
+        homes = self.homes(keys)
+        slots = homes.where("start_date >= date'0001-01-01'").select(*LAYOUT).distinct()
+        near = self.events().join(F.broadcast(slots), LAYOUT, "left_semi")
+        return near.join(homes, [*EVENT_KEY, *LAYOUT], "left_semi")
+
     # Deltas --------------------------------------------------------------------------------------------------------------
 
     def homes(self, keys: DataFrame, writer: str | None = None, batch: int | None = None) -> DataFrame:

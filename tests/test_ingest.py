@@ -78,6 +78,17 @@ def test_pages_are_inclusive_oldest_first_and_limited(spark):
     ]
 
 
+@pytest.mark.parametrize("limit", [1, 2, 3, 100])
+def test_drained_pages_hold_every_row_once(spark, limit):
+    at = [{"start_ms": MS + n // 4, "query_id": str(uuid.UUID(int=n))} for n in range(9)]
+    history = rows.history(spark, *at, {"connection_id": "d", "start_ms": None}, {"connection_id": "d", "start_ms": MS}, {"connection_id": "off"})
+    plan = spark.createDataFrame([("c", NOW), ("d", None)], "connection_id string, since timestamp")
+    pages = source.drained(history, plan, limit, lambda page: ingest.staged(page, scratch_dir(spark, "page")))
+    found = [(row.connection_id, row.query_id, row.start_ms) for page in pages for row in page.collect()]
+    assert len(found) == len(set(found)) == 11
+    assert all(page.where("connection_id = 'c'").count() <= limit for page in pages)
+
+
 def test_intervals_become_milliseconds(spark):
     spans = spark.sql("select interval '1 02:03:04.567' day to second as i union all select interval '-0.5' second")
     assert [row[0] for row in spans.select(interval_ms(F.col("i"))).collect()] == [93_784_567, -500]

@@ -86,7 +86,10 @@ def test_history_pages_prune_before_the_shuffle(spark):
     page = source.history_page(
         rows.history(spark, {}), ingest.fetch_plan(rows.connections(spark), timedelta(minutes=15)), 5000
     )
-    assert plan(page).count("WindowGroupLimit") >= 2
+    text = plan(page)
+    assert text.count("WindowGroupLimit") >= 2
+    for ranked in re.findall(r"WindowGroupLimit\nInput[^\n]*", text):
+        assert "query_text" not in ranked
 
 
 def test_an_upsert_reads_only_touched_slots(spark, tables):
@@ -113,6 +116,13 @@ def test_deltas_reach_only_the_slots_they_lie_in(spark):
     assert made.events().count() == 49
 
 
+def test_a_lookup_reads_only_the_slots_of_its_keys(tables):
+    found = tables.lookup(tables.events().where("total_elapsed_time_ms = 5"))
+    assert found.count() == 1
+    on_events = [scan for scan in scans(plan(found)) if "/events]" in scan]
+    assert any(re.search(r"PartitionFilters: \[.*dynamicpruning", scan) for scan in on_events)
+
+
 def test_keys_are_looked_up_in_their_folders(spark):
     made = Tables(spark, scratch_dir(spark, "tables"), 24, 8)
     made.upsert_events(rows.events(spark, *[{} for _ in range(40)]))
