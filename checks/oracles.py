@@ -7,7 +7,7 @@ engine's, and prices come from the per-size triple: each a different route from
 from __future__ import annotations
 
 from checks.queries import HOT, PAGE, VIEW_SHAPE
-from checks.sample import CONNECTIONS_SQL, EVENTS_SQL, HISTORY_SQL, STORAGE_SQL, oracle_text
+from checks.sample import CONNECTIONS_SQL, EVENTS_SQL, HISTORY_SQL, STORAGE_SQL, VARIANTS_SQL, oracle_text
 from runledger.functions.text import BLANK_CLASS, PREVIEW_SPACE, char_class
 
 _MONTH = ("2024-01-01", "2024-01-31")
@@ -105,7 +105,10 @@ def _normalized(text: str) -> str:
 def _shape_key(n: str) -> str:
     exponents = f"regexp_replace({n}, '\\?e(?:[0-9]+\\b|[+-]\\?)', '?', 'g')"
     tight = f"""regexp_replace({exponents}, '("[^"]*(?:""[^"]*)*"?)| ?([(),;=<>+*/.\\[\\]-]) ?', '\\1\\2', 'g')"""
-    lists = f"regexp_replace({tight}, '\\?(?:,\\?)+', '?', 'g')"
+    spelled = tight
+    for old, new in ((r" ?!=", "<>"), (r"\binner join\b", "join"), (r"([ )\]])as( |$)", r"\1"), (r"([ )\]])as\(", r"\1(")):
+        spelled = f"regexp_replace({spelled}, '{old}', '{new}', 'g')"
+    lists = f"regexp_replace({spelled}, '\\?(?:,\\?)+', '?', 'g')"
     whole = f"regexp_replace({lists}, ';+$', '')"
     return f"case when regexp_matches({n}, '^\\(*(?:select|with|from|values)\\b') then {whole} else {n} end"
 
@@ -156,6 +159,24 @@ _oracle(
     f"select connection_id, query_id, array_to_string({_FLAG_LIST}, ',') as antipatterns from j",
 )
 
+# The parse tree without literals and places in the text; equal literals next to each other count once.
+_LITERAL = r"""\{"class":"CONSTANT","type":"VALUE_CONSTANT","alias":"","literal":"\?"\}"""
+_PLACES = r"""regexp_replace(js, '"query_location(_length)?":[0-9]+,?', '', 'g')"""
+_BLANKED = (
+    rf"""regexp_replace(regexp_replace({_PLACES}, '"literal":\{{"kind":"[A-Z_]+","text":"([^"\\]|\\.)*"\}}', '"literal":"?"', 'g'), """
+    rf"""'({_LITERAL})(,{_LITERAL})+', '\1', 'g')"""
+)
+_oracle(
+    "shape_groups",
+    [
+        f"ev as ({oracle_text(VARIANTS_SQL)})",
+        _NORMAL,
+        "j as (select *, cast(json_serialize_sql(query_text) as varchar) as js from nm)",
+        f"k as (select query_id, case when json_extract_string(js, '$.error') = 'true' then n else {_BLANKED} end as shape from j)",
+    ],
+    "select query_id, min(query_id) over (partition by shape) as same_as, count(*) over (partition by shape) as members from k",
+)
+
 _PREVIEW = char_class(PREVIEW_SPACE)
 
 

@@ -323,6 +323,15 @@ def shape_keys(spark, d):
     return keyed.select("connection_id", "query_id", "shape_key", stamped)
 
 
+@query
+def shape_groups(spark, d):
+    """Which statements are of one shape: each with the first of its group and the group's size."""
+    keyed = statements.with_normalized(sample.variants(spark, d), "query_text")
+    keyed = keyed.select("query_id", statements.fingerprint_of(statements.shape_key(F.col("normalized_sql"))).alias("shape"))
+    groups = keyed.groupBy("shape").agg(F.min("query_id").alias("same_as"), F.count("*").alias("members"))
+    return keyed.join(groups, "shape").select("query_id", "same_as", "members")
+
+
 @query
 def statement_flags(spark, d):
     found = statements.flags(F.col("normalized_sql")).alias("antipatterns")

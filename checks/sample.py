@@ -83,6 +83,36 @@ from (
 ) y
 """
 
+# Statements in spellings that a parser reads alike, and some that none takes; k is a number, t a table.
+VARIANTS_SQL = r"""
+select concat('q-', cast(event_id as string)) as query_id,
+  case event_id % 23
+    when 0 then concat('select a from ', t, ' where n = ', k)
+    when 1 then concat('select a from ', t, ' where n = -', k)
+    when 2 then concat('SELECT a FROM ', t, ' WHERE n=', k, ';')
+    when 3 then concat('select a from ', t, ' where b = ', case when user_id % 2 = 0 then 'true' else 'FALSE' end)
+    when 4 then concat('select a from ', t, ' where n != ', k)
+    when 5 then concat('select a from ', t, ' where n <> -', k)
+    when 6 then concat('select x.a from ', t, ' x join u y on x.i = y.i where x.a > ', k)
+    when 7 then concat('select x.a from ', t, ' as x inner join u as y on x.i = y.i where x.a > -', k)
+    when 8 then concat('select x.a from ', t, ' as x left join u y on x.i = y.i where x.a > ', k)
+    when 9 then concat('select a q, b from ', t, ' v')
+    when 10 then concat('select a as q, b from ', t, ' as v')
+    when 11 then concat('with r as (select ', k, ' as x) select x from r')
+    when 12 then concat('with r as (select -', k, ' x) select x from r')
+    when 13 then concat('select a from ', t, ' where n in (', k, ', -', k, case when user_id % 2 = 0 then ', 5' else '' end, ')')
+    when 14 then concat('select a where from ', t)
+    when 15 then concat('select a b c d from ', t)
+    when 16 then concat('select a from ', t, ' group by a where b')
+    when 17 then concat('select cast(a as int) as c from ', t, ' where d between -', k, ' and ', k)
+    when 18 then concat('select "Q a" as "B b" from ', t)
+    when 19 then concat('select "Q a" "B b" from ', t)
+    when 20 then concat('create table s as select * from ', t, ' as q where n = -', k)
+    when 21 then concat('select a - ', k, ' from ', t, ' where c is distinct from d')
+    else concat('select a from ', t, ' where n = ') end as query_text
+from (select *, concat('t', cast(user_id % 3 as string)) as t, regexp_extract(props, '[0-9]+', 0) as k from {events}) x
+"""
+
 # What the source would return: ids in every accepted form, some unusable ids and times.
 HISTORY_SQL = (
     r"""
@@ -164,6 +194,10 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, EVENTS_SQL, "events")
 
 
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, VARIANTS_SQL, "events")
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, HISTORY_SQL, "events").select(*HISTORY.names)
 

@@ -76,22 +76,67 @@ def with_normalized(rows: DataFrame, text: str, name: str = "normalized_sql") ->
     return rows.withColumn(name, _spaced(F.col(text))).withColumn(name, _finished(F.col(name)))
 
 
+# Texts that start like a query and that no parser takes. Words that may follow others in an expression or end a list:
+_JOINING = (
+    "all|and|any|array|as|asc|asof|at|between|by|case|cast|collate|cross|current|date|desc|distinct|double|else|end|escape|"
+    "except|exclude|exists|filter|first|following|for|from|full|glob|group|having|ignore|ilike|in|inner|intersect|interval|"
+    "into|is|isnull|join|lambda|last|lateral|left|like|limit|natural|not|notnull|nulls|offset|on|or|order|over|partition|"
+    "positional|preceding|qualify|range|replace|respect|right|row|rows|sample|select|semi|anti|similar|some|struct|"
+    "tablesample|then|time|timestamp|to|try_cast|unbounded|union|using|values|when|where|window|with|within|without|zone"
+)
+_PLAIN_WORD = rf"(?!(?:{_JOINING})\b)[a-z_][a-z0-9_]*+"
+_CLAUSE = r"(?:from|where|group by|having|order by|limit)\b"
+_BROKEN = "|".join(
+    [
+        # a clause that is empty
+        rf"\bselect(?: all| distinct)? ?(?:{_CLAUSE}|[);]|$)",
+        rf"(?:\b(?:(?<!distinct )from|where|having|group by|order by|join|and|or|not)|[=<>+*/(]) ?(?<![*(] ?){_CLAUSE}",
+        r"(?:\b(?:(?<!distinct )from|where|having|group by|order by|join|and|or|not)|[=<>+/-]) ?(?:[);]|$)",
+        # clauses out of order on one level
+        rf"\b(?:group by|order by|having|limit)\b(?:(?!\b(?:{_CLAUSE}|select|union|intersect|except)\b)[^();])*+\bwhere\b",
+        rf"\blimit\b(?:(?!\b(?:{_CLAUSE}|select|union|intersect|except)\b)[^();])*+\b(?:order by|group by|having)\b",
+        # a list item of three names that nothing joins
+        rf"(?:\bselect(?: all| distinct)?|,) ?{_PLAIN_WORD} {_PLAIN_WORD} {_PLAIN_WORD}(?![(.])",
+    ]
+)
+
+
 def is_select(normalized: Column) -> Column:
     """Whether the statement is a query of its own, as opposed to DDL, DML or text that only contains one."""
     writes = r"^\(*+with\b.* as (?:(?:not )?materialized )?\((?s:.*)\) (?:insert|update|delete|merge) "
     unquoted = F.regexp_replace(normalized, _QUOTED, "q")
     count = lambda mark: F.length(unquoted) - F.length(F.replace(unquoted, F.lit(mark), F.lit("")))
-    # What no parser takes: parentheses that do not match up, and a select without a list.
-    broken = (count("(") != count(")")) | normalized.rlike(r"\bselect(?: all| distinct)? ?(?:from\b|where\b|group by\b|order by\b|[);]|$)")
+    broken = (count("(") != count(")")) | unquoted.rlike(_BROKEN)
     return normalized.rlike(r"^\(*+(?:select|with|from|values)\b") & ~normalized.rlike(writes) & ~broken
 
 
+# Spellings that a parser reads alike, once spaces around punctuation are gone; applied in this order outside quoted names.
+_SPELLINGS = (
+    (r" ?!=", "<>"),
+    (r"\b(?:true|false)\b", "?"),
+    (r"\binner join\b", "join"),
+    (r"([ )\]])as(?: |(?=\()|$)", "$1"),
+    (r"((?:^|[(,=<>+*/\[])|\b(?:select|distinct|where|and|or|not|in|between|then|else|when|by|limit|on|having|values)(?= ?[-+]))"
+     r" ?[-+]\?", "$1 ?"),
+    (r"([(,=<>+*/\[]) \?", "$1?"),
+)
+
+
 def shape_key(normalized: Column) -> Column:
-    """The text that identifies a shape. For queries spacing around punctuation, exponents, list lengths and a trailing
-    semicolon do not count; other statements are identified by their normalized text."""
+    """The text that identifies a shape. For queries spacing around punctuation, exponents, signs, list lengths, optional
+    words, other spellings of one operator and a trailing semicolon do not count; other statements are identified by their
+    normalized text."""
     exponents = F.regexp_replace(normalized, r"\?e(?:[0-9]++\b|[+-]\?)", "?")
     tight = F.regexp_replace(exponents, rf"({_QUOTED})| ?([(),;=<>+*/.\[\]-]) ?", "$1$2")
-    lists = F.regexp_replace(tight, r"\?(?:,\?)++", "?")
+
+    def spelled(piece: Column) -> Column:
+        for pattern, written in _SPELLINGS:
+            piece = F.regexp_replace(piece, pattern, written)
+        return piece
+
+    pieces = F.regexp_extract_all(tight, F.lit(rf'{_QUOTED}|[^"]++'), F.lit(0))
+    plain = F.array_join(F.transform(pieces, lambda piece: F.when(piece.startswith('"'), piece).otherwise(spelled(piece))), "")
+    lists = F.regexp_replace(plain, r"\?(?:,\?)++", "?")
     return F.when(is_select(normalized), F.regexp_replace(lists, r";++\z", "")).otherwise(normalized)
 
 
