@@ -11,7 +11,7 @@ import functools
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 # Control characters that Python counts as white space and Unicode does not: texts with one are encoded whole.
 _ODD = re.compile("[\x1c-\x1f᠎]")
@@ -19,6 +19,8 @@ _LED = re.compile(r"\s*\S+|\s+\Z")
 _BREAK = re.compile(r"(?<=\S)\s")
 # White space other than a space, Latin letters with or without a space before them, marks but for the apostrophe.
 _SIMPLE = re.compile(r"([\n\r\t]?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+_PLAIN_WORD = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_MARKED_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 # How byte-level vocabularies write bytes: printable ones as they are, the others from 256 on, in order.
 _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
@@ -43,10 +45,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(name if os.path.sep in name else vocabulary(name))
         self.tokenizer.encode_special_tokens = True
-        self.units = _LED.findall if spaces else str.split
+        self.spaces = spaces
         self.lower = not spaces
         self.model = self.tokenizer.model
-        self.known = Known(self)
+        self.known = Known(self.unit)
+        self.after_space = Known(self.after)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -91,19 +94,45 @@ class Encoder:
         if _ODD.search(text):
             return self.whole([text])[0]
         known = self.known.__getitem__
-        return b"".join([b"".join(map(known, self.units(part))) for part in self.parts(text)])
+        if not self.spaces:
+            return b"".join([b"".join(map(known, part.split())) for part in self.parts(text)])
+        return b"".join([self.spaced_ids(part) for part in self.parts(text)])
+
+    def spaced_ids(self, part: str) -> bytes:
+        """Cut at single spaces, each of which belongs to what follows it. A run of them is left to the slower cut."""
+        if "  " in part or part[-1:] == " ":
+            return b"".join(map(self.known.__getitem__, _LED.findall(part)))
+        first, *pieces = part.split(" ")
+        return b"".join(map(self.known.__getitem__, _LED.findall(first))) + b"".join(map(self.after_space.__getitem__, pieces))
+
+    def after(self, piece: str) -> tuple[bytes, bool]:
+        """Ids of a piece and the space before it, and whether to keep them: of several units, if all were seen before."""
+        unit = " " + piece
+        if _PLAIN_WORD.fullmatch(piece):
+            return self.letters(unit), True
+        if split := _MARKED_WORD.fullmatch(piece):
+            word, marks = split.groups()
+            seen = word in self.after_space or word in self.after_space.older
+            return self.after_space[word] + self.known[marks], seen
+        units = _LED.findall(unit)
+        if len(units) == 1:
+            return self.unit(unit)[0], True
+        head = units[0][1:]
+        seen = all(u in self.known for u in units[1:])
+        ids = self.after_space[head] if head and units[0][0] == " " else self.known[units[0]]
+        return ids + b"".join(map(self.known.__getitem__, units[1:])), seen
 
 
 class Known(dict):
     """Ids by unit, found when first asked for. When there are too many, those not asked for since the last time go."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, find: Callable[[str], tuple[bytes, bool]]):
         super().__init__()
-        self.encoder, self.older = encoder, {}
+        self.find, self.older = find, {}
 
     def __missing__(self, unit: str) -> bytes:
         if (ids := self.older.get(unit)) is None:
-            ids, keep = self.encoder.unit(unit)
+            ids, keep = self.find(unit)
             if not keep:
                 return ids
         if len(self) >= KEPT_UNITS:

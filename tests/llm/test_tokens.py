@@ -125,3 +125,16 @@ def test_plan_is_gapless_and_whole(counts, capacity):
         assert sum(3 * n > capacity for _, n in placed) <= 2
         assert [o for o, _ in sorted(placed)] == [sum(n for _, n in sorted(placed)[:i]) for i in range(len(placed))]
         assert sum(n for _, n in placed) <= capacity
+
+
+def test_any_mix_of_spaces_marks_and_letters_has_the_tokenizer_ids():
+    import random
+
+    from runledger.llm.encoding import encoder
+
+    dice = random.Random(3)
+    pieces = [" ", "  ", "\n", "\n\n", "\t", " \n", "a", "The", "é", "ß", ",", ".", "'s", "'", "$$", "12", "3.4", "€", "日本", "\U0001f600", "x'll", "-", "word", "Word,", "\r\n", "\xa0", "don't", "(a)", "×"]
+    texts = ["".join(dice.choices(pieces, k=dice.randint(0, 14))) for _ in range(8000)]
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        own = encoder(name, spaces)
+        assert [own.encode(text) for text in texts] == own.whole(texts)
