@@ -25,7 +25,7 @@ _MARKED_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-
 _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 # Units in each of the two generations of each of a worker's two caches, and characters cut into units at a time.
-KEPT_UNITS = 200_000
+KEPT_UNITS = 300_000
 SLICE = 1 << 20
 
 
