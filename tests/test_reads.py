@@ -305,3 +305,18 @@ def test_dashboard_covers_one_connection(spark):
             unknown()
     with pytest.raises(NotFound):
         Dashboard("nobody", events, shapes, rows.samples(spark), connections)
+
+
+def test_a_change_is_told_from_one_cent_on_as_the_sql_prices_it(spark):
+    """Previous costs of exactly one cent, made of two sizes: doubles just below it and just above decide as in the SQL."""
+    pairs = [(ms, (3_600_000 - 60 * ms) // 240) for ms in range(1000, 1100, 4)]
+    before, now = ago(hours=30), ago(hours=1)
+    runs = [
+        {"user_name": f"u{ms}", "instance_type": size, "execution_time_ms": spent, "start_time": at}
+        for ms, rest in pairs
+        for size, spent, at in (("pulse", ms, before), ("standard", rest, before), ("standard", 9000, now))
+    ]
+    found = reads.attribution(rows.events(spark, *runs), rows.connections(spark), EventFilter(DAY), "user_name")
+    told = {row.key: row.change_pct is not None for row in found.collect()}
+    want = {f"u{ms}": ms / 1000.0 / 3600.0 * 0.60 + rest / 1000.0 / 3600.0 * 2.40 >= 0.01 for ms, rest in pairs}
+    assert told == want and set(want.values()) == {True, False}
