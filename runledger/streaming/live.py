@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from datetime import datetime
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runledger.operators.merge import SEQ
 from runledger.operators.quantiles import summarize
@@ -24,7 +22,7 @@ from runledger.plans.ingest import (
 )
 from runledger.plans.params import timestamp
 from runledger.sources.history import internal_traffic, readable_rows, unreadable_rows
-from runledger.sources.tables import Tables
+from runledger.sources.tables import Tables, delete, listed
 
 
 def stream_upsert(
@@ -69,37 +67,71 @@ def after_batch(connections: DataFrame, stats: DataFrame, settings: IngestSettin
 
 
 _RUN = ["connection_id", "query_id"]
-# What the state store keeps of a run: where it starts, and what it adds to the histograms.
-_STATE = "start_us long, elapsed long, failed boolean, internal boolean, reached string"
-_STEPS = "connection_id string, start_us long, elapsed long, runs long, failures long"
+# What is kept of a run: where it starts, and what it adds to the histograms.
+_VALUE = ["elapsed", "failed", "is_internal"]
+_KNOWN = "connection_id string, query_id string, start_us long, elapsed long, failed boolean, is_internal boolean, reached string"
+_OLD = "struct<start_us: bigint, elapsed: bigint, failed: boolean, is_internal: boolean, reached: string>"
+_CHANGES = f"{_KNOWN}, old {_OLD}"
 _CELLS = "connection_id string, cell_start timestamp, total_elapsed_time_ms long, runs long, failures long"
-
-
-def _steps(numbered: bool) -> Callable:
-    def step(key: tuple, deliveries: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """What a micro-batch changes for one run: its old value out, its new one in."""
-        old = state.get if state.exists else None
-        rows = pd.concat(deliveries).sort_values("reached", kind="stable")
-        last = rows.iloc[-1]
-        if old and numbered and last["reached"] < old[4]:
-            return
-        start = old[0] if old else int(rows["start_us"].iloc[0])
-        elapsed = None if pd.isna(last["elapsed"]) else int(last["elapsed"])
-        new = (start, elapsed, bool(last["failed"]), bool(last["is_internal"]), last["reached"])
-        state.update(new)
-        if old and tuple(old[1:4]) == new[1:4]:
-            return
-        signed = [(sign, run) for sign, run in ((-1, old), (1, new)) if run and not run[3]]
-        if signed:
-            yield pd.DataFrame({
-                "connection_id": [key[0]] * len(signed),
-                "start_us": [run[0] for _, run in signed],
-                "elapsed": pd.array([run[1] for _, run in signed], "Int64"),
-                "runs": [sign for sign, _ in signed],
-                "failures": [sign * int(run[2]) for sign, run in signed],
-            })
-
-    return step
+# Batches whose runs are kept apart before they are merged into one folder.
+KEPT_BATCHES = 16
+
+
+def _known(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """The runs as the batches before ``batch_id`` left them, None before the first. A run is in the folder of each batch
+    that read it, and the last of these counts; of many batches the folders are merged into one first."""
+
+    def numbers(kind: str) -> list[int]:
+        done = [path.split(f"/{kind}=")[-1] for path in listed(spark, f"{folder}/{kind}=*/_SUCCESS")]
+        return sorted(number for number in (int(rest.split("/")[0]) for rest in done) if number < batch_id)
+
+    def latest(upto: int | None, batches: list[int]) -> DataFrame:
+        parts = [(upto, f"{folder}/upto={upto}")] if upto is not None else []
+        parts += [(number, f"{folder}/batch={number}") for number in batches]
+        read = [spark.read.schema(_KNOWN).parquet(path).withColumn("_batch", F.lit(number)) for number, path in parts]
+        if len(read) == 1:
+            return read[0].drop("_batch")
+        state = F.struct("start_us", *_VALUE, "reached")
+        return reduce(DataFrame.unionByName, read).groupBy(*_RUN).agg(F.max_by(state, "_batch").alias("run")).select(*_RUN, "run.*")
+
+    upto = max(numbers("upto"), default=None)
+    batches = [number for number in numbers("batch") if upto is None or number > upto]
+    if not batches and upto is None:
+        return None
+    if len(batches) >= KEPT_BATCHES:
+        latest(upto, batches).write.mode("overwrite").parquet(f"{folder}/upto={batches[-1]}")
+        for path in [f"{folder}/batch={number}" for number in batches] + ([] if upto is None else [f"{folder}/upto={upto}"]):
+            delete(spark, path)
+        upto, batches = batches[-1], []
+    return latest(upto, batches)
+
+
+def _changes(runs: DataFrame, known: DataFrame | None, numbered: bool) -> DataFrame:
+    """Each run that a micro-batch read, as it is now and, in ``old``, as it was before. A run read before its last delivery
+    is left out where deliveries are numbered."""
+    value = F.struct("reached", *_VALUE)
+    new = runs.groupBy(*_RUN).agg(
+        F.min_by("start_us", F.struct("reached", "start_us")).alias("start_us"), F.max(value).alias("last")
+    ).select(*_RUN, "start_us", "last.*")
+    if known is None:
+        return new.select(*_RUN, "start_us", *_VALUE, "reached", F.lit(None).cast(_OLD).alias("old"))
+    before = known.select(*[F.col(name).alias(f"_{name}") for name in _RUN], F.struct("start_us", *_VALUE, "reached").alias("old"))
+    joined = new.join(before, F.expr(" and ".join(f"{name} <=> _{name}" for name in _RUN)), "left")
+    if numbered:
+        joined = joined.where("old is null or reached >= old.reached")
+    return joined.select(*_RUN, F.coalesce("old.start_us", "start_us").alias("start_us"), *_VALUE, "reached", "old")
+
+
+def _steps(changes: DataFrame) -> DataFrame:
+    """What a micro-batch changes: a run's old value out, its new one in. Own traffic counts nowhere."""
+    same = " and ".join(f"{name} <=> old.{name}" for name in _VALUE)
+    sides = F.array(
+        F.struct(F.lit(-1).cast("long").alias("runs"), F.col("old.start_us").alias("start_us"), *[F.col(f"old.{name}").alias(name) for name in _VALUE]),
+        F.struct(F.lit(1).cast("long").alias("runs"), "start_us", *_VALUE),
+    )
+    signed = changes.where(f"old is null or not ({same})").select("connection_id", F.inline(sides)).where("start_us is not null and not is_internal")
+    failures = F.col("runs") * F.col("failed").cast("long")
+    return signed.select("connection_id", "start_us", F.col("elapsed").alias("total_elapsed_time_ms"), "runs", failures.alias("failures"))
 
 
 def stream_latency(
@@ -111,12 +143,15 @@ def stream_latency(
 ) -> StreamingQuery:
     """Keeps histograms of the durations of runs per connection and ``cell`` of time for :func:`live_latency`.
 
-    The state store keeps the latest known of each run. A delivery that changes a run's duration, its outcome or whether it
-    is own traffic writes two steps: the old value out of its cell, the new one in. So a run counts once whatever is
-    delivered again, and own traffic that is recognised late leaves the figures. A run stays where it was first said to
-    start. A delivery counts as later by ``seq``; without it, if it was read in a later micro-batch, and within one, by how
-    far the run had come. Nothing is lost to a watermark. A read adds up steps, not deliveries, and :func:`compact_live`
-    adds up those of many batches. The state has a narrow row for each run; the RocksDB state store keeps it on disk.
+    The latest known of each run is kept in ``checkpoint/runs``, a narrow row each. A delivery that changes a run's duration,
+    its outcome or whether it is own traffic writes two steps: the old value out of its cell, the new one in. So a run counts
+    once whatever is delivered again, and own traffic that is recognised late leaves the figures. A run stays where it was
+    first said to start. A delivery counts as later by ``seq``; without it, if it was read in a later micro-batch, and within
+    one, by how far the run had come. Nothing is lost to a watermark. A read adds up steps, not deliveries, and
+    :func:`compact_live` adds up those of many batches.
+
+    Runs are folded, joined with what is known of them and summed as columns, so no run costs a call to Python. A batch that
+    is repeated starts from what the batches before it left and replaces its folders.
     """
     numbered = SEQ in history.columns
     drafts = readable_rows(history)
@@ -129,13 +164,16 @@ def stream_latency(
         internal_traffic().alias("is_internal"),
         order.alias("reached"),
     )
-    steps = runs.groupBy(*_RUN).applyInPandasWithState(_steps(numbered), _STEPS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    kept = f"{checkpoint}/runs"
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        placed = batch.withColumn("cell_start", F.window(F.timestamp_micros("start_us"), cell)["start"])
-        _summed(placed.withColumnRenamed("elapsed", "total_elapsed_time_ms")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark, folder = batch.sparkSession, f"{kept}/batch={batch_id}"
+        _changes(batch, _known(spark, kept, batch_id), numbered).write.mode("overwrite").parquet(folder)
+        steps = _steps(spark.read.schema(_CHANGES).parquet(folder))
+        placed = steps.withColumn("cell_start", F.window(F.timestamp_micros("start_us"), cell)["start"])
+        _summed(placed).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = steps.writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint)
+    query = runs.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (query.trigger(processingTime=every) if every else query.trigger(availableNow=True)).start()
 
 

@@ -676,3 +676,17 @@ def test_a_stream_keeps_the_books(spark):
     assert "raise the batch limit" in state["d"].last_sync_error and state["d"].watermark_start_time == naive
     assert state["quiet"].last_synced_at is None
     assert tables.events().count() == 16 and len(tables.pending_batches()) < 2
+
+
+def test_live_latency_of_many_batches_is_kept_without_python_in_few_folders(spark, monkeypatch):
+    import glob
+
+    monkeypatch.setattr(live, "KEPT_BATCHES", 2)
+    folder, path, progress = scratch_dir(spark, "history"), scratch_dir(spark, "live"), scratch_dir(spark, "progress")
+    for n in range(6):
+        again = [{"query_id": str(uuid.UUID(int=k)), "start_ms": MS + n, "total_elapsed_time_ms": 10 * n + k} for k in range(n + 1)]
+        rows.history(spark, *again).coalesce(1).write.mode("append").parquet(folder)
+    live.stream_latency(source.stream_history(spark, folder, 1), path, progress).awaitTermination()
+    (row,) = live.live_latency(spark, path, "1 minute").collect()
+    assert (row.query_count, row.p50_ms) == (6, 52.5)
+    assert len(glob.glob(f"{progress}/runs/*=*")) < 4 and not glob.glob(f"{progress}/state/*")
