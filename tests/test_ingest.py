@@ -690,3 +690,13 @@ def test_live_latency_of_many_batches_is_kept_without_python_in_few_folders(spar
     (row,) = live.live_latency(spark, path, "1 minute").collect()
     assert (row.query_count, row.p50_ms) == (6, 52.5)
     assert len(glob.glob(f"{progress}/runs/*=*")) < 4 and not glob.glob(f"{progress}/state/*")
+
+
+def test_a_long_page_is_not_ranked_in_one_task(spark):
+    """Only the minute in which a page ends is ranked, whatever the page holds."""
+    history = rows.history(spark, *[{"start_ms": MS + 15_000 * n} for n in range(400)])
+    plan = spark.createDataFrame([("c", None)], "connection_id string, since timestamp")
+    due = source._due(history.select("connection_id", "start_ms", "query_id"), plan)
+    assert source._page_ends(due, 302).first()._last == (MS + 15_000 * 301, str(uuid.UUID(int=302)))
+    assert source.history_page(history, plan, 302).count() == 302
+    assert source.history_page(history, plan, 1000).count() == 400
