@@ -213,3 +213,14 @@ def test_sync_state_is_a_plan_not_a_loop(spark):
         ingest.fetch_plan(connections, timedelta(minutes=15)), ingest.batch_stats(rows.history(spark, {})), 5
     )
     assert ingest.apply_sync_state(connections, outcome, timestamp(NOW)).first().last_success_at == NOW.replace(tzinfo=None)
+
+
+def test_a_table_is_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    from runledger import session
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100, raising=False)
+    path = session.scratch_dir(spark, "numbers")
+    spark.range(2000).coalesce(1).write.parquet(path)
+    dealt = session.spread(spark.read.parquet(path))
+    sizes = [sum(1 for _ in part) for part in dealt.rdd.glom().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 2000 and max(sizes) < 200
