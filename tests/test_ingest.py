@@ -700,3 +700,20 @@ def test_a_long_page_is_not_ranked_in_one_task(spark):
     assert source._page_ends(due, 302).first()._last == (MS + 15_000 * 301, str(uuid.UUID(int=302)))
     assert source.history_page(history, plan, 302).count() == 302
     assert source.history_page(history, plan, 1000).count() == 400
+
+
+def test_slots_are_moved_into_place_as_written(spark):
+    import glob
+
+    tables = Tables(spark, scratch_dir(spark, "tables"), 24)
+    written, publish = [], Tables._publish
+
+    class Seen(Tables):
+        def _publish(self, placed, path):
+            publish(self, placed, path)
+            if path != self._events:
+                written.extend(name.rsplit("/", 1)[-1] for name in glob.glob(f"{path}/*/*/*.parquet"))
+
+    Seen(spark, root_of(tables), 24).upsert_events(runs(spark, range(30)))
+    kept = {name.rsplit("/", 1)[-1] for name in glob.glob(f"{tables._events}/*/*/*.parquet")}
+    assert kept and kept == set(written)
