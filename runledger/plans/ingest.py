@@ -9,13 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions.timebins import age_seconds
 from runledger.operators.merge import EVENT_KEY, backfill_fingerprints
 from runledger.operators.reads import first_per_connection
-from runledger.operators.shapes import fingerprinted
+from runledger.operators.shapes import fingerprinted, fingerprinted_by_text
 from runledger.sources.history import history_page, is_readable, readable_rows, storage_scan, to_events
 from runledger.sources.tables import LAYOUT, Tables
 
@@ -159,17 +159,17 @@ def mark_storage_attempt(connections: DataFrame, due: DataFrame, now: Column) ->
     )
 
 
-def staged(rows: DataFrame, path: str) -> DataFrame:
+def staged(rows: DataFrame, path: str, spark: SparkSession | None = None) -> DataFrame:
     """The rows, read back from a shared folder: computed once for everything that follows, and safe from lost executors.
-    The folder is overwritten by the next batch."""
+    The folder is overwritten by the next batch. ``spark`` is the session that reads them, if another than that of the rows."""
     rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return (spark or rows.sparkSession).read.schema(rows.schema).parquet(path)
 
 
 def store_batch(tables: Tables, drafts: DataFrame, staging: str, now: Column, writer: str, batch: int) -> None:
     """Shapes first, then events, so a stored fingerprint always has its shape. Safe to repeat with the same rows, as the
     same batch of the same writer."""
-    events = staged(fingerprinted(to_events(drafts, now)), f"{staging}/events")
+    events = staged(fingerprinted_by_text(to_events(drafts, now), f"{staging}/texts"), f"{staging}/events")
     tables.register_shapes(events)
     tables.append_events(events, writer, batch)
 

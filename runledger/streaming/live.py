@@ -49,10 +49,12 @@ def stream_upsert(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         at = F.current_timestamp() if now is None else timestamp(now)
-        unreadable_rows(batch).write.mode("overwrite").parquet(f"{work}/quarantine/batch={batch_id}")
-        store_batch(tables, readable_rows(batch), f"{work}/staging", at, writer, batch_id)
+        # A stream's own session plans without adaptive execution; what follows is planned in the tables'.
+        page = staged(batch, f"{work}/page", tables.spark)
+        unreadable_rows(page).write.mode("overwrite").parquet(f"{work}/quarantine/batch={batch_id}")
+        store_batch(tables, readable_rows(page), f"{work}/staging", at, writer, batch_id)
         tables.compact(settings.compact_after)
-        stats = staged(batch_stats(batch), f"{work}/stats")
+        stats = staged(batch_stats(page), f"{work}/stats")
         tables.advance_connections(lambda before: after_batch(before, stats, settings, at), writer, batch_id)
 
     query = history.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
