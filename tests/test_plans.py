@@ -224,3 +224,23 @@ def test_a_table_is_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
     dealt = session.spread(spark.read.parquet(path))
     sizes = [sum(1 for _ in part) for part in dealt.rdd.glom().collect()]
     assert len(sizes) == 20 and sum(sizes) == 2000 and max(sizes) < 200
+
+
+def test_shuffles_of_a_large_table_begin_with_more_partitions(spark, monkeypatch):
+    from runledger import session
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    name, sized = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before, advised = spark.conf.get(name, None), spark.conf.get(sized)
+    try:
+        session.size_shuffles(spark, 2000)
+        spark.conf.set(sized, "1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1")
+        counted = spark.range(2000).selectExpr("hash(id) as k").groupBy("k").count()
+        assert max(sum(1 for _ in part) for part in counted.rdd.glom().collect()) < 200
+        session.size_shuffles(spark, 5)
+        assert spark.conf.get(name) == "20"
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+        spark.conf.set(sized, advised)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
