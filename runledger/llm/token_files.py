@@ -60,9 +60,9 @@ def train_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, spaces: bool
     chosen = chosen.where(F.length("text").between(1, SAMPLE_CHARS)).select("text").limit(SAMPLE_DOCS)
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, spaces).encode
+        encode_all = encoder(vocabulary, spaces).encode_all
         for batch in batches:
-            yield pa.record_batch({"ids": pa.array([_serialize(encode(t), width) for t in batch[0].to_pylist()], pa.binary())})
+            yield pa.record_batch({"ids": pa.array([_serialize(ids, width) for ids in encode_all(batch[0])], pa.binary())})
 
     samples = [bytes(r.ids) for r in chosen.mapInArrow(serialized, "ids binary").collect()]
     try:
@@ -94,11 +94,11 @@ def encode(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, spaces: boo
     closing = np.array([end], "<u4").tobytes()
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, compress = encoder(vocabulary, spaces).encode, _tools(dictionary)[0].compress
+        encode_all, compress = encoder(vocabulary, spaces).encode_all, _tools(dictionary)[0].compress
         for batch in batches:
             sizes, crcs, out = [], [], []
-            for text in batch["text"]:
-                ids = ids_of(text.as_py()) + closing
+            for ids in encode_all(batch["text"]):
+                ids += closing
                 sizes.append(len(ids) // 4)
                 crcs.append(zlib.crc32(ids))
                 out.append(compress(_serialize(ids, width)))
